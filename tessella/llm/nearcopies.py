@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, slices, without
+from .common import BITMAP, bitmap, checkpointed, slices, without
 from .contamination import words
 from .graph import components
 from .runs import Forest, in_block_pairs, runs
@@ -115,26 +115,20 @@ def digest(split: list[bytes], text: bytes | None) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(split) if split else b"\0" + (text or b""))
 
 
-#: Bytes of the bitmap that tells which texts a second pass may leave out: fixed, whatever the input.
-BITMAP = 1 << 22
+def number(d: bytes) -> int:
+    """The leading bytes of a digest as a (signed) long."""
+    return int.from_bytes(d[:8], "big", signed=True)
 
 
-def place(d: bytes) -> int:
-    return int.from_bytes(d[1:5], "big") % BITMAP
+def long_of(column: str):
+    """``number`` as a column."""
+    high, low = (F.conv(F.substring(F.hex(column), k, 8), 16, 10).cast("long") for k in (1, 9))
+    return F.shiftleft(high, 32).bitwiseOR(low)
 
 
-def bitmap(texts: DataFrame, column: str) -> bytes:
-    """A bitmap of BITMAP bytes with a bit for every digest in a column; others share bits by chance only.
-
-    It spares shuffling the texts that are in no family, and only that: the join that follows is exact.
-    """
-    at = F.conv(F.substring(F.hex(column), 3, 8), 16, 10).cast("long") % BITMAP
-    bit = F.conv(F.substring(F.hex(column), 1, 2), 16, 10).cast("int").bitwiseAND(7)
-    words_ = texts.select(F.floor(at / 4).alias("w"), ((at % 4) * 8 + bit).cast("int").alias("s"))
-    words_ = words_.groupBy("w").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("s"))).alias("v")).toPandas()
-    out = np.zeros(BITMAP // 4, np.uint32)
-    out[words_["w"].to_numpy(np.int64)] = words_["v"].to_numpy(np.int64).astype(np.uint32)
-    return out.astype("<u4").tobytes()
+def held_in(bits: bytes, key: int) -> bool:
+    """``common.may_contain`` for one key."""
+    return bool(bits[key % BITMAP] >> ((key & (1 << 64) - 1) >> 40) % 8 & 1)
 
 
 _READY: dict[str, Shingler] = {}
@@ -247,7 +241,7 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size
     families = families.select(F.col("node").alias("t"), F.xxhash64("component").alias("k"))
     families = checkpointed(families.join(families.groupBy("k").agg(F.count("*").alias("n")), "k"))
 
-    wanted = spark.sparkContext.broadcast(bitmap(families, "t"))
+    wanted = spark.sparkContext.broadcast(bitmap(families.select(long_of("t").alias("h")), "h"))
 
     def sets(batches, name=uuid4().hex):
         cut, bits, seen = shingler(name, size), wanted.value, set()
@@ -256,7 +250,7 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size
             for x in own:
                 split = words(x)
                 d = digest(split, x)
-                if split and d not in seen and bits[place(d)] >> (d[0] & 7) & 1:
+                if split and d not in seen and held_in(bits, number(d)):
                     seen.add(d)
                     t.append(d)
                     held.append(np.unique(cut(split)).tobytes())

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .contamination import measure
+from .lines import deduplicated
 from .nearcopies import classes
 from .pieces import tokenized
 from .toxicity import fit, scored
@@ -29,6 +30,11 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated", "longest_match")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return deduplicated(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return classes(docs).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
@@ -40,7 +46,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sentencepiece, op4_benchmark_decontamination, op7_minhash_near_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op3_sentencepiece, op4_benchmark_decontamination, op5_line_dedup, op7_minhash_near_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
