@@ -19,7 +19,7 @@ def components(edges: DataFrame) -> DataFrame:
     given = checkpointed(given)
     e = given.filter("u != v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct()
     before = None
-    while True:
+    while not (before is None and e.isEmpty()):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()

@@ -8,12 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sql
+from .chat import formatted, read_back
 from .common import table
 from .contamination import measure
 from .lines import deduplicated
 from .nearcopies import classes
 from .pieces import tokenized
 from .toxicity import fit, scored
+from .urls import judged
 
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 PIECE_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
@@ -35,19 +38,40 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+#: A conversation that holds the template's own control strings.
+CONFLICT = """
+SELECT CAST(c AS BIGINT) AS conv_id, CAST(n AS BIGINT) AS turn, role, text
+FROM VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]') AS v(c, n, role, text)
+"""
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(CONFLICT))
+    return read_back(formatted(rows))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return classes(docs).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
+#: Fixed values of the contract.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return judged(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return scored(docs, fit(docs, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sentencepiece, op4_benchmark_decontamination, op5_line_dedup, op7_minhash_near_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op3_sentencepiece, op4_benchmark_decontamination, op5_line_dedup, op6_chat_formatting, op7_minhash_near_dedup, op9_url_filter, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_chat_formatting": sql.CHAT, "op9_url_filter": sql.URLS}
