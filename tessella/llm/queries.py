@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sql
+from . import licenses, secrets, sql
 from .chat import formatted, read_back
 from .common import table
 from .contamination import measure
@@ -22,6 +22,12 @@ TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 PIECE_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = licenses.scanned(docs)
+    return out.select("doc_id", F.concat_ws(",", "licenses").alias("licenses"), "n_matches", F.concat_ws(",", "matches").alias("matches"), "coverage")
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokenized(docs, PIECE_MODEL).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -55,6 +61,11 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(docs).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.digested(secrets.scanned(docs)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 #: Fixed values of the contract.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
@@ -70,7 +81,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sentencepiece, op4_benchmark_decontamination, op5_line_dedup, op6_chat_formatting, op7_minhash_near_dedup, op9_url_filter, op10_toxicity)}
+    return {f.__name__: f for f in (op2_license_scan, op3_sentencepiece, op4_benchmark_decontamination, op5_line_dedup, op6_chat_formatting, op7_minhash_near_dedup, op8_secret_scan, op9_url_filter, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
