@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship
 from .common import checkpointed, extended, slices, without
 
 WINDOW = 13
@@ -221,6 +222,7 @@ def measure(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item:
     repeated items count once by their id, an item without an id counts as ``null``. An empty benchmark
     hits nothing. Columns of ``docs`` that clash with the results are replaced by them.
     """
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     keep = without(docs, OWN)
     if text not in keep:

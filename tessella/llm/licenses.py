@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..session import ship
 from .common import extended, slices, without
 from .contamination import words
 from .templates import TEMPLATES
@@ -133,6 +134,7 @@ def scanned(docs: DataFrame, *, text: str = "text", templates: list[tuple[str, s
     """
     if sum(len(n) + len(t) for n, t in templates) > 1 << 20:
         raise ValueError("templates are limited to 1 MB")
+    ship(docs.sparkSession)
     keep = without(docs, OWN)
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("licenses", T.ArrayType(T.StringType())), T.StructField("n_matches", T.LongType()), T.StructField("matches", T.ArrayType(T.StringType())), T.StructField("coverage", T.DoubleType())])
 

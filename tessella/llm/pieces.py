@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship
 from .common import extended, slices, without
 
 BLANK = "▁"
@@ -277,6 +278,7 @@ def tokenized(docs: DataFrame, model_path: str, *, text: str = "text", ids: bool
         serialized = f.read((64 << 20) + 1)
     if len(serialized) > 64 << 20:
         raise ValueError("the model is larger than 64 MB")
+    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(serialized)
     keep = without(docs, OWN)
     extra = [("ids", T.StringType())] * ids + [("decoded", T.StringType())] * decoded

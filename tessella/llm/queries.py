@@ -17,11 +17,16 @@ from .nearcopies import classes
 from .pieces import tokenized
 from .toxicity import fit, scored
 from .urls import judged
+from .vectors import near_vectors
 
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 PIECE_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = licenses.scanned(docs)
@@ -81,7 +86,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_license_scan, op3_sentencepiece, op4_benchmark_decontamination, op5_line_dedup, op6_chat_formatting, op7_minhash_near_dedup, op8_secret_scan, op9_url_filter, op10_toxicity)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_license_scan, op3_sentencepiece, op4_benchmark_decontamination, op5_line_dedup, op6_chat_formatting, op7_minhash_near_dedup, op8_secret_scan, op9_url_filter, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

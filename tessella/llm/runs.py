@@ -70,3 +70,23 @@ class Forest:
         a, b = self.find(a), self.find(b)
         self.up[max(a, b)] = min(a, b)
         return a != b
+
+
+def whole(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The same rows in tables that cut no group of equal keys; a table is about a batch."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(pa.Table.from_batches([batch]))
+        at = pa.concat_tables(held)
+        columns = [at.column(k).to_numpy() for k in keys]
+        last = np.ones(at.num_rows, bool)
+        for c in columns:
+            last &= c == c[-1]
+        cut = at.num_rows - int(np.argmin(last[::-1])) if not last.all() else 0
+        if cut:
+            yield at.slice(0, cut)
+        held = [at.slice(cut)]
+    if held and held[-1].num_rows:
+        yield pa.concat_tables(held)

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship
 from .common import extended, slices, without
 
 KINDS = ["assign", "access", "hex", "crf"]
@@ -331,6 +332,7 @@ def scanned(docs: DataFrame, *, text: str = "text") -> DataFrame:
     fixed patterns, ``spans`` also the field's that overlap none of them. Whole texts are scanned; null and
     empty texts have no spans. Columns that clash with the results are replaced.
     """
+    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(trained())
     keep = without(docs, OWN)
     schema = T.StructType([*[docs.schema[c] for c in keep], *[T.StructField(c, T.LongType()) for c in OWN[:3]], *[T.StructField(c, T.StringType()) for c in OWN[3:]]])

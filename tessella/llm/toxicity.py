@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship
 from .common import checkpointed, extended, slices, without
 
 FOLDS, HELD_OUT = 3, 1
@@ -124,6 +125,7 @@ def fold(doc_id: str):
 
 def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED, candidates: int = CANDIDATES, features: int = FEATURES) -> Linear | None:
     """Train from the folds that aren't held out; None if they hold no confirmed or no other text."""
+    ship(docs.sparkSession)
     base = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).filter((fold(doc_id) != HELD_OUT) & (F.coalesce(F.length(text), F.lit(0)) > 0))
     marks = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("d")).agg(F.max(label).alias("y"))
     texts = checkpointed(base.select("d", F.xxhash64("t").alias("h")).join(marks, "d", "left").groupBy("h").agg(F.min("d").alias("d"), F.max("y").alias("y")))
@@ -211,6 +213,7 @@ def scored(docs: DataFrame, model: Linear | None, *, text: str = "text", doc_id:
     held = (fold(doc_id) == HELD_OUT).alias("held_out")
     if model is None:
         return docs.select(*keep, held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("score", T.DoubleType())])
 
