@@ -1,0 +1,21 @@
+"""Incremental use: passages that arrive get vectors as they come.
+
+The engine's jobs are batches; a stream of new passages goes through the same operators micro-batch by
+micro-batch.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+
+
+def backfill(stream: DataFrame, done: Callable[[], DataFrame], encode: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str):
+    """Append vectors of streamed passages (nbk_id, passage_id, text) that have none yet; returns the running query."""
+
+    def each(batch: DataFrame, _: int) -> None:
+        new = batch.dropDuplicates(["nbk_id", "passage_id"]).join(done().select("nbk_id", "passage_id"), ["nbk_id", "passage_id"], "left_anti")
+        encode(new).write.mode("append").parquet(sink)
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
