@@ -12,7 +12,7 @@ def side_table(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     Read whole, so that a file that isn't UTF-8 can be read as Latin-1; side tables are small.
     """
     raw = spark.read.format("binaryFile").load(path)
-    utf8 = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", F.lit("UTF-8"))).otherwise(F.decode("content", F.lit("ISO-8859-1")))
+    utf8 = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
     lines = raw.select(F.posexplode(F.split(utf8, "\r\n|\n|\r")).alias("line_no", "line")).withColumn("line", F.regexp_replace("line", r"(?U)^\s+|\s+$", ""))
     lines = lines.filter((F.col("line") != "") & ~F.col("line").startswith("#"))
     cells = F.split("line", "\t", -1)
