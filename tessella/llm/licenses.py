@@ -110,6 +110,11 @@ class Finder:
                 if b < free:
                     continue
                 pairs = aligned(ids[b : b + wide].tolist(), own)
+                if pairs and pairs[0][0]:
+                    # A stray word before may have cut the end off: look again from where the template begins.
+                    later = aligned(ids[b + pairs[0][0] : b + pairs[0][0] + wide].tolist(), own)
+                    if len(later) >= len(pairs):
+                        b, pairs = b + pairs[0][0], later
                 if len(pairs) >= need:
                     found.append((len(pairs), name, b + pairs[0][0], b + pairs[-1][0] + 1, len(pairs) / len(own)))
                     free = b + pairs[-1][0] + 1

@@ -29,7 +29,7 @@ from .common import checkpointed
 from .graph import components
 from .runs import Forest, in_block_pairs, whole
 
-LEAST, RECALL, EPSILON = 0.9, 0.995, 4.5
+LEAST, RECALL, EPSILON = 0.9, 0.999, 4.5
 #: Vectors that a bucket of random ones would hold.
 OCCUPANCY = 64
 SEED = 20
