@@ -168,6 +168,8 @@ def made_lines(seed: int = 7, each: int = 20) -> list[list[tuple[str, int]]]:
         for _ in range(each):
             key, sign, quote = r.choice(keys), r.choice([":", "="]), r.choice(["", '"', "'"])
             lines.append([*prose(r.randint(0, 5)), (key if r.random() < 0.7 else key.upper(), O), (sign, O), *([(quote, O)] if quote else []), *marked(make(), B), *([(quote, O)] if quote else []), *prose(r.randint(0, 4))])
+            lead = [("Authorization", O), (":", O)] if r.random() < 0.5 else prose(2)
+            lines.append([*lead, (r.choice(["Bearer", "bearer", "token", "key"]), O), *marked(make(), B), *prose(r.randint(0, 5))])
     for make in alone:
         for _ in range(each):
             lines.append([*prose(r.randint(0, 6)), *marked(make(), B), *prose(r.randint(0, 6))])
