@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -65,32 +65,27 @@ def extended(batch: pa.RecordBatch, columns: list[str], values: dict[str, pa.Arr
     return pa.RecordBatch.from_arrays([*arrays, *values.values()], names=[*columns, *values])
 
 
-#: Bytes of a bitmap, whatever the input.
-BITMAP = 1 << 20
+#: 64-bit words of a bitmap, whatever the input: 1 MB.
+WORDS = 1 << 17
 
 
-def bit_place(key: Column) -> tuple[Column, Column]:
-    """Byte (from 0) and bit of a long key in a bitmap."""
-    return F.pmod(key, F.lit(BITMAP)), F.pmod(F.shiftrightunsigned(key, 40), F.lit(8)).cast("int")
-
-
-def bitmap(keys: DataFrame, key: str) -> bytes:
-    """BITMAP bytes with a bit set for every long key of a column.
+def bitmap(keys: DataFrame, key: str) -> DataFrame:
+    """(w, bits): at most WORDS rows, with a bit set for every long key of a column.
 
     Its size is fixed, so that it may travel to every task. It spares shuffling rows that can't match;
     more keys only make it let more rows pass, and the join that follows is exact.
     """
-    byte, bit = bit_place(F.col(key))
-    rows = keys.select(byte.alias("b"), bit.alias("s")).groupBy("b").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("s"))).alias("v"))
-    packed = rows.groupBy(F.shiftright("b", 3).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.col("v").cast("long"), (F.pmod("b", F.lit(8)) * 8).cast("int"))).alias("v"))
-    out = bytearray(BITMAP)
-    for r in packed.toLocalIterator():
-        out[r.w * 8 : r.w * 8 + 8] = (r.v & (1 << 64) - 1).to_bytes(8, "little")
-    return bytes(out)
-
-
-def may_contain(bits: bytes, key: Column) -> Column:
-    """Whether a bitmap has the bit of a key."""
-    byte, bit = bit_place(key)
-    value = F.conv(F.hex(F.substring(F.lit(bits), byte.cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.call_function("shiftright", value, bit).bitwiseAND(F.lit(1)) == 1
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned(key, 40), F.lit(64)).cast("int"))
+    return keys.groupBy(F.pmod(F.col(key), F.lit(WORDS)).alias("w")).agg(F.bit_or(bit).alias("bits"))
+
+
+def sifted(rows: DataFrame, key: str, bits: DataFrame) -> DataFrame:
+    """Rows whose long key may be in a bitmap."""
+    found = rows.withColumn("_w", F.pmod(F.col(key), F.lit(WORDS))).join(F.broadcast(bits.select(F.col("w").alias("_w"), F.col("bits").alias("_bits"))), "_w")
+    place = F.pmod(F.shiftrightunsigned(key, 40), F.lit(64)).cast("int")
+    return found.filter(F.call_function("shiftright", F.col("_bits"), place).bitwiseAND(F.lit(1).cast("long")) == 1).drop("_w", "_bits")
+
+
+def may_contain(words: list[int], key: int) -> bool:
+    """``sifted`` for one key, with the bitmap's words in their places."""
+    return bool(words[key % WORDS] >> ((key & (1 << 64) - 1) >> 40) % 64 & 1)
