@@ -24,7 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BITMAP, bitmap, checkpointed, slices, without
+from ..session import ship
+from .common import WORDS, bitmap, checkpointed, may_contain, slices, without
 from .contamination import words
 from .graph import components
 from .runs import Forest, in_block_pairs, runs
@@ -126,11 +127,6 @@ def long_of(column: str):
     return F.shiftleft(high, 32).bitwiseOR(low)
 
 
-def held_in(bits: bytes, key: int) -> bool:
-    """``common.may_contain`` for one key."""
-    return bool(bits[key % BITMAP] >> ((key & (1 << 64) - 1) >> 40) % 8 & 1)
-
-
 _READY: dict[str, Shingler] = {}
 
 
@@ -142,7 +138,7 @@ def shingler(name: str, size: int) -> Shingler:
 
 
 def sketched(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
-    """(d, t, keys, sig): id, digest of the word sequence or of the text (null for none), band keys, registers' low 16 bits."""
+    """(d, h, t, keys, sig): id, hash of the text, digest of the word sequence or of the text (null for none), band keys, registers' low 16 bits."""
 
     def run(batches, name=uuid4().hex):
         cut = shingler(name, size)
@@ -162,10 +158,10 @@ def sketched(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
                 first = signatures(np.concatenate(elements), np.concatenate(weights), np.concatenate(owner), len(has))
                 for k, b, s in zip(has, banded(first), first.astype(np.uint16), strict=True):
                     keys[k], sig[k] = b, s.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())], names=["d", "t", "keys", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())], names=["d", "h", "t", "keys", "sig"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("d"), F.col(text).alias("x")).mapInArrow(run, f"d {kind}, t binary, keys array<long>, sig binary")
+    return docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("h"), F.col(text).alias("x")).mapInArrow(run, f"d {kind}, h long, t binary, keys array<long>, sig binary")
 
 
 def screened(batches):
@@ -228,6 +224,12 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size
     if they are equal; null and empty texts are like nothing, each its own class. Repeated rows are
     copies of each other. A null id can't name a class: it is passed over unless a class has no other.
     """
+    return grouped(docs, doc_id, text, size, least).select(F.col("d").alias(doc_id), "t", F.coalesce("class_id", "d").alias("class_id"))
+
+
+def grouped(docs: DataFrame, doc_id: str, text: str, size: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """(d, h, t, g, class_id): also the hash of the text and the group, null for null and empty texts."""
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     sketch = checkpointed(sketched(docs, doc_id, text, size))
     texts = sketch.filter("keys is not null").groupBy("t").agg(F.first("keys").alias("keys"), F.first("sig").alias("sig"))
@@ -241,16 +243,19 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size
     families = families.select(F.col("node").alias("t"), F.xxhash64("component").alias("k"))
     families = checkpointed(families.join(families.groupBy("k").agg(F.count("*").alias("n")), "k"))
 
-    wanted = spark.sparkContext.broadcast(bitmap(families.select(long_of("t").alias("h")), "h"))
+    bits = np.zeros(WORDS, np.int64)
+    for r in bitmap(families.select(long_of("t").alias("h")), "h").toLocalIterator():
+        bits[r.w] = r.bits
+    wanted = spark.sparkContext.broadcast(bits)
 
     def sets(batches, name=uuid4().hex):
-        cut, bits, seen = shingler(name, size), wanted.value, set()
+        cut, bits, seen = shingler(name, size), wanted.value.tolist(), set()
         for batch, own in slices(batches, "x", SLICE):
             t, held = [], []
             for x in own:
                 split = words(x)
                 d = digest(split, x)
-                if split and d not in seen and held_in(bits, number(d)):
+                if split and d not in seen and may_contain(bits, number(d)):
                     seen.add(d)
                     t.append(d)
                     held.append(np.unique(cut(split)).tobytes())
@@ -260,22 +265,21 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size
     rows = families.join(held, "t").dropDuplicates(["t"]).join(texts.select("t", "sig"), "t")
     edges = in_block_pairs(rows, "k", "t", "n").select("k", "_i", "_j", "t", "sig", "set").mapInArrow(linked(least), "u binary, v binary")
     groups = components(edges)
-    with_group = sketch.select("d", "t").join(groups.select(F.col("node").alias("t"), "component"), "t", "left").select("d", "t", F.coalesce("component", "t").alias("g"))
+    with_group = sketch.select("d", "h", "t").join(groups.select(F.col("node").alias("t"), "component"), "t", "left").select("d", "h", "t", F.coalesce("component", "t").alias("g"))
     least_id = with_group.filter("g is not null").groupBy("g").agg(F.min("d").alias("class_id"))
-    return with_group.join(least_id, "g", "left").select(F.col("d").alias(doc_id), "t", F.coalesce("class_id", "d").alias("class_id"))
+    return with_group.join(least_id, "g", "left").select("d", "h", "t", "g", "class_id")
 
 
 def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One document of each class: the one of the smallest id (of repeated rows one), with its own columns.
+    """One document of each class, with its own columns: the one of the smallest id, then of the smallest hash of its text.
 
-    Documents with a null or empty text all stay.
+    Of repeated rows one stays. A null id comes after all others. Documents with a null or empty text all stay.
     """
     keep = without(docs, OWN)
     empty = F.coalesce(F.length(text), F.lit(0)) == 0
-    full = docs.filter(~empty)
-    leads = classes(full, doc_id=doc_id, text=text, **options).filter(F.col(doc_id).eqNullSafe(F.col("class_id"))).select(F.col(doc_id).alias("_d"), "class_id").distinct()
-    stay = full.join(leads, full[doc_id].eqNullSafe(leads["_d"])).select(*keep)
-    # An id that several rows carry is kept once.
-    repeated = stay.groupBy(doc_id).agg(F.min(F.struct(F.col(text), *[c for c in keep if c not in (text, doc_id)])).alias("_s"))
-    one = repeated.select(*[F.col(doc_id) if c == doc_id else F.col(f"_s.{c}").alias(c) for c in keep])
-    return one.unionByName(docs.filter(empty).select(*keep))
+    full = docs.filter(~empty).select(*keep)
+    leads = grouped(full, doc_id, text, **options).groupBy("g").agg(F.min(F.struct(F.col("d").isNull().alias("z"), "d", "h")).alias("_l"))
+    leads = leads.select(F.col("_l.d").alias("_d"), F.col("_l.h").alias("_h")).distinct()
+    stay = full.join(leads, full[doc_id].eqNullSafe(leads["_d"]) & (F.xxhash64(full[text]) == leads["_h"]))
+    once = stay.groupBy("_d", "_h").agg(F.first(F.struct(*keep)).alias("_s"))
+    return once.select("_s.*").unionByName(docs.filter(empty).select(*keep))

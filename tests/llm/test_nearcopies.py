@@ -66,8 +66,10 @@ def test_odd_rows(documents, make):
 
 def test_one_stays(documents, make):
     a = make(40)
-    out = n.deduplicated(documents([(3, a), (2, a), (2, a), (5, None), (6, None), (7, ""), (8, make(9))]))
-    assert sorted(r.doc_id for r in out.collect()) == [2, 5, 6, 7, 8] and out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    b, c = make(20), make(25)
+    out = n.deduplicated(documents([(3, a), (2, a), (2, a), (5, None), (6, None), (7, ""), (8, make(9)), (None, a), (None, b), (None, c), (None, c), (2, c)]))
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect()) == [(False, k) for k in (2, 2, 5, 6, 7, 8)] + [(True, 0)]
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def test_registers_estimate_probability_jaccard():
