@@ -279,7 +279,7 @@ def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     empty = F.coalesce(F.length(text), F.lit(0)) == 0
     full = docs.filter(~empty).select(*keep)
     leads = grouped(full, doc_id, text, **options).groupBy("g").agg(F.min(F.struct(F.col("d").isNull().alias("z"), "d", "h")).alias("_l"))
-    leads = leads.select(F.col("_l.d").alias("_d"), F.col("_l.h").alias("_h")).distinct()
-    stay = full.join(leads, full[doc_id].eqNullSafe(leads["_d"]) & (F.xxhash64(full[text]) == leads["_h"]))
-    once = stay.groupBy("_d", "_h").agg(F.first(F.struct(*keep)).alias("_s"))
-    return once.select("_s.*").unionByName(docs.filter(empty).select(*keep))
+    leads = leads.select(F.col("_l.d").alias("__ts_d"), F.col("_l.h").alias("__ts_h")).distinct()
+    stay = full.join(leads, full[doc_id].eqNullSafe(leads["__ts_d"]) & (F.xxhash64(full[text]) == leads["__ts_h"]))
+    once = stay.groupBy("__ts_d", "__ts_h").agg(F.first(F.struct(*keep)).alias("__ts_s"))
+    return once.select("__ts_s.*").unionByName(docs.filter(empty).select(*keep))

@@ -94,7 +94,7 @@ def judged(pages: DataFrame, rules: Sequence[Rule], *, url: str = "url", html: s
     ruled = ends.select(F.col("node").alias("_node"), action.alias("a")).filter("a is not null").distinct()
     fate = ruled.join(groups, "_node").groupBy("_group").agg(F.bool_or(F.col("a") == "allow").alias("allow"))
     fate = groups.join(fate, "_group").select("_node", F.when(F.col("allow"), "allow").otherwise("block").alias("_fate"))
-    own = parsed(pages.select(*keep, F.col(url).alias("_url")), "_url", "_")
-    name, action = fitting(rules, F.col("_host"), F.col("_path"))
-    own = own.join(fate, "_node", "left")
-    return own.select(*keep, F.col("_host").alias("host"), F.col("_path").alias("path"), name.alias("rule"), F.coalesce(action, "_fate", F.lit("allow")).alias("verdict"))
+    own = parsed(pages.select(*keep, F.col(url).alias("__ts_url")), "__ts_url", "__ts_")
+    name, action = fitting(rules, F.col("__ts_host"), F.col("__ts_path"))
+    own = own.join(fate.withColumnRenamed("_node", "__ts_node").withColumnRenamed("_fate", "__ts_fate"), "__ts_node", "left")
+    return own.select(*keep, F.col("__ts_host").alias("host"), F.col("__ts_path").alias("path"), name.alias("rule"), F.coalesce(action, "__ts_fate", F.lit("allow")).alias("verdict"))
