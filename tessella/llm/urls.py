@@ -62,8 +62,9 @@ def targets(pages: DataFrame, url: str, html: str) -> DataFrame:
     out = pages.select(F.col(url).alias("src"), F.col(html).alias("html"), low.contains("canonical").alias("l"), low.contains("refresh").alias("r")).filter("l or r")
     link = F.coalesce(*[F.nullif(F.regexp_extract("html", _LINK, k), F.lit("")) for k in (1, 2, 3)])
     out = out.withColumn("href", F.coalesce(F.when(F.col("l"), link), F.when(F.col("r"), F.nullif(F.regexp_extract("html", _REFRESH, 1), F.lit("")))))
-    out = out.withColumn("href", F.trim(F.replace("href", F.lit("&amp;"), F.lit("&")))).filter("href is not null")
-    out = parsed(out, "src").filter("scheme is not null").withColumn("site", F.concat("scheme", F.lit("://"), "host"))
+    # Few pages name another url. A copy of them keeps the steps that follow from being folded into one expression.
+    out = checkpointed(out.filter("href is not null").select("src", F.trim(F.replace("href", F.lit("&amp;"), F.lit("&"))).alias("href")))
+    out = parsed(out, "src").withColumn("site", F.concat("scheme", F.lit("://"), "host"))
     href, folder = F.col("href"), F.regexp_extract("path", r"^(?s:.*)/", 0)
     whole = (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), href)
@@ -85,8 +86,9 @@ def judged(pages: DataFrame, rules: Sequence[Rule], *, url: str = "url", html: s
     links = targets(pages, url, html)
     if redirects is not None:
         links = links.unionByName(redirects.select("src", "dst"))
-    links = parsed(parsed(links.filter("src is not null and dst is not null"), "src"), "dst", "to_").filter("node is not null and to_node is not null")
-    links = checkpointed(links.select("host", "path", "node", "to_host", "to_path", "to_node"))
+    links = checkpointed(links.filter("src is not null and dst is not null"))
+    links = checkpointed(parsed(parsed(links, "src"), "dst", "to_").select("host", "path", "node", "to_host", "to_path", "to_node"))
+    links = links.filter("node is not null and to_node is not null")
     groups = checkpointed(components(links.filter("node != to_node").select(F.col("node").alias("u"), F.col("to_node").alias("v"))).select(F.col("node").alias("_node"), F.col("component").alias("_group")))
     # Urls that are only named decide for their class as pages do.
     ends = links.select("host", "path", "node").union(links.select("to_host", "to_path", "to_node"))
