@@ -65,6 +65,20 @@ def extended(batch: pa.RecordBatch, columns: list[str], values: dict[str, pa.Arr
     return pa.RecordBatch.from_arrays([*arrays, *values.values()], names=[*columns, *values])
 
 
+_HELD: dict = {}
+
+
+def held(name, make):
+    """What a Python worker keeps from task to task: one operator's state, dropped when another operator comes.
+
+    Workers are reused, so that memos of several operators would add up in them.
+    """
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 #: 64-bit words of a bitmap, whatever the input: 1 MB.
 WORDS = 1 << 17
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from .common import checkpointed, extended, slices, without
+from .common import checkpointed, extended, held, slices, without
 
 WINDOW = 13
 #: A document is contaminated if at least one word in so many is hit.
@@ -208,10 +208,6 @@ def blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> list
     return [[(r.i, r.t.encode()) for r in p.toLocalIterator()] for p in parts]
 
 
-#: The block that a Python worker has indexed, by a name given on the driver: tasks of one worker share it.
-_READY: dict[str, Items] = {}
-
-
 def measure(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Each document with n_words, n_hit, n_items, items, hits (word spans), longest_match and contaminated.
 
@@ -233,10 +229,7 @@ def measure(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item:
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches, sent=sent, name=uuid4().hex, first=k == 0):
-            if name not in _READY:
-                _READY.clear()
-                _READY[name] = Items(sent.value, window)
-            items = _READY[name]
+            items = held(name, lambda: Items(sent.value, window))
             for batch, texts in slices(batches, text, SHARD_BYTES):
                 found = scan(texts, items)
                 hits, names, most = [f[1] for f in found], [f[2] for f in found], [f[3] for f in found]

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ..session import ship
-from .common import extended, slices, without
+from .common import extended, held, slices, without
 from .contamination import words
 from .templates import TEMPLATES
 
@@ -125,9 +125,6 @@ class Finder:
         return sorted(taken, key=lambda m: (m[1], m[0]))
 
 
-_READY: dict[str, Finder] = {}
-
-
 def scanned(docs: DataFrame, *, text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST, spread: float = SPREAD) -> DataFrame:
     """Each row with licenses (names in order), n_matches, matches and the largest coverage.
 
@@ -144,10 +141,7 @@ def scanned(docs: DataFrame, *, text: str = "text", templates: list[tuple[str, s
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("licenses", T.ArrayType(T.StringType())), T.StructField("n_matches", T.LongType()), T.StructField("matches", T.ArrayType(T.StringType())), T.StructField("coverage", T.DoubleType())])
 
     def run(batches, name=uuid4().hex):
-        if name not in _READY:
-            _READY.clear()
-            _READY[name] = Finder(templates, least, spread)
-        own = _READY[name]
+        own = held(name, lambda: Finder(templates, least, spread))
         for batch, texts in slices(batches, text, SLICE):
             rows = [own.find(t) for t in texts]
             yield extended(batch, keep, {

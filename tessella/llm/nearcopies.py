@@ -16,8 +16,6 @@ pieces give spanning edges only, so that no group is expanded into its pairs.
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -25,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import WORDS, bitmap, checkpointed, may_contain, slices, without
+from .common import WORDS, bitmap, checkpointed, held, may_contain, slices, without
 from .contamination import words
 from .graph import components
 from .runs import Forest, in_block_pairs, runs
@@ -36,7 +34,7 @@ REGISTERS = BANDS * ROWS
 #: Share of agreeing registers from which a pair is looked at: five standard deviations below LEAST.
 SCREEN = LEAST - 5 * (LEAST * (1 - LEAST) / REGISTERS) ** 0.5
 SLICE = 4 << 20
-MEMO = 500_000
+MEMO = 300_000
 OWN = ["class_id", "kept"]
 
 
@@ -127,21 +125,15 @@ def long_of(column: str):
     return F.shiftleft(high, 32).bitwiseOR(low)
 
 
-_READY: dict[str, Shingler] = {}
-
-
-def shingler(name: str, size: int) -> Shingler:
-    if name not in _READY:
-        _READY.clear()
-        _READY[name] = Shingler(size)
-    return _READY[name]
+def shingler(size: int) -> Shingler:
+    return held(("shingles", size), lambda: Shingler(size))
 
 
 def sketched(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
     """(d, h, t, keys, sig): id, hash of the text, digest of the word sequence or of the text (null for none), band keys, registers' low 16 bits."""
 
-    def run(batches, name=uuid4().hex):
-        cut = shingler(name, size)
+    def run(batches):
+        cut = shingler(size)
         for batch, texts in slices(batches, "x", SLICE):
             elements, weights, owner, digests, has = [], [], [], [], []
             for k, t in enumerate(texts):
@@ -248,8 +240,8 @@ def grouped(docs: DataFrame, doc_id: str, text: str, size: int = SHINGLE, least:
         bits[r.w] = r.bits
     wanted = spark.sparkContext.broadcast(bits)
 
-    def sets(batches, name=uuid4().hex):
-        cut, bits, seen = shingler(name, size), wanted.value.tolist(), set()
+    def sets(batches):
+        cut, bits, seen = shingler(size), wanted.value.tolist(), set()
         for batch, own in slices(batches, "x", SLICE):
             t, held = [], []
             for x in own:

@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from .common import extended, slices, without
+from .common import extended, held, slices, without
 
 BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Entries of a generation of a worker's memo.
-MEMO = 300_000
+MEMO = 200_000
 OWN = ["n_tokens", "ids", "ids_sha256", "decoded", "decoded_sha256"]
 
 
@@ -254,18 +254,10 @@ class Codec:
         return len(numbers), ",".join(map(str, numbers)), self.model.decode(numbers)
 
 
-_CODECS: dict[bytes, Codec] = {}
 #: Bytes of text that a task holds at once as Python objects.
 SLICE = 4 << 20
 
 
-def codec(serialized: bytes) -> Codec:
-    if serialized not in _CODECS:
-        _CODECS.clear()
-        _CODECS[serialized] = Codec(serialized)
-    return _CODECS[serialized]
-
-
 def tokenized(docs: DataFrame, model_path: str, *, text: str = "text", ids: bool = False, decoded: bool = False) -> DataFrame:
     """Each row with n_tokens, ids_sha256 and decoded_sha256; on demand with the ids and the decoded text.
 
@@ -280,12 +272,12 @@ def tokenized(docs: DataFrame, model_path: str, *, text: str = "text", ids: bool
         raise ValueError("the model is larger than 64 MB")
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(serialized)
-    keep = without(docs, OWN)
+    keep, serialized_name = without(docs, OWN), hashlib.sha256(serialized).hexdigest()
     extra = [("ids", T.StringType())] * ids + [("decoded", T.StringType())] * decoded
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), *[T.StructField(*x) for x in extra]])
 
     def run(batches):
-        own = codec(sent.value)
+        own = held(serialized_name, lambda: Codec(sent.value))
         for batch, texts in slices(batches, text, SLICE):
             rows = []
             for t in texts:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from .common import extended, slices, without
+from .common import extended, held, slices, without
 
 KINDS = ["assign", "access", "hex", "crf"]
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -32,7 +32,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 OWN = ["n_assign", "n_access", "n_hex", "base", "spans"]
 SLICE = 4 << 20
-MEMO = 500_000
+MEMO = 300_000
 
 B, I, O = 0, 1, 2  # noqa: E741
 TOKEN = re.compile(r"[\w./+\-~%@]+(?:={1,2}(?![\w=]))?|[:=]|[^\s\w]")
@@ -324,9 +324,6 @@ def joined(spans: list[tuple[int, str, int]]) -> str:
     return ",".join(f"{kind}:{b}:{e}" for b, kind, e in sorted(spans, key=lambda s: (s[0], KINDS.index(s[1]))))
 
 
-_READY: dict[str, Scanner] = {}
-
-
 def scanned(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """Each row with n_assign, n_access, n_hex, base and spans (``kind:start:end`` joined by commas).
 
@@ -340,10 +337,7 @@ def scanned(docs: DataFrame, *, text: str = "text") -> DataFrame:
     schema = T.StructType([*[docs.schema[c] for c in keep], *[T.StructField(c, T.LongType()) for c in OWN[:3]], *[T.StructField(c, T.StringType()) for c in OWN[3:]]])
 
     def run(batches, name=uuid4().hex):
-        if name not in _READY:
-            _READY.clear()
-            _READY[name] = Scanner(sent.value)
-        own = _READY[name]
+        own = held(name, lambda: Scanner(sent.value))
         for batch, texts in slices(batches, text, SLICE):
             rows = []
             for t in texts:

@@ -26,14 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from .common import checkpointed, extended, slices, without
+from .common import checkpointed, extended, held, slices, without
 
 FOLDS, HELD_OUT = 3, 1
 POSITIVES, UNLABELLED, CANDIDATES, FEATURES = 1500, 3000, 20_000, 512
 CUT = 0.7
 SLICE = 4 << 20
 #: Words that a worker remembers before it starts afresh.
-MEMO = 500_000
+MEMO = 300_000
 OWN = ["held_out", "score", "predicted"]
 
 
@@ -52,7 +52,7 @@ class Linear:
     shift: float
     scale: float
 
-    def prepare(self) -> None:
+    def prepare(self) -> Linear:
         self.names = {f: i for i, f in enumerate(self.weights)}
         self.vector = np.array([*self.weights.values(), 0.0])
         names = self.names
@@ -65,6 +65,7 @@ class Linear:
                 return found
 
         self.known = Known()
+        return self
 
     def margin(self, text: str) -> float:
         words = spread(text)
@@ -210,27 +211,20 @@ def scored(docs: DataFrame, model: Linear | None, *, text: str = "text", doc_id:
     clash with the results are replaced.
     """
     keep = without(docs, OWN)
-    held = (fold(doc_id) == HELD_OUT).alias("held_out")
+    fold_mark = (fold(doc_id) == HELD_OUT).alias("held_out")
     if model is None:
-        return docs.select(*keep, held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+        return docs.select(*keep, fold_mark, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("score", T.DoubleType())])
 
     def run(batches, name=uuid4().hex):
-        if name not in _READY:
-            _READY.clear()
-            sent.value.prepare()
-            _READY[name] = sent.value
-        own = _READY[name]
+        own = held(name, lambda: sent.value.prepare())
         for batch, texts in slices(batches, text, SLICE):
             yield extended(batch, keep, {"score": pa.array([own.score(t.decode() if t else "") for t in texts], pa.float64())})
 
     out = docs.select(*keep).mapInArrow(run, schema)
-    return out.select(*keep, held, "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
-
-
-_READY: dict[str, Linear] = {}
+    return out.select(*keep, fold_mark, "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
 def clean(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
