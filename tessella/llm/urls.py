@@ -28,8 +28,8 @@ def parsed(df: DataFrame, url: str, into: str = "") -> DataFrame:
     """``df`` with host, path, scheme and node of a url column, their names led by ``into``.
 
     Host and path follow the first ``://`` and are empty for null or without. The node is an id of the
-    resource: the url without its fragment, scheme and host in lower case; null if it is no absolute url.
-    Each step is a column of its own, so that no part of a url is computed twice.
+    resource: the url without its fragment and dot segments, scheme and host in lower case; null if it is
+    no absolute url. ``way`` is the path without dot segments. Each step is a column of its own, so that no part of a url is computed twice.
     """
     c = {k: f"_{into}{k}" for k in ("at", "rest", "site", "tail")}
     out = df.withColumn(c["at"], F.coalesce(F.locate("://", F.col(url)), F.lit(0)))
@@ -38,11 +38,20 @@ def parsed(df: DataFrame, url: str, into: str = "") -> DataFrame:
     out = out.withColumn(c["tail"], F.substr(c["rest"], F.length(c["site"]) + 1))
     out = out.withColumn(f"{into}host", F.translate(c["site"], _UPPER, _LOWER)).withColumn(f"{into}path", F.regexp_extract(c["tail"], r"^[^?#]*", 0))
     out = out.withColumn(f"{into}scheme", F.when(F.col(c["at"]) > 1, F.translate(F.substr(url, F.lit(1), F.col(c["at"]) - 1), _UPPER, _LOWER)))
+    out = out.withColumn(f"{into}way", without_dots(F.col(f"{into}path")))
     query = F.regexp_extract(F.substr(c["tail"], F.length(f"{into}path") + 1), r"^[^#]*", 0)
-    whole = F.concat(f"{into}scheme", F.lit("://"), f"{into}host", F.when(F.col(f"{into}path") == "", F.lit("/")).otherwise(F.col(f"{into}path")), query)
+    whole = F.concat(f"{into}scheme", F.lit("://"), f"{into}host", F.when(F.col(f"{into}way") == "", F.lit("/")).otherwise(F.col(f"{into}way")), query)
     return out.withColumn(f"{into}node", F.unhex(F.md5(whole))).drop(*c.values())
 
 
+def without_dots(path: Column) -> Column:
+    """A path with its segments ``.`` and ``..`` resolved (RFC 3986, 5.2.4)."""
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(F.split(F.substr(path, F.lit(2)), "/", -1), none, lambda a, s: F.when(s == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(s == ".", a).otherwise(F.array_append(a, s)))
+    kept = F.concat(kept, F.when(path.rlike(r"/\.\.?$"), F.array(F.lit(""))).otherwise(none))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
+
+
 def fitting(rules: Sequence[Rule], h: Column, p: Column) -> tuple[Column, Column]:
     """Rule (host and path as one text) and action of the longest fitting rule; nulls if none fits.
 
@@ -57,19 +66,26 @@ def fitting(rules: Sequence[Rule], h: Column, p: Column) -> tuple[Column, Column
 
 
 def targets(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """(src, dst): urls of pages and the absolute url that each names as canonical, or else redirects to."""
+    """(src, dst): urls of pages and every absolute url that each names as canonical or redirects to."""
     low = F.lower(html)
     out = pages.select(F.col(url).alias("src"), F.col(html).alias("html"), low.contains("canonical").alias("l"), low.contains("refresh").alias("r")).filter("l or r")
-    link = F.coalesce(*[F.nullif(F.regexp_extract("html", _LINK, k), F.lit("")) for k in (1, 2, 3)])
-    out = out.withColumn("href", F.coalesce(F.when(F.col("l"), link), F.when(F.col("r"), F.nullif(F.regexp_extract("html", _REFRESH, 1), F.lit("")))))
+    none = F.array().cast("array<string>")
+    links = F.concat(*[F.regexp_extract_all("html", F.lit(_LINK), F.lit(k)) for k in (1, 2, 3)])
+    moves = F.regexp_extract_all("html", F.lit(_REFRESH), F.lit(1))
+    named = F.concat(F.when(F.col("l"), links).otherwise(none), F.when(F.col("r"), moves).otherwise(none))
+    out = out.select("src", F.explode(F.array_distinct(named)).alias("href"))
+    out = out.select("src", F.trim(F.replace("href", F.lit("&amp;"), F.lit("&"))).alias("href"))
     # Few pages name another url. A copy of them keeps the steps that follow from being folded into one expression.
-    out = checkpointed(out.filter("href is not null").select("src", F.trim(F.replace("href", F.lit("&amp;"), F.lit("&"))).alias("href")))
+    out = checkpointed(out.filter("href != ''"))
     out = parsed(out, "src").withColumn("site", F.concat("scheme", F.lit("://"), "host"))
     href, folder = F.col("href"), F.regexp_extract("path", r"^(?s:.*)/", 0)
     whole = (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), href)
         .when(href.startswith("//"), F.concat("scheme", F.lit(":"), href))
         .when(href.startswith("/"), F.concat("site", href))
+        .when(href.startswith("?"), F.concat("site", F.when(F.col("path") == "", F.lit("/")).otherwise(F.col("path")), href))
+        # A part of the same page, or what is no place on a host (mailto:), is no other url.
+        .when(href.startswith("#") | href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
         .otherwise(F.concat("site", F.when(folder == "", F.lit("/")).otherwise(folder), href))
     )
     return out.select("src", whole.alias("dst"))
@@ -87,7 +103,7 @@ def judged(pages: DataFrame, rules: Sequence[Rule], *, url: str = "url", html: s
     if redirects is not None:
         links = links.unionByName(redirects.select("src", "dst"))
     links = checkpointed(links.filter("src is not null and dst is not null"))
-    links = checkpointed(parsed(parsed(links, "src"), "dst", "to_").select("host", "path", "node", "to_host", "to_path", "to_node"))
+    links = checkpointed(parsed(parsed(links, "src"), "dst", "to_").select("host", "path", "node", "to_host", F.col("to_way").alias("to_path"), "to_node"))
     links = links.filter("node is not null and to_node is not null")
     groups = checkpointed(components(links.filter("node != to_node").select(F.col("node").alias("u"), F.col("to_node").alias("v"))).select(F.col("node").alias("_node"), F.col("component").alias("_group")))
     # Urls that are only named decide for their class as pages do.
