@@ -1,10 +1,11 @@
-"""Near-duplicate documents by ProbMinHash over weighted word shingles, banding and verification.
-
-1. Documents of the same word sequence are one text. Each text's shingles (``size`` words; a shorter
-   text is one shingle) get weights 1 + log2(count). Every shingle is a Poisson process of that rate,
-   each of whose arrivals falls on a random register; a register keeps the shingle that arrived first,
-   and a shingle ends when its next arrival comes after the latest register. Two texts agree on a
-   register with the probability Jaccard similarity of their weights.
+"""Near-duplicate documents by ProbMinHash over word shingles, banding and verification.
+
+1. Documents of the same word sequence are one text. Each of a text's shingles (``size`` words; a shorter
+   text is one shingle) has weight 1, however often it occurs, as the similarity that decides is that of
+   sets. Every shingle is a Poisson process of that rate, each of whose arrivals falls on a random
+   register; a register keeps the shingle that arrived first, and a shingle ends when its next arrival
+   comes after the latest register. Two texts agree on a register with the probability Jaccard
+   similarity of their weights, which for weights of 1 is the Jaccard similarity of their sets.
 2. Bands of registers give bucket keys. In a bucket, texts whose registers agree on ``SCREEN`` or more
    are joined; the joined families are all that exact verification has to look into.
 3. Inside a family two texts are linked if the Jaccard similarity of their shingle sets is ``least`` or
@@ -105,8 +106,9 @@ def banded(first: np.ndarray) -> np.ndarray:
 
 
 def weighed(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    once, count = np.unique(shingles, return_counts=True)
-    return once, 1 + np.log2(count)
+    """Shingles once each, with weight 1: weights by count would sketch another similarity than is verified."""
+    once = np.unique(shingles)
+    return once, np.ones(len(once))
 
 
 def digest(split: list[bytes], text: bytes | None) -> bytes:
