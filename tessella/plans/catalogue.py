@@ -125,6 +125,7 @@ h AS (SELECT query_index, nbk_id, passage_id, overlap, round(n * CAST(0.1 AS DOU
 
 
 def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The reference takes 1 to 5 searches in a batch, and this is one batch; batch_ranks has no such limit.
     asked = table(spark, sf_dir, "benchmark").filter("item_id < 5").select(F.col("item_id").alias("query_index"), F.col("text").alias("query"))
     return search.batch_ranks(passages(spark, sf_dir), asked).withColumn("score", F.round("score", 6))
 
