@@ -1,10 +1,11 @@
 """Chat formatting by a grammar round trip. DataFrame functions only.
 
 A turn is written ``<s>[INST]role[/INST]text</s>``, a conversation is its turns in order. The grammar is
-deterministic: turns end at ``</s>``, the role at the first ``[/INST]``. Each turn is written plainly,
-parsed again and compared with its source; only if it differs its role and text are escaped. Escaping
-puts a backslash after the first character of each control string, and of each that is escaped
-already, so that reading takes one away again; the whole is then parsed and compared once more.
+deterministic: turns end at ``</s>``, the role at the first ``[/INST]``, and a control string anywhere
+else (a lone ``[INST]`` in a text, say) is an error. Each turn is written plainly, parsed again and
+compared with its source; if it is no turn of the grammar, or reads as another one, its role and text are
+escaped. Escaping puts a backslash after the first character of each control string, and of each that
+is escaped already, so that reading takes one away again; the whole is then parsed and compared once more.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 BEGIN, MIDDLE, END = "<s>[INST]", "[/INST]", "</s>"
 _CONTROL = r"([<\[])(\\*)(/?(?:s>|INST\]))"
 _ESCAPED = r"([<\[])\\(\\*)(/?(?:s>|INST\]))"
+_LIVE = r"[<\[]/?(?:s>|INST\])"
 
 
 def escape(text: Column) -> Column:
@@ -30,14 +32,15 @@ def written(role: Column, text: Column) -> Column:
 
 
 def parsed(formatted: Column) -> Column:
-    """The turns (role, text) of a formatted text; anything that isn't of the grammar gives a null role."""
+    """The turns (role, text) of a formatted text; a turn that isn't of the grammar has a null role."""
     pieces = F.split(formatted, END, -1)
     turns = F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0)))
 
     def turn(piece: Column) -> Column:
         halves = F.split(piece, r"\[/INST\]", 2)
-        whole = piece.startswith(BEGIN) & (F.size(halves) == 2)
-        return F.struct(F.when(whole, unescape(F.substr(halves[0], F.lit(len(BEGIN) + 1)))).alias("role"), unescape(F.get(halves, F.lit(1))).alias("text"))
+        role, text = F.substr(halves[0], F.lit(len(BEGIN) + 1)), F.get(halves, F.lit(1))
+        whole = piece.startswith(BEGIN) & (F.size(halves) == 2) & ~role.rlike(_LIVE) & ~text.rlike(_LIVE)
+        return F.struct(F.when(whole, unescape(role)).alias("role"), unescape(text).alias("text"))
 
     return F.transform(turns, turn)
 

@@ -2,11 +2,13 @@
 
 import hashlib
 
+import duckdb
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from llm_classes import DATA
+from pyspark.sql import functions as F
 
-from tessella.llm import chat
+from tessella.llm import chat, sql
 from tessella.llm.queries import op6_chat_formatting
 
 PARTS = ["<s>", "</s>", "[INST]", "[/INST]", "\\", "<", "[", "<\\/s>", "[\\INST]", "ok", "\n", " ", "é", "<\\\\s>", "INST]", "/s>"]
@@ -56,3 +58,30 @@ def test_query(spark):
     out = op6_chat_formatting(spark, DATA)
     assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in out.collect()} == expected(rows)
     assert "Python" not in out._jdf.queryExecution().toString()
+
+
+def test_control_strings_never_stand_bare(spark):
+    """Lone control strings read back as they are, but would be live ones for a model: they are escaped all the same."""
+    rows = [(1, 0, "user", "see [INST] here"), (1, 1, "assistant", "and <s> or [/INST] there"), (1, 2, "</s>", "<s>"), (2, 0, "user", "plain")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = {r.conv_id: r.formatted for r in chat.formatted(df).collect()}
+    assert out[1] == r"<s>[INST]user[/INST]see [\INST] here</s><s>[INST]assistant[/INST]and <\s> or [\/INST] there</s><s>[INST]<\/s>[/INST]<\s></s>"
+    assert out[2] == "<s>[INST]user[/INST]plain</s>"
+    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.read_back(chat.formatted(df)).collect()} == expected(rows)
+
+
+def test_bare_control_strings_are_no_turns(spark):
+    df = spark.createDataFrame([("<s>[INST]user[/INST]a [INST] b</s><s>[INST]user[/INST]c</s>",)], "f string")
+    assert [t.role for t in df.select(chat.parsed(F.col("f")).alias("t")).first().t] == [None, "user"]
+
+
+def test_against_sql_on_control_strings(spark, tmp_path):
+    """The registered SQL on conversations most of which hold control strings."""
+    texts = ["see [INST] here", "and <s> or", "[/INST]", "</s>", r"<\s>", r"[\\/INST] x", "plain", None, "", "<s>[INST]user[/INST]x</s>"]
+    rows = [(c, t, ["user", "assistant", "a[INST]", None][(c + t) % 4], texts[(c * 3 + t) % len(texts)]) for c in range(20) for t in range(4)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    got = sorted(tuple(r[c] for c in names) for r in op6_chat_formatting(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    assert got == sorted(con.execute(f"select {', '.join(names)} from ({sql.CHAT})").fetchall())
