@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterable, Iterator
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,63 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+class Scratch:
+    """Tables written in the shared checkpoint folder, to cut lineage and to be read several times.
+
+    Used as a context, it deletes them at its end, but for those that were put to stay: results that are
+    handed out read these. What a write has shuffled is deleted as soon as it is written.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.at, self.most = spark, f"{checkpoint_dir(spark).rstrip('/')}/tessella-{uuid4().hex}", 0
+        self.gone: list[str] = []
+
+    def put(self, df: DataFrame, stay: bool = False) -> DataFrame:
+        self.most += 1
+        path = f"{self.at}/{self.most}"
+        if not stay:
+            self.gone.append(path)
+        before = self.spark.conf.get(_CLEANUP, None)
+        try:
+            self.spark.conf.set(_CLEANUP, "true")
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before) if before is not None else self.spark.conf.unset(_CLEANUP)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        for path in self.gone:
+            deleted(self.spark, path)
+        self.gone = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop()
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Rows of a small key and value up to which a table is sent to every task: a few MB.
+FEW = 100_000
+
+
+def few(values: DataFrame) -> DataFrame:
+    """A stored table that holds each join key once, marked to be sent to every task if it is small.
+
+    It is counted first. A small one then meets all rows where they are, whatever the keys' shares of the
+    rows; beyond that both sides are dealt out raw, so that an adaptive plan can split very frequent keys.
+    """
+    return F.broadcast(values) if values.count() <= FEW else values
+
+
 def without(df: DataFrame, names: Iterable[str]) -> list[str]:
     """The columns of ``df`` but those that clash with an operator's own results."""
     own = {n.lower() for n in names}
@@ -81,6 +139,8 @@ def held(name, make):
 
 #: 64-bit words of a bitmap, whatever the input: 1 MB.
 WORDS = 1 << 17
+#: Bytes of the longest text that a memo keeps as a key, so that its entries bound its bytes.
+KEY = 64
 
 
 def bitmap(keys: DataFrame, key: str) -> DataFrame:
@@ -93,11 +153,12 @@ def bitmap(keys: DataFrame, key: str) -> DataFrame:
     return keys.groupBy(F.pmod(F.col(key), F.lit(WORDS)).alias("w")).agg(F.bit_or(bit).alias("bits"))
 
 
-def sifted(rows: DataFrame, key: str, bits: DataFrame) -> DataFrame:
-    """Rows whose long key may be in a bitmap."""
-    found = rows.withColumn("_w", F.pmod(F.col(key), F.lit(WORDS))).join(F.broadcast(bits.select(F.col("w").alias("_w"), F.col("bits").alias("_bits"))), "_w")
+def sifted(rows: DataFrame, key: str, bits: DataFrame, inside: bool = True) -> DataFrame:
+    """Rows whose long key may be in a bitmap; or else those whose key surely isn't."""
+    found = rows.withColumn("_w", F.pmod(F.col(key), F.lit(WORDS))).join(F.broadcast(bits.select(F.col("w").alias("_w"), F.col("bits").alias("_bits"))), "_w", "inner" if inside else "left")
     place = F.pmod(F.shiftrightunsigned(key, 40), F.lit(64)).cast("int")
-    return found.filter(F.call_function("shiftright", F.col("_bits"), place).bitwiseAND(F.lit(1).cast("long")) == 1).drop("_w", "_bits")
+    bit = F.call_function("shiftright", F.coalesce("_bits", F.lit(0).cast("long")), place).bitwiseAND(F.lit(1).cast("long"))
+    return found.filter(bit == int(inside)).drop("_w", "_bits")
 
 
 def may_contain(words: list[int], key: int) -> bool:

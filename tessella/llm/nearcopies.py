@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import WORDS, bitmap, checkpointed, held, may_contain, slices, without
+from .common import KEY, WORDS, Scratch, bitmap, few, held, may_contain, sifted, slices, without
 from .contamination import words
 from .graph import components
 from .runs import Forest, in_block_pairs, runs
@@ -56,9 +56,11 @@ class Shingler:
 
         class Known(dict):
             def __missing__(memo, word: bytes) -> int:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                memo[word] = h = xxhash.xxh64_intdigest(word)
+                h = xxhash.xxh64_intdigest(word)
+                if len(word) <= KEY:
+                    if len(memo) >= MEMO:
+                        memo.clear()
+                    memo[word] = h
                 return h
 
         self.known = Known()
@@ -132,17 +134,19 @@ def shingler(size: int) -> Shingler:
 
 
 def sketched(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
-    """(d, h, t, keys, sig): id, hash of the text, digest of the word sequence or of the text (null for none), band keys, registers' low 16 bits."""
+    """(d, h, t, keys, sig, w): id, hash of the text, digest of the word sequence or of the text (null for none), band keys, registers' low 16 bits, shingles."""
 
     def run(batches):
         cut = shingler(size)
         for batch, texts in slices(batches, "x", SLICE):
             elements, weights, owner, digests, has = [], [], [], [], []
+            size_of = [0] * len(texts)
             for k, t in enumerate(texts):
                 split = words(t)
                 digests.append(digest(split, t) if t else None)
                 if split:
                     e, w = weighed(cut(split))
+                    size_of[k] = len(e)
                     elements.append(e)
                     weights.append(w)
                     owner.append(np.full(len(e), len(has), np.int64))
@@ -152,10 +156,10 @@ def sketched(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
                 first = signatures(np.concatenate(elements), np.concatenate(weights), np.concatenate(owner), len(has))
                 for k, b, s in zip(has, banded(first), first.astype(np.uint16), strict=True):
                     keys[k], sig[k] = b, s.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())], names=["d", "h", "t", "keys", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary()), pa.array(size_of, pa.int64())], names=["d", "h", "t", "keys", "sig", "w"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("h"), F.col(text).alias("x")).mapInArrow(run, f"d {kind}, h long, t binary, keys array<long>, sig binary")
+    return docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("h"), F.col(text).alias("x")).mapInArrow(run, f"d {kind}, h long, t binary, keys array<long>, sig binary, w long")
 
 
 def screened(batches):
@@ -218,62 +222,86 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size
     if they are equal; null and empty texts are like nothing, each its own class. Repeated rows are
     copies of each other. A null id can't name a class: it is passed over unless a class has no other.
     """
-    return grouped(docs, doc_id, text, size, least).select(F.col("d").alias(doc_id), "t", F.coalesce("class_id", "d").alias("class_id"))
+    member, lead = grouped(docs, doc_id, text, size, least)
+    out = member.filter("g is not null").join(few(lead.select("g", "class_id")), "g").select("d", "t", "class_id")
+    out = out.unionByName(member.filter("g is null").select("d", "t", F.lit(None).cast(out.schema["class_id"].dataType).alias("class_id")))
+    return out.select(F.col("d").alias(doc_id), "t", F.coalesce("class_id", "d").alias("class_id"))
 
 
-def grouped(docs: DataFrame, doc_id: str, text: str, size: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """(d, h, t, g, class_id): also the hash of the text and the group, null for null and empty texts."""
+#: Shingles that count as much as a text in blocks of a family, so that a block has a bounded size.
+HEAVY = 2000
+
+
+def grouped(docs: DataFrame, doc_id: str, text: str, size: int = SHINGLE, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
+    """Two stored tables: (d, h, t, g), with the hash of the text and the group, null for null and empty texts; (g, class_id, n)."""
     ship(docs.sparkSession)
     spark = docs.sparkSession
-    sketch = checkpointed(sketched(docs, doc_id, text, size))
-    texts = sketch.filter("keys is not null").groupBy("t").agg(F.first("keys").alias("keys"), F.first("sig").alias("sig"))
-    texts = checkpointed(texts)
-    bands = texts.select("t", F.explode("keys").alias("k"))
-    buckets = bands.groupBy("k").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("t")).alias("x"), F.min("t").alias("m")).filter("n > 1")
-    # Bands that gather the same texts are looked at once.
-    buckets = buckets.groupBy("n", "x", "m").agg(F.min("k").alias("k")).select("k", "n")
-    rows = bands.join(buckets, "k").join(texts.select("t", "sig"), "t")
-    families = components(in_block_pairs(rows, "k", "t", "n").select("k", "_i", "_j", "t", "sig").mapInArrow(screened, "u binary, v binary"))
-    families = families.select(F.col("node").alias("t"), F.xxhash64("component").alias("k"))
-    families = checkpointed(families.join(families.groupBy("k").agg(F.count("*").alias("n")), "k"))
-
-    bits = np.zeros(WORDS, np.int64)
-    for r in bitmap(families.select(long_of("t").alias("h")), "h").toLocalIterator():
-        bits[r.w] = r.bits
-    wanted = spark.sparkContext.broadcast(bits)
-
-    def sets(batches):
-        cut, bits, seen = shingler(size), wanted.value.tolist(), set()
-        for batch, own in slices(batches, "x", SLICE):
-            t, held = [], []
-            for x in own:
-                split = words(x)
-                d = digest(split, x)
-                if split and d not in seen and may_contain(bits, number(d)):
-                    seen.add(d)
-                    t.append(d)
-                    held.append(np.unique(cut(split)).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(t, pa.binary()), pa.array(held, pa.binary())], names=["t", "set"])
-
-    held = docs.select(F.col(text).alias("x")).mapInArrow(sets, "t binary, set binary")
-    rows = families.join(held, "t").dropDuplicates(["t"]).join(texts.select("t", "sig"), "t")
-    edges = in_block_pairs(rows, "k", "t", "n").select("k", "_i", "_j", "t", "sig", "set").mapInArrow(linked(least), "u binary, v binary")
-    groups = components(edges)
-    with_group = sketch.select("d", "h", "t").join(groups.select(F.col("node").alias("t"), "component"), "t", "left").select("d", "h", "t", F.coalesce("component", "t").alias("g"))
-    least_id = with_group.filter("g is not null").groupBy("g").agg(F.min("d").alias("class_id"))
-    return with_group.join(least_id, "g", "left").select("d", "h", "t", "g", "class_id")
+    with Scratch(spark) as scratch:
+        sketch = scratch.put(sketched(docs, doc_id, text, size))
+        texts = sketch.filter("keys is not null").groupBy("t").agg(F.first("keys").alias("keys"), F.first("sig").alias("sig"), F.first("w").alias("w"))
+        texts = scratch.put(texts)
+        bands = texts.select("t", F.explode("keys").alias("k"))
+        buckets = bands.select("k", F.xxhash64("t").alias("x"), F.xxhash64(F.lit(1), "t").alias("y")).groupBy("k").agg(F.count("*").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).filter("n > 1")
+        # Bands that gather the same texts are looked at once.
+        buckets = scratch.put(buckets.groupBy("n", "x", "y").agg(F.min("k").alias("k")).select("k", "n"))
+        rows = sifted(bands, "k", bitmap(buckets, "k")).join(few(buckets), "k").join(texts.select("t", "sig"), "t")
+        families = components(in_block_pairs(rows, "k", "t", "n").select("k", "_i", "_j", "t", "sig").mapInArrow(screened, "u binary, v binary"), scratch)
+        weight = F.greatest(F.lit(1), F.ceil(F.col("w") / HEAVY)).cast("long")
+        families = families.select(F.col("node").alias("t"), F.xxhash64("component").alias("k"))
+        families = scratch.put(families.join(texts.select("t", "sig", "w"), "t"))
+        sizes = scratch.put(families.groupBy("k").agg(F.sum(weight).alias("n")))
+
+        bits = np.zeros(WORDS, np.int64)
+        for r in bitmap(families.select(long_of("t").alias("h")), "h").toLocalIterator():
+            bits[r.w] = r.bits
+        wanted = spark.sparkContext.broadcast(bits)
+
+        def sets(batches):
+            cut, bits, seen = shingler(size), wanted.value.tolist(), set()
+            for batch, own in slices(batches, "x", SLICE):
+                t, held = [], []
+                for x in own:
+                    split = words(x)
+                    d = digest(split, x)
+                    if split and d not in seen and may_contain(bits, number(d)):
+                        if len(seen) >= MEMO:  # it only spares repeated rows
+                            seen.clear()
+                        seen.add(d)
+                        t.append(d)
+                        held.append(np.unique(cut(split)).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(t, pa.binary()), pa.array(held, pa.binary())], names=["t", "set"])
+
+        held = docs.select(F.col(text).alias("x")).mapInArrow(sets, "t binary, set binary")
+        rows = families.join(held, "t").dropDuplicates(["t"]).join(few(sizes), "k")
+        edges = in_block_pairs(rows, "k", "t", "n").select("k", "_i", "_j", "t", "sig", "set").mapInArrow(linked(least), "u binary, v binary")
+        groups = few(components(edges, scratch))
+        member = sketch.filter("t is not null").select("d", "h", "t").join(groups.select(F.col("node").alias("t"), "component"), "t", "left").select("d", "h", "t", F.coalesce("component", "t").alias("g"))
+        member = scratch.put(member.unionByName(sketch.filter("t is null").select("d", "h", "t", F.lit(None).cast("binary").alias("g"))), stay=True)
+        lead = member.filter("g is not null").groupBy("g").agg(F.min("d").alias("class_id"), F.count("*").alias("n"))
+        return member, scratch.put(lead, stay=True)
 
 
 def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One document of each class, with its own columns: the one of the smallest id, then of the smallest hash of its text.
 
-    Of repeated rows one stays. A null id comes after all others. Documents with a null or empty text all stay.
+    Of repeated rows one stays. A null id comes after all others. Documents with a null or empty text all
+    stay. An empty table gives an empty one. Only documents of classes of several travel with their texts.
     """
     keep = without(docs, OWN)
-    empty = F.coalesce(F.length(text), F.lit(0)) == 0
-    full = docs.filter(~empty).select(*keep)
-    leads = grouped(full, doc_id, text, **options).groupBy("g").agg(F.min(F.struct(F.col("d").isNull().alias("z"), "d", "h")).alias("_l"))
-    leads = leads.select(F.col("_l.d").alias("__ts_d"), F.col("_l.h").alias("__ts_h")).distinct()
-    stay = full.join(leads, full[doc_id].eqNullSafe(leads["__ts_d"]) & (F.xxhash64(full[text]) == leads["__ts_h"]))
-    once = stay.groupBy("__ts_d", "__ts_h").agg(F.first(F.struct(*keep)).alias("__ts_s"))
-    return once.select("__ts_s.*").unionByName(docs.filter(empty).select(*keep))
+    member, lead = grouped(docs, doc_id, text, **options)
+    with Scratch(docs.sparkSession) as scratch:
+        several = member.filter("g is not null").join(few(lead.filter("n > 1").select("g")), "g")
+        several = scratch.put(several.select("d", "h", "g"), stay=True)
+    leads = several.groupBy("g").agg(F.min(F.struct(F.col("d").isNull().alias("z"), "d", "h")).alias("l")).select("l.d", "l.h").distinct()
+    leads = leads.select(F.col("d").alias("__ts_d"), F.col("h").alias("__ts_h"))
+    bits = bitmap(several, "h")
+    every = docs.select(*keep, F.xxhash64(text).alias("__ts_x"), (F.coalesce(F.length(text), F.lit(0)) == 0).alias("__ts_e"))
+    full = every.filter(~F.col("__ts_e"))
+    single = sifted(full, "__ts_x", bits, inside=False).select(*keep)
+    # Texts that only share a bit with those of a class are in none, and stay like them.
+    near = sifted(full, "__ts_x", bits)
+    mark = few(several.select(F.col("d").alias("__ts_d"), F.col("h").alias("__ts_h")).distinct())
+    same = F.col(doc_id).eqNullSafe(F.col("__ts_d")) & (F.col("__ts_x") == F.col("__ts_h"))
+    apart = near.join(mark, same, "left_anti").select(*keep)
+    once = near.join(leads, same).groupBy("__ts_d", "__ts_h").agg(F.first(F.struct(*keep)).alias("__ts_s")).select("__ts_s.*")
+    return single.unionByName(apart).unionByName(once).unionByName(every.filter("__ts_e").select(*keep))

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, without
+from .common import Scratch, few, without
 from .graph import components
 
 Rule = tuple[str, str, str]
@@ -65,7 +65,7 @@ def fitting(rules: Sequence[Rule], h: Column, p: Column) -> tuple[Column, Column
     return name, action
 
 
-def targets(pages: DataFrame, url: str, html: str) -> DataFrame:
+def targets(pages: DataFrame, url: str, html: str, scratch: Scratch) -> DataFrame:
     """(src, dst): urls of pages and every absolute url that each names as canonical or redirects to."""
     low = F.lower(html)
     out = pages.select(F.col(url).alias("src"), F.col(html).alias("html"), low.contains("canonical").alias("l"), low.contains("refresh").alias("r")).filter("l or r")
@@ -76,7 +76,7 @@ def targets(pages: DataFrame, url: str, html: str) -> DataFrame:
     out = out.select("src", F.explode(F.array_distinct(named)).alias("href"))
     out = out.select("src", F.trim(F.replace("href", F.lit("&amp;"), F.lit("&"))).alias("href"))
     # Few pages name another url. A copy of them keeps the steps that follow from being folded into one expression.
-    out = checkpointed(out.filter("href != ''"))
+    out = scratch.put(out.filter("href != ''"))
     out = parsed(out, "src").withColumn("site", F.concat("scheme", F.lit("://"), "host"))
     href, folder = F.col("href"), F.regexp_extract("path", r"^(?s:.*)/", 0)
     whole = (
@@ -96,23 +96,33 @@ def judged(pages: DataFrame, rules: Sequence[Rule], *, url: str = "url", html: s
 
     ``redirects`` may give more edges, as (src, dst) urls. A page without url, or whose url has no ``://``,
     has an empty host and path, fits no rule and is allowed. Null or empty html names no other url.
-    Repeated urls are one resource, and get one verdict. Columns that clash with the results are replaced.
+    Repeated urls are one resource, and get one verdict; an empty table gives an empty one. Very long urls and
+    pages are read whole. Columns that clash with the results are replaced.
     """
     keep = without(pages, OWN)
-    links = targets(pages, url, html)
+    with Scratch(pages.sparkSession) as scratch:
+        fate = few(fates(pages, rules, url, html, redirects, scratch))
+    own = parsed(pages.select(*keep, F.col(url).alias("__ts_url")), "__ts_url", "__ts_")
+    name, action = fitting(rules, F.col("__ts_host"), F.col("__ts_path"))
+    result = [*[F.col(c) for c in keep], F.col("__ts_host").alias("host"), F.col("__ts_path").alias("path"), name.alias("rule")]
+    met = own.filter("__ts_node is not null").join(fate.select(F.col("_node").alias("__ts_node"), F.col("_fate").alias("__ts_fate")), "__ts_node", "left")
+    met = met.select(*result, F.coalesce(action, "__ts_fate", F.lit("allow")).alias("verdict"))
+    # Pages without a url are in no class; they meet none, as all of them would do so in one task.
+    return met.unionByName(own.filter("__ts_node is null").select(*result, F.coalesce(action, F.lit("allow")).alias("verdict")))
+
+
+def fates(pages: DataFrame, rules: Sequence[Rule], url: str, html: str, redirects: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """(_node, _fate) of the nodes whose class holds one with a rule, as a stored table."""
+    links = targets(pages, url, html, scratch)
     if redirects is not None:
         links = links.unionByName(redirects.select("src", "dst"))
-    links = checkpointed(links.filter("src is not null and dst is not null"))
-    links = checkpointed(parsed(parsed(links, "src"), "dst", "to_").select("host", "path", "node", "to_host", F.col("to_way").alias("to_path"), "to_node"))
+    links = scratch.put(links.filter("src is not null and dst is not null"))
+    links = scratch.put(parsed(parsed(links, "src"), "dst", "to_").select("host", "path", "node", "to_host", F.col("to_way").alias("to_path"), "to_node"))
     links = links.filter("node is not null and to_node is not null")
-    groups = checkpointed(components(links.filter("node != to_node").select(F.col("node").alias("u"), F.col("to_node").alias("v"))).select(F.col("node").alias("_node"), F.col("component").alias("_group")))
+    groups = components(links.filter("node != to_node").select(F.col("node").alias("u"), F.col("to_node").alias("v")), scratch).select(F.col("node").alias("_node"), F.col("component").alias("_group"))
     # Urls that are only named decide for their class as pages do.
     ends = links.select("host", "path", "node").union(links.select("to_host", "to_path", "to_node"))
     _, action = fitting(rules, F.col("host"), F.col("path"))
     ruled = ends.select(F.col("node").alias("_node"), action.alias("a")).filter("a is not null").distinct()
-    fate = ruled.join(groups, "_node").groupBy("_group").agg(F.bool_or(F.col("a") == "allow").alias("allow"))
-    fate = groups.join(fate, "_group").select("_node", F.when(F.col("allow"), "allow").otherwise("block").alias("_fate"))
-    own = parsed(pages.select(*keep, F.col(url).alias("__ts_url")), "__ts_url", "__ts_")
-    name, action = fitting(rules, F.col("__ts_host"), F.col("__ts_path"))
-    own = own.join(fate.withColumnRenamed("_node", "__ts_node").withColumnRenamed("_fate", "__ts_fate"), "__ts_node", "left")
-    return own.select(*keep, F.col("__ts_host").alias("host"), F.col("__ts_path").alias("path"), name.alias("rule"), F.coalesce(action, "__ts_fate", F.lit("allow")).alias("verdict"))
+    fate = scratch.put(ruled.join(few(groups), "_node").groupBy("_group").agg(F.bool_or(F.col("a") == "allow").alias("allow")))
+    return scratch.put(groups.join(few(fate), "_group").select("_node", F.when(F.col("allow"), "allow").otherwise("block").alias("_fate")), stay=True)

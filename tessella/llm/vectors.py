@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import checkpointed
+from .common import Scratch, checkpointed
 from .graph import components
 from .runs import Forest, in_block_pairs, whole
 
@@ -202,7 +202,7 @@ def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
     found = in_block_pairs(rows, "k", "t", "size").select("k", "_i", "_j", "_b", "t", "v", "c", "n").mapInArrow(linked(bits, count, least), "u binary, links long, v binary")
     found = checkpointed(found)
     links = found.groupBy("u").agg(F.sum("links").alias("links"))
-    groups = components(found.select("u", "v"))
+    groups = components(found.select("u", "v"), Scratch(vectors.sparkSession))
     per = distinct.select("t", "c").join(links.withColumnRenamed("u", "t"), "t", "left").join(groups.select(F.col("node").alias("t"), "component"), "t", "left")
     per = per.select("t", (F.coalesce("links", F.lit(0)) + F.col("c") - 1).alias("n_links"), F.coalesce("component", "t").alias("g"))
     each = data.select("d", "t").join(per, "t", "left")
