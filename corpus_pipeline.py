@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import contamination, lines, nearcopies, pieces, toxicity
-from tessella.llm.common import checkpoint_dir, table
+from tessella.llm.common import checkpoint_dir, deleted, table
 from tessella.llm.queries import PIECE_MODEL
 
 
@@ -51,10 +51,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over all of ``documents``."""
+    """The rows of the last stage over all of ``documents``; what a stage has written goes once the next has read it.
+
+    Null, empty and very long texts, repeated rows and ids, and more columns are handled as each stage's
+    operator says: null and empty texts stay to the end, of repeated rows one stays. An empty table gives
+    an empty one.
+    """
     at = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(path := f"{at}/{k}-{name}")
-        docs = spark.read.parquet(path)
+        if before:
+            deleted(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
