@@ -1,11 +1,12 @@
 """Near-duplicate vectors by randomly rotated binary codes.
 
-A unit vector is rotated at random and kept as the signs of its coordinates, with the inner product f of
-the vector and its code as correction factor. <code, q> / f is an unbiased estimate of <vector, q> for
-any unit q, with an error of about sqrt((1 - f^2) / f^2 / (D - 1)). The other vector of a pair enters in
-4-bit coordinates, so that an estimate takes four ANDs and bit counts per 64 coordinates. Pairs whose
-estimate is more than ``EPSILON`` such errors below the threshold are left; cosines of all others are
-computed again, exactly, in double precision.
+A unit vector is padded to twice its dimensions or more, rotated at random and kept as the signs of its
+coordinates, with the inner product f of the vector and its code as correction factor. <code, q> / f is an
+unbiased estimate of <vector, q> for any unit q, with an error of about sqrt((1 - f^2) / f^2 / (D - 1)).
+The other vector of a pair enters in 4 bits a coordinate, rounded at random. Codes, factors and 4-bit
+parts are stored, and only they travel when candidates are looked for. Pairs whose estimate is more than
+``EPSILON`` such errors below the threshold are left. For all others the exact vectors are fetched, and
+cosines are computed again in double precision.
 
 Pairs are looked for in buckets of sign-pattern tables (hyperplanes). The number of bits follows the
 number of vectors, and the number of tables the bits, so that a pair at the threshold shares a bucket with
@@ -16,6 +17,7 @@ buckets are cut into blocks of which each two meet in a piece.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -25,13 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import Scratch, checkpointed
+from .common import Scratch, few
 from .graph import components
 from .runs import Forest, in_block_pairs, whole
 
 LEAST, RECALL, EPSILON = 0.9, 0.999, 4.5
-#: Vectors that a bucket of random ones would hold.
-OCCUPANCY = 64
+#: Vectors that a bucket of random ones would hold, and those of a block of a large bucket.
+OCCUPANCY, BLOCK = 1024, 2048
 SEED = 20
 
 
@@ -42,12 +44,30 @@ def tables(n: int, least: float = LEAST, recall: float = RECALL) -> tuple[int, i
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - same**bits))
 
 
+def padded(dim: int) -> int:
+    """Dimensions that codes have: a power of two, twice a vector's at least."""
+    return max(64, 1 << (2 * dim - 1).bit_length())
+
+
 @cache
-def rotation(dim: int) -> np.ndarray:
-    """Rows of a random rotation of the next multiple of 64 dimensions, into which a vector is padded."""
-    size = -(-dim // 64) * 64
-    q, r = np.linalg.qr(np.random.default_rng(SEED).standard_normal((size, size)))
-    return (q * np.sign(np.diag(r)))[:dim]
+def flips(size: int) -> np.ndarray:
+    return np.random.default_rng(SEED).choice([-1.0, 1.0], (3, size))
+
+
+def rotated(x: np.ndarray) -> np.ndarray:
+    """Rows padded and rotated at random: three rounds of random signs and a Hadamard transform each."""
+    size = padded(x.shape[1])
+    out = np.zeros((len(x), size), x.dtype)
+    out[:, : x.shape[1]] = x
+    for signs in flips(size).astype(x.dtype):
+        out *= signs
+        half = 1
+        while half < size:
+            pair = out.reshape(len(x), -1, 2, half)
+            out = np.stack([pair[:, :, 0] + pair[:, :, 1], pair[:, :, 0] - pair[:, :, 1]], 2).reshape(len(x), size)
+            half *= 2
+        out /= math.sqrt(size)
+    return out
 
 
 @cache
@@ -70,115 +90,170 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def packed(bits: np.ndarray) -> np.ndarray:
-    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
-
-
 class Codes:
-    """Codes, factors and 4-bit coordinates of unit vectors."""
+    """Codes, factors and 4-bit coordinates of unit vectors of ``dim`` dimensions."""
 
     def __init__(self, u: np.ndarray):
-        r = u @ rotation(u.shape[1])
-        d = r.shape[1]
-        self.code = packed(r > 0)
-        self.ones = np.bitwise_count(self.code).sum(1).astype(np.float64)
-        self.factor = np.abs(r).sum(1) / math.sqrt(d)
-        self.slack = np.sqrt(np.maximum(0, 1 - self.factor**2) / self.factor**2 / max(1, d - 1))
-        self.low = r.min(1)
-        self.step = np.maximum((r.max(1) - self.low) / 15, 1e-12)
-        noise = np.random.default_rng(SEED + 2).random(d)  # rounding at random keeps the estimate unbiased
-        q = np.minimum(15, np.floor((r - self.low[:, None]) / self.step[:, None] + noise)).astype(np.uint8)
-        self.plane = [packed(q >> b & 1 > 0) for b in range(4)]
-        self.sum = self.low * d + self.step * q.sum(1)
-        self.d = d
+        self.dim, self.d = u.shape[1], padded(u.shape[1])
+        r = rotated(u)
+        self.bits = np.packbits(r > 0, axis=1)
+        low = u.min(1)
+        step = np.maximum((u.max(1) - low) / 15, 1e-12)
+        noise = np.random.default_rng(SEED + 2).random(self.dim)  # rounding at random keeps the estimate unbiased
+        self.q = np.minimum(15, np.floor((u - low[:, None]) / step[:, None] + noise)).astype(np.uint8)
+        self.numbers = np.stack([np.abs(r).sum(1) / math.sqrt(self.d), low, step], 1).astype(np.float32)
+        self.unpack()
+
+    def unpack(self) -> None:
+        """What estimates are computed from: the code in signs, and the 4-bit coordinates, rotated."""
+        self.factor = self.numbers[:, 0].astype(np.float64)
+        self.slack = np.sqrt(np.maximum(0, 1 - self.factor**2) / self.factor**2 / max(1, self.d - 1))
+        self.sign = np.unpackbits(self.bits, axis=1).astype(np.float32) * 2 - 1
+        self.turned = rotated(self.numbers[:, 1:2] + self.numbers[:, 2:3] * self.q)
+
+    def stored(self) -> np.ndarray:
+        """A row of bytes for each vector."""
+        even = self.q if self.dim % 2 == 0 else np.pad(self.q, ((0, 0), (0, 1)))
+        return np.concatenate([self.bits, even[:, ::2] << 4 | even[:, 1::2], self.numbers.view(np.uint8)], axis=1)
+
+    @classmethod
+    def read(cls, rows: np.ndarray, dim: int) -> Codes:
+        self = cls.__new__(cls)
+        self.dim, self.d = dim, padded(dim)
+        a, b = self.d // 8, self.d // 8 + -(-dim // 2)
+        self.bits = rows[:, :a]
+        self.q = np.stack([rows[:, a:b] >> 4, rows[:, a:b] & 15], 2).reshape(len(rows), -1)[:, :dim]
+        self.numbers = rows[:, b : b + 12].copy().view(np.float32)
+        self.unpack()
+        return self
 
     def estimate(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Estimates of the inner products of rows a (as codes) and b (in 4 bits)."""
-        code, hit = self.code[a], np.zeros(len(a))
-        for k, plane in enumerate(self.plane):
-            hit += np.bitwise_count(code & plane[b]).sum(1).astype(np.float64) * (1 << k)
-        # The code is 2 * bit - 1, over sqrt(d); a coordinate is low + step * q.
-        product = 2 * (self.low[b] * self.ones[a] + self.step[b] * hit) - self.sum[b]
-        return product / math.sqrt(self.d) / self.factor[a]
-
-
-def read_vectors(batches):
-    """(d, t, v, n): id, digest, double values and dimensions; nulls for a vector that links with nothing."""
-    for batch in batches:
-        digests, raw, dims = [], [], []
-        for value in batch.column(1):
-            x = None
-            if value.is_valid and len(value.values) and not value.values.null_count:
-                x = np.asarray(value.values.to_numpy(zero_copy_only=False), np.float64) + 0.0
-                if not np.isfinite(x).all() or not x.any():
-                    x = None
-            raw.append(None if x is None else x.tobytes())
-            digests.append(None if x is None else xxhash.xxh3_128_digest(raw[-1]))
-            dims.append(None if x is None else len(x))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(raw, pa.binary()), pa.array(dims, pa.int32())], names=["d", "t", "v", "n"])
-
-
-def keyed(bits: int, count: int):
+        """Estimates of the inner products of rows a (as codes) and b (in 4 bits), pair by pair."""
+        return (self.sign[a] * self.turned[b]).sum(1) / math.sqrt(self.d) / self.factor[a]
+
+    def near(self, rows: np.ndarray, others: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of ``rows`` and ``others`` (or of rows among themselves) whose bound reaches ``least``."""
+        to = rows if others is None else others
+        bound = (least - EPSILON * self.slack[rows]) * self.factor[rows] * math.sqrt(self.d)
+        hit = self.sign[rows] @ self.turned[to].T >= bound[:, None].astype(np.float32)
+        p, q = np.nonzero(np.triu(hit, 1) if others is None else hit)
+        return rows[p], to[q]
+
+
+def read_vectors(kind: str):
+    """(d, t, v, n): id, digest, values and dimensions; nulls for a vector that links with nothing."""
+
+    def run(batches):
+        for batch in batches:
+            digests, raw, dims = [], [], []
+            for value in batch.column(1):
+                x = None
+                if value.is_valid and len(value.values) and not value.values.null_count:
+                    x = np.asarray(value.values.to_numpy(zero_copy_only=False), np.float64) + 0.0
+                    if not np.isfinite(x).all() or not x.any():
+                        x = None
+                raw.append(None if x is None else x.astype(kind).tobytes())
+                digests.append(None if x is None else xxhash.xxh3_128_digest(raw[-1]))
+                dims.append(None if x is None else len(x))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(raw, pa.binary()), pa.array(dims, pa.int32())], names=["d", "t", "v", "n"])
+
+    return run
+
+
+def values(raw: list[bytes], n: int, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), kind).reshape(len(raw), n).astype(np.float64)
+
+
+def width(bits: int) -> str:
+    """The type that keys of so many bits are stored in."""
+    return "u1" if bits <= 8 else "<u2" if bits <= 16 else "<u4"
+
+
+def coded(bits: int, count: int, kind: str):
+    """(r, x, n, keys): the stored code with the keys behind it, and a mark of every bucket."""
+
     def run(batches):
         for batch in batches:
-            dims = batch.column(3).to_numpy()
-            out = np.zeros((batch.num_rows, count), np.int64)
+            dims = batch.column(2).to_numpy()
+            out, stored = np.zeros((batch.num_rows, count), np.int64), [b""] * batch.num_rows
             raw = batch.column(1).to_pylist()
             for n in np.unique(dims):
                 at = np.flatnonzero(dims == n)
-                x = np.frombuffer(b"".join(raw[i] for i in at), np.float64).reshape(len(at), n)
-                mark = (np.arange(count, dtype=np.int64) << 31 | int(n) << 45).astype(np.int64)
-                out[at] = keys(x, bits, count) | mark
+                x = values([raw[i] for i in at], n, kind)
+                own = keys(x, bits, count)
+                out[at] = own | (np.arange(count, dtype=np.int64) << 31 | int(n) << 45)
+                rows = np.concatenate([Codes(unit(x)).stored(), np.ascontiguousarray(own.astype(width(bits))).view(np.uint8).reshape(len(at), -1)], axis=1)
+                for i, row in zip(at.tolist(), rows, strict=True):
+                    stored[i] = row.tobytes()
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, count), pa.int32()), pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["t", "v", "c", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(stored, pa.binary()), batch.column(2), lists], names=["r", "x", "n", "keys"])
 
     return run
 
 
-def linked(bits: int, count: int, least: float):
-    """From pieces of buckets: for each text of a table of rows its links (copies counted) and a spanning edge."""
+def pieces(batches) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray | None]]:
+    """A table of whole pieces of buckets, and the rows of each that meet: two blocks, or one in itself."""
+    for rows in whole(batches, ["k", "_i", "_j"]):
+        k, i, j, b = (rows.column(c).to_numpy() for c in ("k", "_i", "_j", "_b"))
+        cuts = np.flatnonzero(np.concatenate([[True], (np.diff(k) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0), [True]]))
+        for begin, end in zip(cuts[:-1][np.diff(cuts) > 1].tolist(), cuts[1:][np.diff(cuts) > 1].tolist(), strict=True):
+            at = np.arange(begin, end)
+            if i[begin] == j[begin]:
+                yield rows, at, None
+            elif len(own := at[b[at] == i[begin]]) and len(other := at[b[at] != i[begin]]):
+                yield rows, own, other
+
+
+def first_shared(p: np.ndarray, q: np.ndarray, spread: np.ndarray, k: int) -> np.ndarray:
+    """Whether the bucket ``k`` is of the first table that two rows share."""
+    return (spread[p] == spread[q]).argmax(1) == (k >> 31 & 0x3FFF)
+
+
+def candidates(bits: int, count: int, least: float):
+    """The rows of pieces that have a pair whose bound reaches ``least``, from stored codes alone."""
 
     def run(batches):
-        for rows in whole(batches, ["k", "_i", "_j"]):
-            if rows.num_rows < 2:
-                continue
-            k, i, j, b = (rows.column(c).to_numpy() for c in ("k", "_i", "_j", "_b"))
-            group = np.concatenate([[0], np.cumsum((np.diff(k) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0))])
-            dims, copies, raw = rows.column("n").to_numpy(), rows.column("c").to_numpy(), rows.column("v")
-            t = rows.column("t").to_pylist()
-            links, forest = np.zeros(len(k), np.int64), Forest(len(k))
-            for n in np.unique(dims):
-                own = np.flatnonzero(dims == n)
-                x = np.frombuffer(b"".join(raw.take(pa.array(own)).to_pylist()), np.float64).reshape(len(own), n)
-                u = unit(x)
-                codes, g, one, block = Codes(u), group[own], (i == j)[own], b[own]
-                table = (k[own] >> 31) & 0x3FFF
-                live = np.arange(len(own) - 1)
-                for d in range(1, len(own)):
-                    live = live[live + d < len(own)]
-                    live = live[g[live] == g[live + d]]
-                    if not len(live):
-                        break
-                    p = live[one[live] | (block[live] != block[live + d])]
-                    q = p + d
-                    near = codes.estimate(p, q) + EPSILON * codes.slack[p] >= least
-                    p, q = p[near], q[near]
-                    if not len(p):
-                        continue
-                    true = (u[p] * u[q]).sum(1) >= least
-                    p, q = p[true], q[true]
-                    if not len(p):
-                        continue
-                    some = np.unique(np.concatenate([p, q]))
-                    spread = keys(x[some], bits, count)
-                    first = (spread[np.searchsorted(some, p)] == spread[np.searchsorted(some, q)]).argmax(1) == table[p]
-                    p, q = p[first], q[first]
-                    np.add.at(links, own[p], copies[own[q]])
-                    np.add.at(links, own[q], copies[own[p]])
-                    for a, c in zip(own[p].tolist(), own[q].tolist(), strict=True):
-                        forest.join(a, c)
-            at = np.flatnonzero(links)
-            yield pa.RecordBatch.from_arrays([pa.array([t[a] for a in at], pa.binary()), pa.array(links[at]), pa.array([t[forest.find(a)] for a in at.tolist()], pa.binary())], names=["u", "links", "v"])
+        for rows, own, other in pieces(batches):
+            at = own if other is None else np.concatenate([own, other])
+            k, n = rows.column("k")[int(at[0])].as_py(), rows.column("n")[int(at[0])].as_py()
+            raw = rows.column("x").take(pa.array(at)).to_pylist()
+            data = np.frombuffer(b"".join(raw), np.uint8).reshape(len(at), -1)
+            size = np.dtype(width(bits)).itemsize * count
+            codes, spread = Codes.read(data[:, :-size], n), np.ascontiguousarray(data[:, -size:]).view(width(bits))
+            p, q = codes.near(np.arange(len(own)), None if other is None else np.arange(len(own), len(at)), least)
+            first = first_shared(p, q, spread, k)
+            keep = at[np.unique(np.concatenate([p[first], q[first]]))]
+            if len(keep):
+                yield pa.RecordBatch.from_arrays([rows.column(c).take(pa.array(keep)).combine_chunks() for c in ("k", "_i", "_j", "_b", "r")], names=["k", "_i", "_j", "_b", "r"])
+
+    return run
+
+
+def linked(bits: int, count: int, least: float, kind: str):
+    """From pieces with exact vectors: for each row its links (copies counted) and a spanning edge."""
+
+    def run(batches):
+        for rows, own, other in pieces(batches):
+            at = own if other is None else np.concatenate([own, other])
+            part = rows.take(pa.array(at))
+            k, n = part.column("k")[0].as_py(), part.column("n")[0].as_py()
+            x, copies, r = values(part.column("v").to_pylist(), n, kind), part.column("c").to_numpy(), part.column("r").to_numpy()
+            u = unit(x)
+            p, q = Codes(u).near(np.arange(len(own)), None if other is None else np.arange(len(own), len(at)), least)
+            first = first_shared(p, q, keys(x, bits, count), k)
+            p, q = p[first], q[first]
+            links, forest = np.zeros(len(at), np.int64), Forest(len(at))
+            for begin in range(0, len(p), 1 << 16):
+                a, b = p[begin : begin + (1 << 16)], q[begin : begin + (1 << 16)]
+                true = (u[a] * u[b]).sum(1) >= least
+                a, b = a[true], b[true]
+                np.add.at(links, a, copies[b])
+                np.add.at(links, b, copies[a])
+                for c, d in zip(a.tolist(), b.tolist(), strict=True):
+                    forest.join(c, d)
+            some = np.flatnonzero(links)
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array(r[some]), pa.array(links[some]), pa.array(r[[forest.find(c) for c in some.tolist()]])], names=["u", "links", "v"])
 
     return run
 
@@ -188,25 +263,33 @@ def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
 
     Vectors are compared by cosine in double precision within their number of dimensions. A vector that is
     null, empty, zero, or holds null or non-finite components links with nothing and is its own component.
-    Equal vectors are copies: they link with each other, and are searched for once. Repeated ids are
-    vectors of their own. A null id names no component that has another.
+    Equal vectors are copies: they link with each other, and are searched for once. Repeated rows and ids
+    are vectors of their own. A null id names no component that has another. An empty table gives an empty
+    one. Other columns aren't read, so that their names can't clash. A vector of any length has to fit a task.
     """
     ship(vectors.sparkSession)
-    kind = vectors.schema[vec_id].dataType.simpleString()
-    data = checkpointed(vectors.select(F.col(vec_id).alias("d"), F.col(embedding).alias("x")).mapInArrow(read_vectors, f"d {kind}, t binary, v binary, n int"))
-    distinct = checkpointed(data.filter("t is not null").groupBy("t").agg(F.first("v").alias("v"), F.count("*").alias("c"), F.first("n").alias("n")))
-    bits, count = tables(distinct.count(), least, recall)
-    rows = distinct.select("t", "v", "c", "n").mapInArrow(keyed(bits, count), "t binary, v binary, c long, n int, keys array<long>").withColumn("k", F.explode("keys")).drop("keys")
-    large = rows.groupBy("k").agg(F.count("*").alias("size")).filter(F.col("size") > 256)
-    rows = rows.join(large, "k", "left").withColumn("size", F.coalesce("size", F.lit(1)))
-    found = in_block_pairs(rows, "k", "t", "size").select("k", "_i", "_j", "_b", "t", "v", "c", "n").mapInArrow(linked(bits, count, least), "u binary, links long, v binary")
-    found = checkpointed(found)
-    links = found.groupBy("u").agg(F.sum("links").alias("links"))
-    groups = components(found.select("u", "v"), Scratch(vectors.sparkSession))
-    per = distinct.select("t", "c").join(links.withColumnRenamed("u", "t"), "t", "left").join(groups.select(F.col("node").alias("t"), "component"), "t", "left")
-    per = per.select("t", (F.coalesce("links", F.lit(0)) + F.col("c") - 1).alias("n_links"), F.coalesce("component", "t").alias("g"))
-    each = data.select("d", "t").join(per, "t", "left")
-    least_id = each.filter("g is not null").groupBy("g").agg(F.min("d").alias("component_id"))
-    out = each.join(least_id, "g", "left")
-    component = F.coalesce("component_id", "d").alias("component_id")
-    return out.select(F.col("d").alias(vec_id), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component, F.col("d").eqNullSafe(F.coalesce("component_id", "d")).alias("kept"))
+    id_type = vectors.schema[vec_id].dataType.simpleString()
+    kind = "<f4" if vectors.schema[embedding].dataType.elementType.typeName() == "float" else "<f8"
+    with Scratch(vectors.sparkSession) as scratch:
+        data = scratch.put(vectors.select(F.col(vec_id).alias("d"), F.col(embedding).alias("x")).mapInArrow(read_vectors(kind), f"d {id_type}, t binary, v binary, n int"))
+        distinct = data.filter("t is not null").groupBy("t").agg(F.first("v").alias("v"), F.count("*").alias("c"), F.first("n").alias("n"))
+        distinct = scratch.put(distinct.withColumn("r", F.monotonically_increasing_id()))
+        bits, count = tables(distinct.count(), least, recall)
+        codes = scratch.put(distinct.select("r", "v", "n").mapInArrow(coded(bits, count, kind), "r long, x binary, n int, keys array<long>"))
+        buckets = codes.select(F.explode("keys").alias("k")).groupBy("k").agg(F.count("*").alias("size"))
+        large = few(scratch.put(buckets.filter(F.col("size") > BLOCK)))
+        rows = codes.select("r", "x", "n", F.explode("keys").alias("k")).join(large, "k", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+        dealt = in_block_pairs(rows, "k", "r", "size", BLOCK).select("k", "_i", "_j", "_b", "r", "x", "n")
+        some = scratch.put(dealt.mapInArrow(candidates(bits, count, least), "k long, _i int, _j int, _b int, r long"))
+        exact = some.join(distinct.select("r", "v", "c", "n"), "r").repartition("k", "_i", "_j").sortWithinPartitions("k", "_i", "_j")
+        found = scratch.put(exact.select("k", "_i", "_j", "_b", "r", "v", "c", "n").mapInArrow(linked(bits, count, least, kind), "u long, links long, v long"))
+        links = few(scratch.put(found.groupBy(F.col("u").alias("r")).agg(F.sum("links").alias("links"))))
+        groups = few(components(found.select("u", "v"), scratch)).select(F.col("node").alias("r"), "component")
+        per = distinct.select("r", "t", "c").join(links, "r", "left").join(groups, "r", "left")
+        per = few(scratch.put(per.select("t", (F.coalesce("links", F.lit(0)) + F.col("c") - 1).alias("n_links"), F.coalesce("component", "r").alias("g"))))
+        each = scratch.put(data.filter("t is not null").select("d", "t").join(per, "t").select("d", "n_links", "g"), stay=True)
+        least_id = few(scratch.put(each.groupBy("g").agg(F.min("d").alias("component_id")), stay=True))
+        alone = scratch.put(data.filter("t is null").select("d"), stay=True)
+    out = each.join(least_id, "g").select("d", "n_links", F.coalesce("component_id", "d").alias("component_id"))
+    out = out.unionByName(alone.select("d", F.lit(0).cast("long").alias("n_links"), F.col("d").alias("component_id")))
+    return out.select(F.col("d").alias(vec_id), "n_links", "component_id", F.col("d").eqNullSafe(F.col("component_id")).alias("kept"))

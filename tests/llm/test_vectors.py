@@ -91,3 +91,28 @@ def test_estimates_are_unbiased_and_bounded():
 def test_query(spark):
     out = op1_embedding_near_dedup(spark, DATA)
     assert out.columns == ["vec_id", "n_links", "component_id", "kept"] and out.count() == 500
+
+
+def test_blocks_of_a_crowd(spark, monkeypatch):
+    """The same with blocks of which many make up a bucket: each two meet, and no pair counts twice."""
+    monkeypatch.setattr(vectors, "BLOCK", 64)
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal(31)
+    check(spark, [(k, (base + 0.1 * rng.standard_normal(31)).tolist()) for k in range(300)] + [(1000 + k, rng.standard_normal(31).tolist()) for k in range(50)] + [(5000, base.tolist())] * 3)
+
+
+def test_stored_codes_read_back():
+    rng = np.random.default_rng(7)
+    for dim in (1, 3, 64, 65):
+        codes = vectors.Codes(vectors.unit(rng.standard_normal((20, dim))))
+        back = vectors.Codes.read(codes.stored(), dim)
+        a, b = np.arange(19), np.arange(1, 20)
+        assert np.array_equal(codes.estimate(a, b), back.estimate(a, b)) and np.array_equal(codes.q, back.q)
+
+
+def test_clashing_columns_and_long_vectors(spark):
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal(20_000).tolist()
+    df = spark.createDataFrame([(1, v, 5, 6), (2, v, 5, 6), (3, v[::-1], 5, 6)], "vec_id long, embedding array<float>, r int, component_id int")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(df).collect()}
+    assert got == {1: (1, 1, True), 2: (1, 1, False), 3: (0, 3, True)}
