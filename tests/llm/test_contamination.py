@@ -1,7 +1,9 @@
 """Op 4 against a search for every window."""
 
+import random
 import re
 
+import pytest
 from llm_classes import DATA
 
 from tessella.llm import contamination as c
@@ -74,3 +76,47 @@ def test_query(spark):
     got = op4_benchmark_decontamination(spark, DATA).orderBy("doc_id").collect()
     want = brute([r.text for r in d], [(r.item_id, r.text) for r in b])
     assert [(r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got] == [(w, h, len(n), c.digest(n), x) for w, h, n, x in want]
+
+
+def longest(docs, items):
+    """For each text the words and the place of the longest verbatim match, of equal ones the first."""
+    out = []
+    for text in docs:
+        w, best = split(text), None
+        for _, other in items:
+            v = split(other)
+            for p in range(len(w)):
+                for q in range(len(v)):
+                    k = 0
+                    while p + k < len(w) and q + k < len(v) and w[p + k] == v[q + k]:
+                        k += 1
+                    if k and (best is None or (-k, p) < (-best[0], best[1])):
+                        best = (k, p)
+        out.append(best)
+    return out
+
+
+@pytest.mark.parametrize("block_bytes", [c.BLOCK_BYTES, 150])
+def test_longest_matches_of_any_length(spark, documents, block_bytes):
+    """Matches of one word and of more words than a window, with their places; also where words repeat."""
+    r = random.Random(4)
+    items, docs = [], []
+    for many in (2, 6, 40):
+        own = [f"w{k}" for k in range(many)]
+        items += [(len(items) + k, " ".join(r.choice(own) for _ in range(r.randint(1, 30)))) for k in range(5)]
+        docs += [" ".join(r.choice([*own, "other"]) for _ in range(r.randint(0, 60))) for _ in range(8)]
+    docs += [items[0][1], " ".join(items[3][1].split()[-12:]), "none", None]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = c.measure(documents(enumerate(docs)), bench, block_bytes=block_bytes).orderBy("doc_id").collect()
+    assert [r.longest and (r.longest["words"], r.longest["at"]) for r in rows] == longest(docs, items)
+    texts = {str(k): split(t) for k, t in items}
+    for row in rows:
+        if m := row.longest:
+            assert texts[m["item"]][m["item_at"] :][: m["words"]] == split(row.text)[m["at"] :][: m["words"]]
+
+
+def test_repeated_words_take_time_in_proportion():
+    """One word over and over, in an item and in a document: nothing is worked out for each pair of places."""
+    items = c.Items([("a", b"word " * 20_000)])
+    (found,) = c.scan([b"word " * 100_000], items)
+    assert found[1:] == ([(0, 100_000)], ["a"], 20_000, (20_000, 0, "a", 0))
