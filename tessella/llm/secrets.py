@@ -4,9 +4,11 @@ The field tags tokens as begin, inside or outside of a secret from a token's own
 words and features of the whole file; the tags are decoded by Viterbi. It is trained here, in numpy, on
 lines made by a seeded generator, so that it is the same at every size of input.
 
-A token can only be part of a secret if it has 8 or more characters with a digit among them, or 20 or
-more characters (``eligible``). All other tokens are outside whatever their neighbours are, so that the
-best tags of a text fall apart at them, and only runs of eligible tokens are decoded.
+Any token can be tagged; what decides is the field. A secret adds to the score of its text only if one of
+its tokens gains more by being inside than all steps between tags can cost. So words are first weighed by
+the field's own scores, remembered by word: those whose gain, with what neighbours of their kind can add
+at most, stays below that are no part of a secret by themselves, and only stretches around the others are
+decoded, with ``MARGIN`` words on either side.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from .common import extended, held, slices, without
+from .common import KEY, extended, held, slices, without
 
 KINDS = ["assign", "access", "hex", "crf"]
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -38,6 +40,8 @@ B, I, O = 0, 1, 2  # noqa: E741
 TOKEN = re.compile(r"[\w./+\-~%@]+(?:={1,2}(?![\w=]))?|[:=]|[^\s\w]")
 CHUNK = re.compile(r"\S+")
 KEYWORDS = {"password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "accesskey", "auth", "authorization", "bearer", "credential", "credentials", "private_key", "client_secret", "aws_secret_access_key", "key", "passphrase", "pass"}
+#: Pairs of letters that are frequent in words of European languages.
+COMMON = set("th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur ei ie un ge la el qu au ca ta os do ad ci ón sc ke lo us ai ui eu".split())
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "sk_live_", "sk_test_", "sk-", "pk_live_", "xoxb-", "xoxp-", "AIza", "eyJ", "npm_", "hf_", "SG.")
 
 
@@ -52,7 +56,8 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return out + [(m.start(), "hex", m.end()) for m in HEX.finditer(text)]
 
 
-def eligible(token: str) -> bool:
+def strong(token: str) -> bool:
+    """Long, or with digits: a feature, and no more than that."""
     n = len(token)
     return n >= 20 or n >= 8 and any("0" <= c <= "9" for c in token)
 
@@ -67,7 +72,19 @@ def shape(token: str) -> list[str]:
     lower, upper, digit = (sum(map(f, token)) for f in (str.islower, str.isupper, str.isdigit))
     mark = n - lower - upper - digit
     turns = sum((a.isdigit() != b.isdigit()) or (a.isupper() and b.islower() and k) for k, (a, b) in enumerate(zip(token, token[1:], strict=False)))
-    out = [f"len{bucket(n, (8, 12, 16, 20, 32, 40, 64))}", f"mix{(lower > 0) * 4 + (upper > 0) * 2 + (digit > 0)}", f"marks{bucket(mark / n, (0.01, 0.1, 0.2))}", f"digits{bucket(digit / n, (0.01, 0.15, 0.3, 0.5, 0.99))}", f"turns{bucket(turns / n, (0.05, 0.15, 0.3))}", f"variety{bucket(len(set(token)) / n, (0.3, 0.5, 0.75))}"]
+    out = [f"len{bucket(n, (2, 4, 6, 8, 12, 16, 20, 32, 40, 64))}", f"mix{(lower > 0) * 4 + (upper > 0) * 2 + (digit > 0)}", f"marks{bucket(mark / n, (0.01, 0.1, 0.2))}", f"digits{bucket(digit / n, (0.01, 0.15, 0.3, 0.5, 0.99))}", f"turns{bucket(turns / n, (0.05, 0.15, 0.3))}", f"variety{bucket(len(set(token)) / n, (0.3, 0.5, 0.75))}"]
+    if strong(token):
+        out.append("strong")
+    if lower + upper == n and n >= 6:
+        vowels = sum(c in "aeiouyáéíóúäöüèêàçñAEIOUY" for c in token)
+        hard = max((len(x) for x in re.findall(r"[^aeiouyáéíóúäöüèêàAEIOUY]+", token)), default=0)
+        rare = sum(c in "qxzjkwvyQXZJKWVY" for c in token)
+        pairs = sum(token[k : k + 2].lower() in COMMON for k in range(n - 1)) / (n - 1)
+        out += [f"pairs{bucket(pairs, (0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6))}", f"vowels{bucket(vowels / n, (0.1, 0.2, 0.3, 0.5, 0.6))}", f"hard{bucket(hard, (3, 4, 5, 6, 8))}", f"rare{bucket(rare / n, (0.01, 0.1, 0.2, 0.3))}"]
+        if any(a.islower() and b.isupper() for a, b in zip(token, token[1:], strict=False)):
+            out.append("humped")
+    if token.lower().strip("-_.") in KEYWORDS:
+        out.append("keyword")
     if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", token):
         out.append("hexlike")
     if re.fullmatch(r"[A-Za-z0-9+/]+={0,2}", token):
@@ -100,8 +117,8 @@ def around(before: list[str], after: str | None) -> list[str]:
         out.append("after-sign")
     if before and before[-1] in "\"'`":
         out.append("after-quote")
-    if before and eligible(before[-1]):
-        out.append("after-eligible")
+    if before and strong(before[-1]):
+        out.append("after-strong")
     if after is not None and after in "\"'`":
         out.append("before-quote")
     if after is None:
@@ -120,7 +137,7 @@ def made_lines(seed: int = 7, each: int = 20) -> list[list[tuple[str, int]]]:
     """Lines of tokens with their tags, of every kind of secret and of what resembles one."""
     r = random.Random(seed)
     low, alnum, upper, hexa = "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789abcdef"
-    syllables = "th er on an re ti es nd st en at ion ed ing le de la ment eau que ción ado sch ung keit lich be ver é ü ñ or ha ou".split()
+    syllables = "th er on an re ti es nd st en at ion ed ing le de la ment eau que ción ado sch ung keit lich be ver é ü ñ or ha ou tz pf wh ly ch ß ö cks ght lt ck mp rst str".split()
 
     def some(of: str, n: int) -> str:
         return "".join(r.choice(of) for _ in range(n))
@@ -129,7 +146,8 @@ def made_lines(seed: int = 7, each: int = 20) -> list[list[tuple[str, int]]]:
         return "".join(r.choice(syllables) for _ in range(r.randint(1, 5)))
 
     def prose(n: int) -> list[tuple[str, int]]:
-        return [(word() if r.random() < 0.9 else r.choice(".,:|"), O) for _ in range(n)]
+        shaped = lambda w: w.capitalize() if (x := r.random()) < 0.2 else w.upper() if x < 0.23 else w
+        return [(shaped(word()) if r.random() < 0.9 else r.choice(".,:|"), O) for _ in range(n)]
 
     def marked(text: str, tag: int) -> list[tuple[str, int]]:
         tokens = TOKEN.findall(text)
@@ -143,7 +161,11 @@ def made_lines(seed: int = 7, each: int = 20) -> list[list[tuple[str, int]]]:
         lambda: "eyJ" + some(alnum, 20) + "." + some(alnum, 40) + "." + some(alnum, 30),
         lambda: some(alnum, r.randint(12, 30)),
         lambda: "xoxb-" + some("0123456789", 11) + "-" + some(alnum, 24),
+        lambda: some(low, r.randint(8, 20)),
+        lambda: some(low + low.upper(), r.randint(8, 24)),
+        lambda: some(alnum, r.randint(8, 12)),
     ]
+    secrets += secrets[7:9] * 2  # letters only: the hardest to tell from words
     alone = [secrets[0], secrets[1], secrets[4], secrets[6], lambda: some(hexa, r.choice([40, 64])), lambda: some(alnum + "+/", r.choice([40, 44, 64]))]
     other = [
         lambda: f"{some(low, 6)}.{r.randint(1, 99)}@mail{r.randint(1, 9)}.example.com",
@@ -170,6 +192,9 @@ def made_lines(seed: int = 7, each: int = 20) -> list[list[tuple[str, int]]]:
             lines.append([*prose(r.randint(0, 5)), (key if r.random() < 0.7 else key.upper(), O), (sign, O), *([(quote, O)] if quote else []), *marked(make(), B), *([(quote, O)] if quote else []), *prose(r.randint(0, 4))])
             lead = [("Authorization", O), (":", O)] if r.random() < 0.5 else prose(2)
             lines.append([*lead, (r.choice(["Bearer", "bearer", "token", "key"]), O), *marked(make(), B), *prose(r.randint(0, 5))])
+    for _ in range(12 * each):  # what stands after such words in prose
+        key, sign = r.choice(keys), r.choice([":", "=", "is", "of", ","])
+        lines.append([*prose(r.randint(0, 5)), (key, O), (sign, O), *prose(r.randint(1, 8))])
     for make in alone:
         for _ in range(each):
             lines.append([*prose(r.randint(0, 6)), *marked(make(), B), *prose(r.randint(0, 6))])
@@ -180,7 +205,7 @@ def made_lines(seed: int = 7, each: int = 20) -> list[list[tuple[str, int]]]:
         for _ in range(2 * each):
             lead = [(r.choice([*keys, word(), word()]), O), (r.choice([":", "of", "is"]), O)] if r.random() < 0.2 else []
             lines.append([*prose(r.randint(0, 5)), *lead, *marked(make(), O), *prose(r.randint(0, 5))])
-    for _ in range(4 * each):
+    for _ in range(12 * each):
         lines.append(prose(r.randint(3, 14)))
     return lines
 
@@ -191,22 +216,28 @@ class Field:
     def __init__(self, weights: dict[str, tuple[float, float, float]], steps: list[list[float]], start: list[float]):
         self.weights, self.steps, self.start = weights, steps, start
         self.own: dict[str, list[float]] = {}
+        #: The most that the steps to a token inside, and from it, can be better than those outside.
+        self.slack = max(0.0, *(max(steps[a][y] for a in range(3)) + max(steps[y]) for y in (B, I))) - 2 * min(0.0, steps[O][O]) + max(0.0, *(x - start[O] for x in start))
 
     def emission(self, token: str, context: list[str]) -> list[float]:
         if (own := self.own.get(token)) is None:
-            if len(self.own) > MEMO:
-                self.own.clear()
-            own = self.own[token] = [sum(self.weights.get(f, (0, 0, 0))[k] for f in shape(token)) for k in range(3)]
+            own = [sum(self.weights.get(f, (0, 0, 0))[k] for f in shape(token)) for k in range(3)]
+            if len(token) <= KEY:
+                if len(self.own) > MEMO:
+                    self.own.clear()
+                self.own[token] = own
         return [own[k] + sum(self.weights.get(f, (0, 0, 0))[k] for f in context) for k in range(3)]
 
+    def gain(self, token: str, context: list[str]) -> float:
+        """How much better a token is inside than outside, by its own score."""
+        e = self.emission(token, context)
+        return max(e[B], e[I]) - e[O]
+
     def tags(self, tokens: list[str], file: list[str], lead: bool = True) -> list[int]:
-        """The best tags (Viterbi) of a run of tokens; outside is the only tag of a token that isn't eligible."""
+        """The best tags (Viterbi) of a stretch of tokens; without ``lead`` it follows one that is outside."""
         back, best = [], None
         for k, t in enumerate(tokens):
-            if eligible(t):
-                e = self.emission(t, [*around(tokens[max(0, k - 2) : k], tokens[k + 1] if k + 1 < len(tokens) else None), *file])
-            else:
-                e = [-1e9, -1e9, 0.0]
+            e = self.emission(t, [*around(tokens[max(0, k - 2) : k], tokens[k + 1] if k + 1 < len(tokens) else None), *file])
             if best is None:
                 best = [s + x for s, x in zip(self.start if lead else self.steps[O], e, strict=True)]
                 continue
@@ -227,7 +258,7 @@ def trained(seed: int = 7, rounds: int = 80) -> Field:
     names: dict[str, int] = {}
     n, longest = len(lines), max(map(len, lines))
     which, rows = [], []
-    tags, there, fixed = np.full((n, longest), O), np.zeros((n, longest), bool), np.zeros((n, longest), bool)
+    tags, there = np.full((n, longest), O), np.zeros((n, longest), bool)
     r = random.Random(seed)
     for a, line in enumerate(lines):
         tokens = [t for t, _ in line]
@@ -235,12 +266,10 @@ def trained(seed: int = 7, rounds: int = 80) -> Field:
         signs = sum(t == "=" for t in tokens)
         file = [f"settings{r.choice([0, 1, 2, 3] if signs else [0, 0, 1])}", f"words{r.randint(0, 3)}"]
         for k, (t, tag) in enumerate(line):
-            there[a, k], fixed[a, k] = True, not eligible(t)
-            tags[a, k] = O if fixed[a, k] else tag
-            if not fixed[a, k]:
-                for f in {*shape(t), *around(tokens[max(0, k - 2) : k], tokens[k + 1] if k + 1 < len(tokens) else None), *file}:
-                    rows.append(a * longest + k)
-                    which.append(names.setdefault(f, len(names)))
+            there[a, k], tags[a, k] = True, tag
+            for f in {*shape(t), *around(tokens[max(0, k - 2) : k], tokens[k + 1] if k + 1 < len(tokens) else None), *file}:
+                rows.append(a * longest + k)
+                which.append(names.setdefault(f, len(names)))
     x = np.zeros((n * longest, len(names)), np.float32)
     x[rows, which] = 1
     used = np.flatnonzero(x.any(1))
@@ -249,11 +278,10 @@ def trained(seed: int = 7, rounds: int = 80) -> Field:
     params = [w, step, start]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     hot = np.eye(3)[tags] * there[:, :, None]
-    bar = np.where(fixed[:, :, None] & np.array([True, True, False]), -1e4, 0.0)
     for turn in range(1, rounds + 1):
         e = np.zeros((n * longest, 3))
         e[used] = x @ w
-        e = e.reshape(n, longest, 3) + bar
+        e = e.reshape(n, longest, 3)
         left = np.zeros((n, longest, 3))
         right = np.zeros((n, longest, 3))
         left[:, 0] = e[:, 0] + start
@@ -276,47 +304,74 @@ def trained(seed: int = 7, rounds: int = 80) -> Field:
     return Field({f: tuple(map(float, w[i])) for f, i in names.items()}, step.tolist(), start.tolist())
 
 
+#: Words on either side of a possible part of a secret that are decoded with it.
+MARGIN = 3
+#: What draws a secret out of a token beside it.
+_DRAWS = {":", "=", '"', "'", "`"}
+
+
 class Scanner:
     def __init__(self, field: Field):
         self.field = field
+        most = lambda names: sum(max(0.0, max(w[:2]) - w[2]) for f in names if (w := field.weights.get(f)))
+        #: The most that neighbours can add: those that draw, and any.
+        self.drawn, self.any = most(["after-keyword", "assigned", "after-sign", "after-quote", "after-strong", "before-quote", "last"]), most(["last"])
 
         class Known(dict):
-            def __missing__(memo, chunk: str) -> bool:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                memo[chunk] = found = eligible(chunk) and any(map(eligible, TOKEN.findall(chunk)))
+            """By word: the most that one of its tokens gains, and whether it draws a secret out of the next."""
+
+            def __missing__(memo, chunk: str) -> tuple[float, bool]:
+                tokens = TOKEN.findall(chunk)
+                gain = max((field.gain(t, []) for t in tokens), default=-1e9)
+                draws = any(t in _DRAWS or strong(t) or t.lower().strip("-_.") in KEYWORDS for t in tokens)
+                # Tokens within a word are neighbours too.
+                found = (gain + (self.drawn if draws and len(tokens) > 1 else 0.0), draws)
+                if len(chunk) <= KEY:
+                    if len(memo) >= MEMO:
+                        memo.clear()
+                    memo[chunk] = found
                 return found
 
         self.known = Known()
 
+    def possible(self, chunks: list[str], file: list[str]) -> np.ndarray:
+        """The words that may hold a token of a secret, given the best of neighbours."""
+        found = np.array(list(map(self.known.__getitem__, chunks)), float).reshape(-1, 2)
+        gain, draws = found[:, 0], found[:, 1] > 0
+        near = draws.copy()
+        near[1:] |= draws[:-1]
+        near[2:] |= draws[:-2]
+        near[:-1] |= draws[1:]
+        if len(near):
+            near[-1] = True
+        added = self.field.slack + sum(max(w[:2]) - w[2] for f in file if (w := self.field.weights.get(f)))
+        return np.flatnonzero(gain + np.where(near, self.drawn, self.any) + added >= 0)
+
     def added(self, text: str) -> list[tuple[int, str, int]]:
         """(start, "crf", end) of the field's secrets."""
         chunks = text.split()
-        if not any(map(self.known.__getitem__, chunks)):
+        if not chunks:
             return []
         file = file_features(chunks)
+        seeds = self.possible(chunks, file)
+        if not len(seeds):
+            return []
+        cuts = np.flatnonzero(np.diff(seeds) > 2 * MARGIN) + 1
         at = [(m.start(), m.end()) for m in CHUNK.finditer(text)]
-        marks = [self.known[text[b:e]] for b, e in at]
-        out, k = [], 0
-        while k < len(at):
-            if not marks[k]:
-                k += 1
-                continue
-            last = k
-            while last + 1 < len(at) and marks[last + 1]:
-                last += 1
-            begin, end = at[max(0, k - 2)][0], at[min(len(at) - 1, last + 1)][1]
+        out: list[tuple[int, str, int]] = []
+        for part in np.split(seeds, cuts):
+            first, last = max(0, int(part[0]) - MARGIN), min(len(at) - 1, int(part[-1]) + MARGIN)
+            begin, end = at[first][0], at[last][1]
             tokens = [(m.start() + begin, m[0]) for m in TOKEN.finditer(text[begin:end])]
-            whole = end == at[-1][1]
-            # A token past the run says no more than that there is one.
-            tags = self.field.tags([t for _, t in tokens] + ([] if whole else ["."]), file)[: len(tokens)]
+            # A token past the stretch says no more than that there is one.
+            tags = self.field.tags([t for _, t in tokens] + ([] if last == len(at) - 1 else ["."]), file, lead=first == 0)[: len(tokens)]
+            inside = False
             for (s, t), tag in zip(tokens, tags, strict=True):
-                if at[k][0] <= s < at[last][1]:
-                    if tag == B:
-                        out.append((s, "crf", s + len(t)))
-                    elif tag == I and out:
-                        out[-1] = (out[-1][0], "crf", s + len(t))
-            k = last + 1
+                if tag == B:
+                    out.append((s, "crf", s + len(t)))
+                elif tag == I and inside:
+                    out[-1] = (out[-1][0], "crf", s + len(t))
+                inside = tag != O
         return out
 
 
