@@ -4,7 +4,11 @@ A template is held against windows of a text: stretches of at most ``SPREAD`` ti
 enough words are of the template for it to be there at all. Text and template are aligned on the words
 that each holds exactly once, by the longest increasing subsequence of their places; the gaps between
 anchors are aligned in the same way, after what agrees at either end. Coverage is the share of the
-template's words that are aligned.
+template's words that are aligned. It is reported from ``FLOOR`` on, and a match from ``LEAST`` on.
+
+Windows begin at each word of the template, so that a text takes time in proportion to its length and to the
+template's. Most are left by a bound: no more words can be aligned than text and template have in common,
+each as often as it stands in both.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from .common import extended, held, slices, without
 from .contamination import words
 from .templates import TEMPLATES
 
-LEAST, SPREAD = 0.85, 1.5
+LEAST, FLOOR, SPREAD = 0.85, 0.5, 1.5
 OWN = ["licenses", "n_matches", "matches", "coverage"]
 SLICE = 4 << 20
 
@@ -74,37 +78,36 @@ def aligned(text: list, template: list) -> list[tuple[int, int]]:
 class Finder:
     """All templates, their words numbered together; 0 is any other word."""
 
-    def __init__(self, templates: list[tuple[str, str]], least: float = LEAST, spread: float = SPREAD):
+    def __init__(self, templates: list[tuple[str, str]], least: float = LEAST, spread: float = SPREAD, floor: float = FLOOR):
         self.number: dict[bytes, int] = {}
-        self.least = least
         self.templates = []
         for name, text in templates:
             ids = [self.number.setdefault(w, len(self.number) + 1) for w in words(text.encode())]
             if ids:
-                self.templates.append((name, ids, -int(-least * len(ids) // 1), int(spread * len(ids)) + 1))
+                self.templates.append((name, ids, -int(-least * len(ids) // 1), -int(-min(least, floor) * len(ids) // 1), int(spread * len(ids)) + 1))
         self.member = np.zeros((len(self.templates), len(self.number) + 1), np.int32)
-        self.needs = []
-        for k, (_, ids, _, _) in enumerate(self.templates):
+        for k, (_, ids, *_) in enumerate(self.templates):
             self.member[k, ids] = 1
 
-    def find(self, text: bytes | None) -> list[tuple[str, int, int, float]]:
-        """(template, first word, end, coverage) of the matches, by place; overlapping ones go to the most words aligned."""
+    def find(self, text: bytes | None) -> tuple[list[tuple[str, int, int, float]], float]:
+        """(template, first word, end, coverage) of the matches, by place, and the largest coverage from the floor on; overlapping matches go to the most words aligned."""
         get = self.number.get
         ids = np.fromiter((get(w, 0) for w in words(text)), np.int64)
         if not len(ids):
-            return []
+            return [], 0.0
         count = np.minimum(np.bincount(ids, minlength=self.member.shape[1]), 1)
         count[0] = 0
         kinds = self.member @ count
-        found = []
-        for k, (name, own, need, wide) in enumerate(self.templates):
+        found, most = [], 0.0
+        for k, (name, own, need, least, wide) in enumerate(self.templates):
             # Distinct words of the text bound the distinct words that can be aligned.
             distinct = int(self.member[k].sum())
-            if kinds[k] < distinct - (len(own) - need):
+            if kinds[k] < distinct - (len(own) - least):
                 continue
             hits = np.concatenate([[0], np.cumsum(self.member[k][ids])])
             begin = np.flatnonzero(self.member[k][ids])
-            begin = begin[hits[np.minimum(begin + wide, len(ids))] - hits[begin] >= need].tolist()
+            begin = begin[hits[np.minimum(begin + wide, len(ids))] - hits[begin] >= least]
+            begin = begin[self.common(ids, begin, wide, own) >= least].tolist()
             free = 0
             for b in begin:
                 if b < free:
@@ -115,6 +118,7 @@ class Finder:
                     later = aligned(ids[b + pairs[0][0] : b + pairs[0][0] + wide].tolist(), own)
                     if len(later) >= len(pairs):
                         b, pairs = b + pairs[0][0], later
+                most = max(most, len(pairs) / len(own) if len(pairs) >= least else 0.0)
                 if len(pairs) >= need:
                     found.append((len(pairs), name, b + pairs[0][0], b + pairs[-1][0] + 1, len(pairs) / len(own)))
                     free = b + pairs[-1][0] + 1
@@ -122,16 +126,28 @@ class Finder:
         for n, name, b, e, share in sorted(found, key=lambda f: (-f[0], -f[4], f[1], f[2])):
             if all(e <= x or y <= b for _, x, y, _ in taken):
                 taken.append((name, b, e, share))
-        return sorted(taken, key=lambda m: (m[1], m[0]))
+        return sorted(taken, key=lambda m: (m[1], m[0])), most
+
+    @staticmethod
+    def common(ids: np.ndarray, begin: np.ndarray, wide: int, own: list[int]) -> np.ndarray:
+        """Words that windows and a template have in common, each as often as in both."""
+        out = np.zeros(len(begin), np.int64)
+        if len(begin):
+            end = np.minimum(begin + wide, len(ids))
+            for word, times in Counter(own).items():
+                at = np.flatnonzero(ids == word)
+                out += np.minimum(times, np.searchsorted(at, end) - np.searchsorted(at, begin))
+        return out
 
 
-def scanned(docs: DataFrame, *, text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST, spread: float = SPREAD) -> DataFrame:
+def scanned(docs: DataFrame, *, text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST, spread: float = SPREAD, floor: float = FLOOR) -> DataFrame:
     """Each row with licenses (names in order), n_matches, matches and the largest coverage.
 
     Matches are ``name:first:end:coverage`` with places in words (a-z, 0-9 and all beyond ASCII, A-Z
     lower-cased) and coverage in hundredths. Null and empty texts, and texts without words, match nothing and have a coverage of 0.
     Of templates that overlap in a text the one with the most aligned words stays, then the one better
-    covered, then the smaller name. Repeated rows are scanned each on its own. Columns that clash with
+    covered, then the smaller name. ``coverage`` is that of the best alignment of any template, also of one
+    that is no match, and 0 below ``floor``. Very long texts are scanned whole; an empty table gives an empty one. Repeated rows are scanned each on its own. Columns that clash with
     the results are replaced. Templates are few: they travel with the tasks, at most 1 MB of them.
     """
     if sum(len(n) + len(t) for n, t in templates) > 1 << 20:
@@ -141,14 +157,14 @@ def scanned(docs: DataFrame, *, text: str = "text", templates: list[tuple[str, s
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("licenses", T.ArrayType(T.StringType())), T.StructField("n_matches", T.LongType()), T.StructField("matches", T.ArrayType(T.StringType())), T.StructField("coverage", T.DoubleType())])
 
     def run(batches, name=uuid4().hex):
-        own = held(name, lambda: Finder(templates, least, spread))
+        own = held(name, lambda: Finder(templates, least, spread, floor))
         for batch, texts in slices(batches, text, SLICE):
-            rows = [own.find(t) for t in texts]
+            rows, most = zip(*map(own.find, texts), strict=True) if texts else ((), ())
             yield extended(batch, keep, {
                 "licenses": pa.array([sorted({m[0] for m in r}) for r in rows], pa.list_(pa.string())),
                 "n_matches": pa.array([len(r) for r in rows], pa.int64()),
                 "matches": pa.array([[f"{n}:{b}:{e}:{round(100 * c)}" for n, b, e, c in r] for r in rows], pa.list_(pa.string())),
-                "coverage": pa.array([max([0.0, *[m[3] for m in r]]) for r in rows], pa.float64()),
+                "coverage": pa.array(most, pa.float64()),
             })
 
     return docs.select(*keep).mapInArrow(run, schema)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from .common import extended, held, slices, without
+from .common import KEY, extended, held, slices, without
 
 BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -207,7 +207,7 @@ def utf8(raw: bytes) -> str:
 
 
 class Memo(dict):
-    """Results of ``make`` in two generations of MEMO entries: what is asked for again outlives the rest."""
+    """Results of ``make`` in two generations of MEMO entries: what is asked for again outlives the rest. Long keys aren't kept."""
 
     def __init__(self, make):
         self.make, self.old = make, {}
@@ -215,10 +215,11 @@ class Memo(dict):
     def __missing__(self, key):
         if (value := self.old.get(key)) is None:
             value = self.make(key)
-        if len(self) >= MEMO:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
+        if len(key) <= KEY:
+            if len(self) >= MEMO:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
         return value
 
 
@@ -263,7 +264,8 @@ def tokenized(docs: DataFrame, model_path: str, *, text: str = "text", ids: bool
 
     The ids are those of the model without begin or end ids; the digests are of the decimal ids joined by
     commas, and of the decoded text in UTF-8. A null text counts as empty: no ids, digests of nothing.
-    Every row is handled by itself, so repeated rows and ids give repeated results. Columns that clash
+    Every row is handled by itself, so repeated rows and ids give repeated results, an empty table gives an
+    empty one, and texts of any length that fits a task are encoded whole. Columns that clash
     with the results are replaced. ``model_path`` is read on the driver; a model is at most 64 MB.
     """
     with open(model_path, "rb") as f:

@@ -2,7 +2,8 @@
 
 A linear numpy model is trained from texts confirmed to be toxic and from texts taken as unlabelled,
 with the risk pi * R_P(+) + max(0, R_U(-) - pi * R_P(-)), whose second part is kept from going below
-zero. The class prior pi is the share of confirmed texts among all labelled ones of the training folds.
+zero. The class prior pi is the share of confirmed texts among all labelled ones of the training folds;
+that is right if the labelled texts are a random part of all, and else has to be given (``prior``).
 
 A feature is a word's beginning of 3 to 8 characters, or the whole word; its value in a text is
 min(3, 100 * count / (words + 100)), so that chance hits in long and in very short texts both weigh little.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from .common import checkpointed, extended, held, slices, without
+from .common import KEY, Scratch, extended, held, slices, without
 
 FOLDS, HELD_OUT = 3, 1
 POSITIVES, UNLABELLED, CANDIDATES, FEATURES = 1500, 3000, 20_000, 512
@@ -59,9 +60,11 @@ class Linear:
 
         class Known(dict):
             def __missing__(memo, word: str) -> tuple[int, ...]:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                memo[word] = found = tuple(i for p in parts(word) if (i := names.get(p)) is not None)
+                found = tuple(i for p in parts(word) if (i := names.get(p)) is not None)
+                if len(word) <= KEY:
+                    if len(memo) >= MEMO:
+                        memo.clear()
+                    memo[word] = found
                 return found
 
         self.known = Known()
@@ -124,22 +127,32 @@ def fold(doc_id: str):
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED, candidates: int = CANDIDATES, features: int = FEATURES) -> Linear | None:
-    """Train from the folds that aren't held out; None if they hold no confirmed or no other text."""
+def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED, candidates: int = CANDIDATES, features: int = FEATURES, prior: float | None = None) -> Linear | None:
+    """Train from the folds that aren't held out; None if they hold no confirmed or no other text.
+
+    Null and empty texts, and labels that are null or of null ids, are passed over. A text counts once
+    however often it is repeated, and is confirmed if one of its rows is.
+    """
     ship(docs.sparkSession)
+    with Scratch(docs.sparkSession) as scratch:
+        return fitted(docs, labels, scratch, text, doc_id, label, positives, unlabelled, candidates, features, prior)
+
+
+def fitted(docs: DataFrame, labels: DataFrame, scratch: Scratch, text: str, doc_id: str, label: str, positives: int, unlabelled: int, candidates: int, features: int, prior: float | None) -> Linear | None:
     base = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).filter((fold(doc_id) != HELD_OUT) & (F.coalesce(F.length(text), F.lit(0)) > 0))
     marks = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("d")).agg(F.max(label).alias("y"))
-    texts = checkpointed(base.select("d", F.xxhash64("t").alias("h")).join(marks, "d", "left").groupBy("h").agg(F.min("d").alias("d"), F.max("y").alias("y")))
+    texts = scratch.put(base.select("d", F.xxhash64("t").alias("h")).join(marks, "d", "left").groupBy("h").agg(F.min("d").alias("d"), F.max("y").alias("y")))
     known = texts.agg(F.avg(F.when(F.col("y").isNotNull(), (F.col("y") == 1).cast("double")))).first()[0]
     chosen = {r.d: 1 for r in texts.filter("y = 1 and d is not null").orderBy("h").limit(positives).select("d").collect()}
     other = [r.d for r in texts.filter("d is not null").orderBy(F.xxhash64("h")).limit(unlabelled).select("d").collect()]
     if not chosen or not other:
         return None
-    prior = min(max(float(known or 0), 1e-3), 0.9)
-    spark = docs.sparkSession
-    wanted = spark.createDataFrame([(int(d), d in chosen, d in set(other)) for d in {*chosen, *other}], "d long, p boolean, u boolean")
+    prior = prior or min(max(float(known or 0), 1e-3), 0.9)
+    spark, kind = docs.sparkSession, docs.schema[doc_id].dataType.simpleString()
+    others = set(other)
+    wanted = spark.createDataFrame([(d, d in chosen, d in others) for d in {*chosen, *other}], f"d {kind}, p boolean, u boolean")
     # A repeated id may carry several texts; its smallest one stands for it.
-    sample = checkpointed(base.join(F.broadcast(wanted), "d").groupBy("d", "p", "u").agg(F.min("t").alias("t")))
+    sample = scratch.put(base.join(F.broadcast(wanted), "d").groupBy("d", "p", "u").agg(F.min("t").alias("t")))
 
     def distinct(batches):
         for batch in batches:
@@ -167,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str =
                 out.append((len(words), list(c), list(c.values())))
             yield extended(batch, ["d", "p", "u"], {"n": pa.array([x[0] for x in out], pa.int64()), "i": pa.array([x[1] for x in out], pa.list_(pa.int32())), "c": pa.array([x[2] for x in out], pa.list_(pa.int32()))})
 
-    rows = sample.select("d", "t", "p", "u").mapInArrow(counted, "d long, p boolean, u boolean, n long, i array<int>, c array<int>").toPandas().sort_values("d")
+    rows = sample.select("d", "t", "p", "u").mapInArrow(counted, f"d {kind}, p boolean, u boolean, n long, i array<int>, c array<int>").toPandas().sort_values("d")
     if not names or not rows.p.any() or not rows.u.any():
         return None
     r = np.repeat(np.arange(len(rows)), rows.i.map(len))
@@ -206,7 +219,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str =
 def scored(docs: DataFrame, model: Linear | None, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Each row with held_out, score and predicted (1 from a score of CUT on).
 
-    Every whole text is scored by itself; null and empty texts get the score of a text without words.
+    Every whole text is scored by itself, of any length that fits a task; null and empty texts get the score
+    of a text without words. Repeated rows get the same score; an empty table gives an empty one.
     Without a model all scores are 0. A null id counts as the empty string for the fold. Columns that
     clash with the results are replaced.
     """

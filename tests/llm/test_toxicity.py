@@ -67,6 +67,63 @@ def test_risk_is_kept_from_going_below_zero():
     assert np.mean(p @ w + b > 0) > 0.9 and np.mean(u[60:] @ w + b > 0) < 0.1
 
 
+def plain_features(word):
+    w = word.strip(".,;:!?\"'()[]{}|*#%&$<>«»“”-_=+/\\")
+    return [w[:k] for k in range(3, min(8, len(w)) + 1)] + [w + " "] if len(w) >= 3 else []
+
+
+def plain_values(text):
+    """The value of each feature of a text."""
+    words, count = text.lower().split(), {}
+    words = [w for k, w in enumerate(words) if not k or w != words[k - 1]]
+    for w in words:
+        for f in plain_features(w):
+            count[f] = count.get(f, 0) + 1
+    return {f: min(3.0, 100.0 * c / (len(words) + 100.0)) for f, c in count.items()}
+
+
 def test_query(spark):
-    rows = op10_toxicity(spark, DATA).collect()
-    assert len(rows) == 200 and all(r.held_out == held(r.doc_id) for r in rows)
+    """Scores from a model that is trained again here from plain loops over all texts."""
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{DATA}/labels.parquet").collect() if r.toxic is not None}
+    texts = {}
+    for i, text in docs:
+        if not held(i) and text:
+            ids, marks = texts.setdefault(text, ([], []))
+            ids.append(i)
+            marks += [labels[i]] if i in labels else []
+    unique = sorted((min(ids), text, max(marks, default=None)) for text, (ids, marks) in texts.items())
+    known = [y == 1 for _, _, y in unique if y is not None]
+    prior = min(max(sum(known) / len(known), 1e-3), 0.9)
+    p, values = np.array([y == 1 for _, _, y in unique]), [plain_values(text) for _, text, _ in unique]
+    # A feature counts in texts by its words, repeated in a row or not.
+    seen = {}
+    for (_, text, _), positive in zip(unique, p, strict=True):
+        if positive:
+            for f in {f for w in set(text.lower().split()) for f in plain_features(w)}:
+                seen[f] = seen.get(f, 0) + 1
+    names = sorted((f for f, n in seen.items() if n >= max(2, p.sum() // 100)), key=lambda f: (-seen[f], f))[: t.CANDIDATES]
+    x = np.array([[v.get(f, 0.0) for f in names] for v in values])
+    apart = (x[p].mean(0) - x.mean(0)) / np.sqrt(x[p].var(0) / p.sum() + x.var(0) / len(x) + 1e-9)
+    keep = [k for k in np.argsort(-apart, kind="stable")[: t.FEATURES] if apart[k] > 1.0]
+    df = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = t.fit(df, spark.read.parquet(f"{DATA}/labels.parquet"))
+    assert set(model.weights) == {names[k] for k in keep}
+    keep = [names.index(f) for f in model.weights]
+    w, b = t.nnpu(x[p][:, keep], x[:, keep], prior)
+    assert np.allclose(w, list(model.weights.values()), atol=1e-6) and abs(b - model.bias) < 1e-6
+    rows = {r.doc_id: r for r in op10_toxicity(spark, DATA).collect()}
+    assert len(rows) == 200
+    for i, text in docs:
+        v = plain_values(text)
+        margin = b + sum(a * v.get(names[k], 0.0) for a, k in zip(w, keep, strict=True))
+        score = 1 / (1 + np.exp(-(margin - model.shift + np.log(0.7 / 0.3))))
+        assert abs(rows[i].score - score) < 1e-6 and rows[i].held_out == held(i) and rows[i].predicted == (rows[i].score >= 0.7)
+
+
+def test_prior_may_be_given(spark, documents, make):
+    docs, labels, truth = corpus(make, 450)
+    lab = spark.createDataFrame([x for x in labels if x[2]], "doc_id long, quality int, toxic int")
+    df = documents(docs)
+    rows = t.scored(df, t.fit(df, lab, prior=1 / 8)).collect()
+    assert np.mean([r.predicted == truth[r.doc_id] for r in rows if r.held_out]) > 0.95
