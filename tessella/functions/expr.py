@@ -89,6 +89,11 @@ def fenced_text(text: Column | str) -> Column:
     return F.regexp_replace(col(text), FORBIDDEN, "")
 
 
+def message_text(text: Column | str, most: int = 280) -> Column:
+    """A message for others: what may not leave the fence is gone, and at most ``most`` characters are left."""
+    return F.left(fenced_text(text), F.lit(most))
+
+
 def fence(text: Column | str, source: str, record: Column, at: Column | None = None) -> Column:
     """Untrusted text with where it is from and the digest of its raw form."""
     raw = col(text)
@@ -258,14 +263,20 @@ def table_for_embedding(text: Column | str, tokens: int = 480) -> Column:
 
 
 def without_overlap(parts: Column | str, least: int = 30) -> Column:
-    """Parts joined, each less the longest start (of ``least`` characters or more) that ends the trimmed part before it."""
+    """Parts joined, each less the longest start (of ``least`` characters or more) that ends the trimmed part before it.
+
+    Such a start stands where the part's first ``least`` characters do: only those places are compared.
+    """
 
     def step(state: Column, part: Column) -> Column:
-        before = state["last"]
-        most = F.least(F.length(before), F.length(part))
-        sizes = F.when(most >= least, F.sequence(most, F.lit(least), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-        fits = F.filter(sizes, lambda k: F.right(before, k) == F.left(part, k))
-        cut = F.substr(part, F.coalesce(F.get(fits, F.lit(0)), F.lit(0)) + 1)
+        before, head = state["last"], F.left(part, F.lit(least))
+        # Cut before each place of the head: what is left from a cut on is a start to try, the longest first.
+        literal = F.concat(F.lit("(?=\\Q"), F.replace(head, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+        near = (F.length(part) >= least) & before.contains(head)
+        pieces = F.when(near, F.split(F.right(before, F.length(part)), literal, -1)).otherwise(F.array().cast("array<string>"))
+        ends = F.transform(F.array(pieces), lambda a: F.transform(a, lambda _, i: F.array_join(F.slice(a, i + 1, F.size(a)), "")))[0]
+        fits = F.filter(ends, lambda x: (F.length(x) >= least) & part.startswith(x))
+        cut = F.substr(part, F.coalesce(F.length(F.get(fits, F.lit(0))), F.lit(0)) + 1)
         return F.struct(F.concat(state["text"], cut).alias("text"), cut.alias("last"))
 
     a = col(parts)
@@ -295,6 +306,12 @@ def recall_terms(query: Column | str) -> Column:
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 3) & ~F.array_contains(stop, w)))
 
 
+def any_query(query: Column | str) -> Column:
+    """A query's recall terms as alternatives, or what matches nothing by itself."""
+    terms = recall_terms(query)
+    return F.when(F.size(terms) > 0, F.array_join(terms, " | ")).otherwise(F.lit("x:*"))
+
+
 def lexical_score(phrase: Column, strict: Column, recall: Column, terms: Column, overlap: Column, chars: Column) -> Column:
     """3 * phrase + 2 * strict + recall; short texts that only match few of many terms are damped."""
     weak = (phrase == 0) & (strict == 0) & (recall > 0) & (terms >= 4) & (overlap <= 2)

@@ -8,7 +8,9 @@ in English prose; the rank is the cover density of Clarke, Cormack and Tudhope.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -26,7 +28,11 @@ def _measure(stem: str) -> int:
 
 
 def stem(word: str) -> str:
-    """Plural, participle and the commonest derivational endings removed; short words stay."""
+    """Plural, participle and the commonest derivational endings removed; short words stay. Words are remembered unless they are long."""
+    return _known(word) if len(word) <= 40 else _stem(word)
+
+
+def _stem(word: str) -> str:
     w = word.lower()
     if len(w) <= 3 or not w.isascii():
         return w
@@ -75,6 +81,9 @@ def stem(word: str) -> str:
     return w[:-1] if w.endswith("ll") and _measure(w[:-1]) > 1 else w
 
 
+_known = lru_cache(100_000)(_stem)
+
+
 def lexemes(text: str | None) -> list[tuple[str, int]]:
     """Stems with their places (from 1); stop words take a place but give none."""
     out = []
@@ -97,7 +106,11 @@ def searchable(path: Column | str, section: Column | str, text: Column | str) ->
 
 @dataclass
 class Query:
-    """A query's phrase, its required and excluded terms (web syntax), and the terms that any of may match."""
+    """A query's phrase, its required and excluded terms (web syntax), and the terms that any of may match.
+
+    ``clauses`` are the alternatives that ``or`` parts, each with its required and excluded phrases;
+    ``required`` and ``excluded`` are those of the first.
+    """
 
     text: str
     phrase: list[str] = field(default_factory=list)
@@ -105,20 +118,32 @@ class Query:
     excluded: list[list[str]] = field(default_factory=list)
     any_of: list[str] = field(default_factory=list)
     terms: list[str] = field(default_factory=list)
+    clauses: list[tuple[list[list[str]], list[list[str]]]] = field(default_factory=list)
 
 
 def parse(text: str) -> Query:
-    """Quoted parts are phrases, ``-`` excludes; all else is required. Recall terms are plain words of three characters on."""
+    """Quoted parts are phrases, ``-`` excludes, ``or`` parts alternatives; all else is required.
+
+    Recall terms are plain words of three characters on; words that are excluded aren't among the alternatives' terms.
+    """
     plain = [w.lower() for w in re.findall(r"[A-Za-z0-9]+", text)]
     terms = list(dict.fromkeys(w for w in plain if len(w) >= 3 and w not in STOP_WORDS))
     q = Query(text, phrase=[w for w, _ in lexemes(text)], any_of=[stem(t) for t in terms], terms=terms)
+    q.clauses = [(q.required, q.excluded)]
     for minus, quoted, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', text):
-        part = [w for w, _ in lexemes(quoted or word)]
-        if part and (quoted or word).lower() != "or":
-            (q.excluded if minus else q.required).append(part)
+        if not minus and word.lower() == "or":
+            q.clauses.append(([], []))
+            continue
+        if part := [w for w, _ in lexemes(quoted or word)]:
+            q.clauses[-1][1 if minus else 0].append(part)
     return q
 
 
+def any_query(terms: list[str]) -> str:
+    """The text of a query that any of the terms matches; one that matches nothing by itself if there are none."""
+    return " | ".join(terms) if terms else "x:*"
+
+
 def _places(doc: dict[str, list[int]], phrase: list[str]) -> list[tuple[int, int]]:
     """Where a phrase stands: first and last place."""
     starts = doc.get(phrase[0], [])
@@ -148,18 +173,27 @@ def rank(query: Query, doc: list[tuple[str, int]]) -> tuple[float, float, float,
     at: dict[str, list[int]] = {}
     for w, p in doc:
         at.setdefault(w, []).append(p)
-    spans = {w: [(p, p) for p in ps] for w, ps in at.items()}
     phrase = 0.1 * len(_places(at, query.phrase)) if query.phrase else 0.0
-    strict = cover_density([_places(at, p) for p in query.required]) if query.required and not any(_places(at, p) for p in query.excluded) else 0.0
-    recall = 0.1 * sum(len(spans.get(w, ())) for w in dict.fromkeys(query.any_of))
+    strict = 0.0
+    for required, excluded in query.clauses:
+        if required and not any(_places(at, p) for p in excluded):
+            strict += cover_density([_places(at, p) for p in required])
+    recall = 0.1 * sum(len(at.get(w, ())) for w in dict.fromkeys(query.any_of))
     return phrase, strict, recall, sum(w in at for w in query.any_of)
 
 
+def wanted(query: Query) -> set[str]:
+    """The stems that a query asks for, or excludes."""
+    return {*query.phrase, *query.any_of, *(w for clause in query.clauses for parts in clause for part in parts for w in part)}
+
+
+_RANKS = T.StructType([T.StructField(n, T.DoubleType()) for n in ("phrase", "strict", "recall")] + [T.StructField("overlap", T.IntegerType())])
+
+
 def rank_column(query: Query, doc: Column | str) -> Column:
-    """A struct of phrase, strict, recall and overlap for lexemes of ``lexeme_column``."""
-    kind = T.StructType([T.StructField(n, T.DoubleType()) for n in ("phrase", "strict", "recall")] + [T.StructField("overlap", T.IntegerType())])
+    """A struct of phrase, strict, recall and overlap for lexemes of ``lexeme_column``, or those of ``postings``."""
 
-    @F.pandas_udf(kind)
+    @F.pandas_udf(_RANKS)
     def ranked(docs: pd.Series) -> pd.DataFrame:
         rows = [rank(query, [(x["lexeme"], x["place"]) for x in d]) if d is not None else (0.0, 0.0, 0.0, 0) for d in docs]
         return pd.DataFrame(rows, columns=["phrase", "strict", "recall", "overlap"])
@@ -167,6 +201,21 @@ def rank_column(query: Query, doc: Column | str) -> Column:
     return ranked(doc)
 
 
+def text_rank_column(query: Query, text: Column | str) -> Column:
+    """The same from texts: only the words that the query asks for are kept of each."""
+    some = wanted(query)
+
+    @F.pandas_udf(_RANKS)
+    def ranked(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            found = [(stem(w), at) for at, w in enumerate(WORD.findall((t or "").lower()), 1) if w not in STOP_WORDS]
+            rows.append(rank(query, [x for x in found if x[0] in some]))
+        return pd.DataFrame(rows, columns=["phrase", "strict", "recall", "overlap"])
+
+    return ranked(text)
+
+
 def headline(text: str, wanted: set[str], *, fragments: int = 2, most: int = 30, least: int = 10) -> str:
     """The fragments with the most wanted words, marked with ``**``, joined by `` ... ``."""
     found = list(WORD.finditer(text))
@@ -177,12 +226,14 @@ def headline(text: str, wanted: set[str], *, fragments: int = 2, most: int = 30,
         end = found[min(least, len(found)) - 1].end()
         return text[:end]
     chosen: list[tuple[int, int]] = []
-    free = list(hits)
+    free = hits
     while free and len(chosen) < max(1, fragments):
-        best = max(free, key=lambda h: (sum(h <= x < h + most for x in free), -h))
-        inside = [x for x in free if best <= x < best + most]
-        first = max(0, best - max(0, least - (inside[-1] - best + 1)) // 2)
-        last = min(len(found) - 1, max(inside[-1], first + least - 1), first + most - 1)
+        # The hits from each on that fit one fragment; both ends only move on.
+        ends = [bisect_left(free, h + most) for h in free]
+        k = max(range(len(free)), key=lambda k: (ends[k] - k, -k))  # noqa: B023
+        best, last_hit = free[k], free[ends[k] - 1]
+        first = max(0, best - max(0, least - (last_hit - best + 1)) // 2)
+        last = min(len(found) - 1, max(last_hit, first + least - 1), first + most - 1)
         chosen.append((first, last))
         free = [x for x in free if not first <= x <= last]
     out = []

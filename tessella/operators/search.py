@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import expr as E
+from ..functions import lexical
 
 #: Candidates of each branch for fusion.
 DEPTH = 200
@@ -84,21 +85,30 @@ def term_ranks(passages: DataFrame, terms: Sequence[str], text: str = "text") ->
     recall counts all occurrences of the terms, strict the occurrences of the rarest if all are there,
     phrase the places where they stand side by side; each occurrence is a tenth.
     """
-    wanted = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
     low = F.lower(F.col(text))
-    # A passage without any of the terms is left before its words are cut.
+    # A passage without any of the terms is left before its words are looked at.
     some = F.lit(False)
     for t in terms:
         some = some | low.contains(t)
-    out = passages.filter(some).withColumn("_w", words(text))
-    out = out.withColumn("_n", F.transform(wanted, lambda t: F.size(F.filter("_w", lambda w: w == t))))
-    sized = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - (len(terms) - 1), F.lit(1))), lambda k: F.slice("_w", k, max(1, len(terms))))
+    # Two blanks between words and one at either end, so that neighbours share none and each word has its own.
+    spaced = F.concat(F.lit(" "), F.regexp_replace(low, "[^a-z0-9]+", "  "), F.lit(" "))
+    out = passages.filter(some).withColumn("_w", spaced)
+
+    def times(part: str) -> Column:
+        return (F.length("_w") - F.length(F.replace("_w", F.lit(part), F.lit("")))) / F.lit(len(part))
+
+    counts = [f"_n{k}" for k in range(len(terms))]
+    # Different words side by side can't overlap themselves; equal ones were made one before.
+    phrase = times(f" {'  '.join(terms)} ") if terms else F.lit(0)
+    out = out.withColumns({c: times(f" {t} ").cast("int") for c, t in zip(counts, terms, strict=True)} | {"_p": phrase.cast("int")})
+    n = [F.col(c) for c in counts]
+    least = F.least(*n) if len(n) > 1 else n[0] if n else F.lit(0)
     return out.select(
         *passages.columns,
-        (F.size(F.filter(sized, lambda s: s == wanted)) * F.lit(0.1)).alias("phrase_rank"),
-        (F.coalesce(F.array_min("_n"), F.lit(0)) * F.lit(0.1)).alias("strict_rank"),
-        (F.aggregate("_n", F.lit(0), lambda s, n: s + n) * F.lit(0.1)).alias("recall_rank"),
-        F.size(F.filter("_n", lambda n: n > 0)).alias("recall_overlap_count"),
+        (F.col("_p") * F.lit(0.1)).alias("phrase_rank"),
+        (least * F.lit(0.1)).alias("strict_rank"),
+        (sum(n, F.lit(0)) * F.lit(0.1)).alias("recall_rank"),
+        sum(((x > 0).cast("int") for x in n), F.lit(0)).alias("recall_overlap_count"),
     )
 
 
@@ -112,7 +122,8 @@ def lexical_top(ranked: DataFrame, terms: int, k: int, chars: str = "char_count"
 def dense_top(passages: DataFrame, vectors: DataFrame, query: Sequence[float], k: int) -> DataFrame:
     """(passage_id, dense_score): exact cosine over all filtered passages that have a vector; no cosine, no row."""
     q = F.array(*[F.lit(float(x)) for x in query])
-    scored = passages.select("passage_id").join(vectors, "passage_id").select("passage_id", E.cosine("embedding", q).alias("dense_score"))
+    on = [c for c in ("nbk_id", "passage_id") if c in vectors.columns]
+    scored = passages.select(*on).join(vectors, on).select("passage_id", E.cosine("embedding", q).alias("dense_score"))
     return scored.filter("dense_score is not null").orderBy(F.desc("dense_score"), "passage_id").limit(k)
 
 
@@ -149,8 +160,12 @@ def fused(rows: DataFrame, intents: Sequence[str] = (), *, k: int = C.RRF_K, by:
     return out.withColumn("position", F.row_number().over(part.orderBy(*final))).drop("_priority", "_guarded", "_evidence", "_active")
 
 
-def search(passages: DataFrame, vectors: DataFrame, query: str, vector: Sequence[float], *, filters: Filters | None = None, mode: str = "rrf", limit: int = 20) -> DataFrame:
-    """The first ``limit`` passages for a query; modes rrf, lexical and off."""
+def search(passages: DataFrame, vectors: DataFrame, query: str, vector: Sequence[float], *, filters: Filters | None = None, mode: str = "rrf", limit: int = 20, index: DataFrame | None = None) -> DataFrame:
+    """The first ``limit`` passages for a query; modes rrf, lexical and off.
+
+    With an ``index`` (see ``postings``) phrase, strict and recall ranks are those of full-text search, by stems; without
+    one they are counts of plain words.
+    """
     if mode not in ("rrf", "lexical", "off"):
         raise ValueError("mode is rrf, lexical or off")
     if not 1 <= limit <= 100 or not 1 <= len(query) <= 512:
@@ -158,14 +173,15 @@ def search(passages: DataFrame, vectors: DataFrame, query: str, vector: Sequence
     f, k = filters or Filters(), depth(mode, limit)
     within = f.apply(passages)
     terms = list(dict.fromkeys(w for w in _plain(query) if len(w) >= 3 and w not in C.STOP_WORDS))
-    lexical = lexical_top(term_ranks(within, terms), len(terms), k)
+    ranks = term_ranks(within, terms) if index is None else within.join(indexed_ranks(index, query), "passage_id")
+    found = lexical_top(ranks, len(terms), k)
     if f.gene:
         within = within.withColumn("primary_match", F.array_contains("primary_gene_symbols", f.gene))
     if mode == "rrf":
-        rows = fused(candidates(lexical, dense_top(within, vectors, vector, k), within), intents(query))
+        rows = fused(candidates(found, dense_top(within, vectors, vector, k), within), intents(query))
     else:
         by = ["lexical_rank"] if mode == "off" else ["lexical_rank", "_priority"]
-        rows = lexical.withColumn("_priority", E.section_priority("chapter_section"))
+        rows = found.withColumn("_priority", E.section_priority("chapter_section"))
         order = [F.desc("lexical_rank"), *([F.col("_priority")] if len(by) > 1 else []), F.col("nbk_id"), F.col("passage_id")]
         rows = rows.withColumn("position", F.row_number().over(Window.partitionBy().orderBy(*order))).drop("_priority")
     return rows.orderBy("position").limit(limit)
@@ -196,14 +212,22 @@ def suggestions(query: str, filters: Filters, found: int, unfiltered: int | None
     return out
 
 
-def shaped(rows: DataFrame, mode: str = "brief", *, chars: int = 300, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> DataFrame:
-    """Columns of a response: brief has an excerpt, full the text, ids_only ids; score_breakdown is on demand."""
+def shaped(rows: DataFrame, mode: str = "brief", *, chars: int = 300, include: Sequence[str] = (), exclude: Sequence[str] = (), query: str | None = None) -> DataFrame:
+    """Columns of a response: brief has an excerpt, full the text, ids_only ids; score_breakdown and table_data are on demand.
+
+    With the ``query`` the excerpt is of the fragments that hold its words, marked, and of 80 to 800 characters.
+    """
+    if not 80 <= chars <= 800:
+        raise ValueError("an excerpt has 80 to 800 characters")
     ids = [c for c in ("position", "passage_id", "nbk_id", "chapter_section", "rrf_score", "lexical_position") if c in rows.columns]
     if mode == "ids_only":
         return rows.select(*ids)
     scores = [c for c in ("lexical_rank", "dense_score", "dense_position", "adjusted_score") if c in rows.columns and "score_breakdown" in include]
     body = F.col("text") if mode == "full" else E.leading_excerpt("text", chars).alias("snippet")
-    more = [c for c in ("heading_path",) if c in rows.columns and c not in exclude]
+    if query is not None and mode != "full":
+        n, most = lexical.snippet_limits(chars)
+        body = lexical.headline_column(lexical.parse(query), "text", fragments=n, most=most).alias("snippet")
+    more = [c for c in ("heading_path",) if c in rows.columns and c not in exclude] + [c for c in ("table_data",) if c in rows.columns and c in include]
     return rows.select(*ids, *more, *scores, body)
 
 
@@ -215,6 +239,57 @@ def also_matched(hits: DataFrame) -> DataFrame:
     return hits.withColumn("_all", every).withColumn("also_matched", F.when((F.size("_all") > 1) & (F.col("query_index") != F.get("_all", F.lit(0))), other)).drop("_all")
 
 
+def postings(passages: DataFrame, text: Column | str | None = None) -> DataFrame:
+    """(lexeme, passage_id, nbk_id, places): the inverted table of all passages, made once when they come in.
+
+    The indexed text is heading path, section and text. Written sorted by lexeme, it is read only where a query's terms stand.
+    """
+    at = text if text is not None else lexical.searchable(*[c if c in passages.columns else F.lit("") for c in ("heading_path", "chapter_section", "text")])
+    each = passages.select("nbk_id", "passage_id", F.explode(lexical.lexeme_column(at)).alias("x"))
+    return each.groupBy("x.lexeme", "passage_id", "nbk_id").agg(F.array_sort(F.collect_list("x.place")).alias("places")).select("lexeme", "passage_id", "nbk_id", "places")
+
+
+def indexed_ranks(index: DataFrame, query: str) -> DataFrame:
+    """(passage_id, phrase_rank, strict_rank, recall_rank, recall_overlap_count) of passages that hold a term of the query, from the inverted table."""
+    q = lexical.parse(query)
+    found = index.filter(F.col("lexeme").isin(*sorted(lexical.wanted(q)))) if lexical.wanted(q) else index.limit(0)
+    doc = F.flatten(F.collect_list(F.transform("places", lambda p: F.struct(F.col("lexeme").alias("lexeme"), p.alias("place")))))
+    ranked = found.groupBy("passage_id").agg(doc.alias("x")).select("passage_id", lexical.rank_column(q, "x").alias("r"))
+    return ranked.select("passage_id", F.col("r.phrase").alias("phrase_rank"), F.col("r.strict").alias("strict_rank"), F.col("r.recall").alias("recall_rank"), F.col("r.overlap").alias("recall_overlap_count"))
+
+
+def scored_candidates(passages: DataFrame, vectors: DataFrame, ids: DataFrame, vector: Sequence[float], ranks: DataFrame) -> DataFrame:
+    """Given passages with their cosine and lexical ranks, whatever a search would have kept; for looking into one."""
+    q = F.array(*[F.lit(float(x)) for x in vector])
+    dense = vectors.join(ids.select("passage_id").distinct(), "passage_id", "left_semi").select("passage_id", E.cosine("embedding", q).alias("dense_score"))
+    out = ids.select("passage_id").distinct().join(passages, "passage_id").join(dense, "passage_id", "left").join(ranks, "passage_id", "left")
+    return out.fillna(0.0, ["phrase_rank", "strict_rank", "recall_rank"]).fillna(0, ["recall_overlap_count"])
+
+
+def diagnostics(ranks: DataFrame, within: DataFrame, vectors: DataFrame, terms: int) -> DataFrame:
+    """One row: lexical candidates with and without the filters, and of those inside how many have a vector."""
+    enough = ranks.filter(E.enough_overlap(F.col("recall_overlap_count"), F.lit(terms))).select("passage_id")
+    inside = enough.join(within.select("passage_id", F.lit(True).alias("_i")), "passage_id", "left").join(vectors.select("passage_id", F.lit(True).alias("_v")).distinct(), "passage_id", "left")
+    i, v = F.coalesce("_i", F.lit(False)), F.coalesce("_v", F.lit(False))
+    return inside.agg(F.count("*").alias("unfiltered"), F.count_if(i).alias("candidates"), F.count_if(i & v).alias("embedded"), F.count_if(i & ~v).alias("missing"))
+
+
+def freshness(hits: DataFrame, now: Column, *, at: str = "ingested_at", first: int = 3, days: int = 180) -> DataFrame:
+    """One row: the oldest of the first hits, and whether it is older than so many days."""
+    return hits.filter(F.col("position") <= first).agg(F.min(at).alias("oldest")).select("oldest", F.coalesce(F.date_diff(now, F.col("oldest")) > days, F.lit(False)).alias("stale"))
+
+
+def batch_search(passages: DataFrame, vectors: DataFrame, specs: Sequence[dict], *, most: int = 5) -> DataFrame:
+    """A batch of 1 to ``most`` searches (query, vector, and filters, mode and limit if any), with what other queries found too."""
+    if not 1 <= len(specs) <= most:
+        raise ValueError(f"a batch has 1 to {most} searches")
+    parts = [search(passages, vectors, s["query"], s["vector"], filters=s.get("filters"), mode=s.get("mode", "rrf"), limit=s.get("limit", 20)).withColumn("query_index", F.lit(k)) for k, s in enumerate(specs)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return also_matched(out)
+
+
 def batch_ranks(passages: DataFrame, queries: DataFrame, *, query: str = "query", index: str = "query_index", limit: int = 10) -> DataFrame:
     """Lexical top ``limit`` for each of a batch of queries: terms meet words by a join, not every text every query.
 
