@@ -14,8 +14,7 @@ def rank_metrics(queries: DataFrame, runs: DataFrame, *, by: str = "mode", query
     ``queries``: query, gold (id), golds (ids); ``runs``: mode, query, passage_id, rank. A query without
     a hit counts 0.
     """
-    modes = runs.select(by).distinct()
-    asked = queries.withColumn("_m", F.explode(F.lit([r[0] for r in modes.collect()])))
+    asked = queries.crossJoin(F.broadcast(runs.select(F.col(by).alias("_m")).distinct()))  # a row for each of a few modes
     top = runs.filter("rank <= 5").join(queries, query).groupBy(by, query).agg(
         F.min(F.when(F.col("passage_id") == F.col("gold"), F.col("rank"))).alias("r"), F.max(F.array_contains("golds", F.col("passage_id")).cast("int")).alias("any")
     )
@@ -52,8 +51,10 @@ def strata(rows: DataFrame, date: str, key: str, sample: int = 8, seed: int = 42
     quarter = F.expr(f"{int(total.first()[0])} div 4")
     number = F.when(quarter == 0, F.lit(3)).otherwise(F.least(F.expr("_at").cast("long") / F.greatest(quarter, F.lit(1)), F.lit(3)).cast("int"))
     out = placed.withColumn("bucket", F.element_at(F.array(*[F.lit(b) for b in ("oldest_q", "old_mid", "new_mid", "newest_q")]), number + 1))
+    # Filtered by rank, so that no task passes on more rows of a quarter than the sample has.
     w = Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
-    return out.withColumn("sampled", F.row_number().over(w) <= sample).drop("_before", "_at")
+    drawn = out.select("bucket", key, F.row_number().over(w).alias("_r")).filter(F.col("_r") <= sample).select("bucket", key, F.lit(True).alias("_s"))
+    return out.join(F.broadcast(drawn.distinct()), ["bucket", key], "left").select(*rows.columns, "bucket", F.coalesce("_s", F.lit(False)).alias("sampled"))
 
 
 def close_names(names: DataFrame, wanted: str, *, name: str = "name", limit: int = 3, least: float = 70.0) -> DataFrame:
@@ -68,10 +69,15 @@ def largest(rows: DataFrame, n: int, by: str = "nbk_id", size: str = "char_count
 
 
 def median_latency(samples: DataFrame, by: str, value: str) -> DataFrame:
-    """The sample at place n // 2 + 1 of each group."""
-    w = Window.partitionBy(by).orderBy(value)
-    placed = samples.select(by, value, F.row_number().over(w).alias("r"), F.count("*").over(Window.partitionBy(by)).alias("n"))
-    return placed.filter(F.col("r") == F.expr("n div 2") + 1).select(by, F.col(value).alias("p50"))
+    """The sample at place n // 2 + 1 of each group.
+
+    Samples are counted by value first, and windows run over those counts; null samples come first.
+    """
+    counts = samples.groupBy(by, value).agg(F.count("*").alias("c"))
+    w = Window.partitionBy(by).orderBy(F.col(value).asc_nulls_first())
+    placed = counts.select(by, value, F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), "c", F.sum("c").over(Window.partitionBy(by)).alias("n"))
+    at = F.expr("n div 2") + 1
+    return placed.filter((F.col("upto") >= at) & (F.col("upto") - F.col("c") < at)).select(by, F.col(value).alias("p50"))
 
 
 def response_size(objects: DataFrame, text: str, by: str, *, objects_most: int = 10_000, text_most: int = 2 << 20, total_most: int = 8 << 20) -> DataFrame:

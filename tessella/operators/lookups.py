@@ -30,6 +30,68 @@ def missing(rows: DataFrame, done: DataFrame, on: Sequence[str]) -> DataFrame:
     return rows.join(done.select(*on), list(on), "left_anti")
 
 
+def with_chapters(passages: DataFrame, chapters: DataFrame) -> DataFrame:
+    """Passages with the columns of their chapter: title, dates, symbols and article; those without a chapter go.
+
+    Chapters are few beside passages, but no bound is known: the plan sends them to every task only if they turn out small.
+    """
+    c = chapters.select("nbk_id", *[F.col(a).alias(b) for a, b in CHAPTER_COLUMNS.items() if a in chapters.columns])
+    clash = [b for b in CHAPTER_COLUMNS.values() if b in passages.columns]
+    return passages.drop(*clash).join(c, "nbk_id")
+
+
+#: Columns of a chapter, and their names beside a passage's own.
+CHAPTER_COLUMNS = {
+    "title": "chapter_title", "pubmed_id": "pubmed_id", "authors": "authors", "initial_pub_date": "initial_pub_date", "last_updated_date": "chapter_last_updated",
+    "gene_symbols": "gene_symbols", "primary_gene_symbols": "primary_gene_symbols", "omim_ids": "omim_ids",
+}
+
+
+def chapter_of(chapters: DataFrame, nbk_id: str | None = None, pubmed_id: str | None = None) -> DataFrame:
+    """The chapter of a book id or of an article's number."""
+    if (nbk_id is None) == (pubmed_id is None):
+        raise ValueError("give a book id or an article's number")
+    return chapters.filter(F.col("nbk_id") == nbk_id if nbk_id is not None else F.col("pubmed_id") == pubmed_id)
+
+
+def passages_of(passages: DataFrame, nbk_id: str, section: str | None = None) -> DataFrame:
+    """A document's passages in order, or those of one section."""
+    out = passages.filter(F.col("nbk_id") == nbk_id)
+    return (out if section is None else out.filter(F.col("chapter_section") == section)).orderBy("chunk_index")
+
+
+def of_size(passages: DataFrame, least: int, most: int, role: str | None = None, chars: str = "char_count") -> DataFrame:
+    """Passages from ``least`` to ``most`` characters, of a role."""
+    out = passages.filter(F.col(chars).between(least, most))
+    return out if role is None else out.filter(F.col("passage_role") == role)
+
+
+def resolved_names(members: DataFrame, names: DataFrame, *, short: str = "short_name", key: str = "nbk_id", order: str = "line_no") -> tuple[DataFrame, DataFrame]:
+    """Members with the id of their short name, the last of a name listed twice; and those whose name isn't listed."""
+    last = names.groupBy(short).agg(F.max_by(key, order).alias(key))
+    met = members.join(last, short, "left")
+    return met.filter(F.col(key).isNotNull()), met.filter(F.col(key).isNull()).drop(key)
+
+
+def resolved_gene(chapters: DataFrame, gene: str, limit: int | None = None) -> DataFrame:
+    """Documents that answer for a symbol: those that hold it and have an article, the latest first."""
+    return documents_of(chapters.filter(F.coalesce("pubmed_id", F.lit("")) != ""), gene, limit)
+
+
+def chapter_outline(chapters: DataFrame, passages: DataFrame, today: Column) -> DataFrame:
+    """Each chapter with title, dates, its nine sections, tables and how stale it is."""
+    o = outline(passages)
+    each = F.struct("section_order", F.col("chapter_section").alias("section"), "passage_count", "total_chars", "token_estimate", "note")
+    sections = o.groupBy("nbk_id").agg(F.array_sort(F.collect_list(each)).alias("sections"))
+    none = F.array().cast("array<struct<chunk_index:int,table_id:string,caption:string>>")
+    tables = table_index(passages) if {"passage_type", "table_data"} <= set(passages.columns) else passages.select("nbk_id", none.alias("tables"), F.lit(0).alias("table_count")).limit(0)
+    out = chapters.select("nbk_id", "title", *[c for c in ("authors", "initial_pub_date", "last_updated_date") if c in chapters.columns]).join(sections, "nbk_id").join(tables, "nbk_id", "left")
+    years = E.years_since("last_updated_date", today)
+    out = out.withColumn("table_count", F.coalesce("table_count", F.lit(0))).withColumn("years_since_update", years)
+    out = out.withColumn("staleness", E.staleness_band("years_since_update"))
+    return out.withColumn("stale_for_therapy", E.stale_for_therapy("staleness", "sections"))
+
+
 def after(rows: DataFrame, keys: Sequence[str], values: Sequence, limit: int) -> DataFrame:
     """The next rows of a keyset cursor: keys compared as one row value."""
     cursor = F.struct(*[F.lit(v).alias(k) for k, v in zip(keys, values, strict=True)])

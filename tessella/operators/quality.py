@@ -22,6 +22,11 @@ def gate(chapters: DataFrame, passages: DataFrame, vectors: DataFrame, model: st
     return reduce(DataFrame.unionAll, counts)
 
 
+def exists(rows: DataFrame) -> DataFrame:
+    """One row: whether there is any; a task stops at its first."""
+    return rows.limit(1).agg((F.count("*") > 0).alias("found"))
+
+
 def key_faults(rows: DataFrame, key: Sequence[str]) -> DataFrame:
     """Keys that are null or not unique."""
     bad = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in key])

@@ -35,17 +35,18 @@ def next_version(taken: list[str], day: date) -> str:
 
 
 def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], day: date) -> str:
-    """Write all tables under a new version, then point at it; readers see the old or the new one whole."""
+    """Write all tables under a new version with its manifest, then point at it; readers see the old or the new one whole."""
     version = next_version(versions(spark, root), day)
     for name, df in tables.items():
         df.write.parquet(f"{root}/{version}/{name}")
     _write(spark, f"{root}/{version}/manifest.json", json.dumps({"version": version, "tables": sorted(tables)}))
     _write(spark, f"{root}/{POINTER}.new", version)
-    jvm, new, fs = _fs(spark, f"{root}/{POINTER}.new")
-    old = jvm.org.apache.hadoop.fs.Path(f"{root}/{POINTER}")
-    fs.delete(old, False)
-    if not fs.rename(new, old):
-        raise OSError("the pointer could not be swapped")
+    jvm, new, _ = _fs(spark, f"{root}/{POINTER}.new")
+    # A rename over the old pointer is one step of the file system: readers find the old or the new one, never none.
+    fc = jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    fc.rename(new, jvm.org.apache.hadoop.fs.Path(f"{root}/{POINTER}"), options)
     return version
 
 

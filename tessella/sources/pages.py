@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -264,26 +265,97 @@ def search_result(responses: DataFrame, body: str = "body", most: int | None = N
     return responses.select(*[c for c in responses.columns if c != body], F.coalesce(r["count"].cast("int"), F.lit(0)).alias("count"), (ids if most is None else F.slice(ids, 1, most)).alias("ids"))
 
 
+_ARTICLES = "pmid string, title string, abstract string, authors array<string>, journal string, year string, kind string"
+
+
+def _text(node: ET.Element | None) -> str | None:
+    """All text of an element, with that of the marks inside, white space squeezed; null if there is none."""
+    return (re.sub(r"\s+", " ", "".join(node.itertext())).strip() or None) if node is not None else None
+
+
+def read_articles(body: str | None) -> list[dict]:
+    """Title, labelled abstract, authors, journal and year of each record (article or book chapter) of an XML response."""
+    try:
+        root = ET.fromstring(body or "")
+    except ET.ParseError:
+        return []
+    out, records = [], [(kind, r) for kind, tag in (("article", "PubmedArticle"), ("book", "PubmedBookArticle")) for r in root.iter(tag)]
+    for kind, record in records or ([("article", root)] if root.find(".//ArticleTitle") is not None else []):
+        if record is not None:
+            find = lambda *paths: next((t for p in paths if (t := _text(record.find(p)))), None)  # noqa: B023, E731
+            parts = [(x.get("Label"), _text(x)) for x in record.iterfind(".//Abstract/AbstractText")]
+            authors = []
+            for a in record.iterfind(".//AuthorList/Author"):
+                name = " ".join(filter(None, (_text(a.find("LastName")), _text(a.find("ForeName")) or _text(a.find("Initials")))))
+                if name or (name := _text(a.find("CollectiveName"))):
+                    authors.append(name)
+            out.append({
+                "pmid": find(".//PMID"), "title": find(".//ArticleTitle", ".//BookTitle"),
+                "abstract": "\n\n".join(f"{label}: {t}" if label else t for label, t in parts if t) or None, "authors": authors,
+                "journal": find(".//Journal/Title", ".//Book/BookTitle"), "year": find(".//PubDate/Year", ".//ContributionDate/Year"), "kind": kind,
+            })
+    return out
+
+
 def articles(responses: DataFrame, body: str = "body") -> DataFrame:
-    """Title, labelled abstract, authors, journal and year of XML article records."""
-    x = lambda path: F.nullif(F.xpath_string(body, F.lit(path)), F.lit(""))
-    parts, labels = F.xpath(body, F.lit("//AbstractText/text()")), F.xpath(body, F.lit("//AbstractText/@Label"))
-    labelled = F.when(F.size(labels) == F.size(parts), F.zip_with(labels, parts, lambda a, b: F.concat(a, F.lit(": "), b))).otherwise(parts)
-    names = F.zip_with(F.xpath(body, F.lit("//AuthorList/Author/LastName/text()")), F.xpath(body, F.lit("//AuthorList/Author/ForeName/text()")), lambda a, b: F.concat_ws(" ", a, b))
-    return responses.select(*[c for c in responses.columns if c != body], x("//PMID").alias("pmid"), x("//ArticleTitle").alias("title"), F.array_join(labelled, "\n\n").alias("abstract"), names.alias("authors"), F.coalesce(x("//Journal/Title"), x("//BookTitle")).alias("journal"), F.coalesce(x("//PubDate/Year"), x("//ContributionDate/Year")).alias("year"))
-
-
-def links(responses: DataFrame, body: str = "body") -> DataFrame:
-    """Distinct links of XML link records with their providers and kinds, grouped by kind."""
-    urls = F.xpath(body, F.lit("//ObjUrl/Url/text()"))
-    of = F.arrays_zip(urls.alias("url"), F.xpath(body, F.lit("//ObjUrl/Provider/Name/text()")).alias("provider"), F.xpath(body, F.lit("//ObjUrl/Category[1]/text()")).alias("link_type"))
+    """The records of XML responses, one a row, articles before book chapters; a response without any, or of broken XML, gives none."""
     keep = [c for c in responses.columns if c != body]
-    each = responses.select(*keep, F.explode(of).alias("l")).select(*keep, "l.*").filter("url is not null").withColumn("link_type", F.coalesce("link_type", F.lit("other")))
-    once = each.dropDuplicates([*keep, "url", "link_type"])
-    return once.groupBy(*keep, "link_type").agg(F.array_sort(F.collect_list(F.struct("url", "provider"))).alias("links"))
+
+    # Each response is read as a whole, so that the parts of a record stay together.
+    @F.pandas_udf(f"array<struct<{_ARTICLES}>>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(read_articles)
+
+    return responses.select(*keep, F.explode(run(body)).alias("_r")).select(*keep, "_r.*")
+
+
+#: Places of linked records, by what the name of a link set holds.
+BOOKS, ARTICLES_AT = "https://www.ncbi.nlm.nih.gov/books/{}/", "https://www.ncbi.nlm.nih.gov/pmc/articles/PMC{}/"
+
+
+def read_links(body: str | None) -> list[dict]:
+    """Url, kind and provider of each link of an XML response, once each, in their order.
+
+    Links that a provider gives are ``prlinks``, others ``llinks`` with their category for a provider; sets
+    of linked records give ``books`` and ``pmc`` links by id.
+    """
+    try:
+        root = ET.fromstring(body or "")
+    except ET.ParseError:
+        return []
+    found: dict[tuple[str, str], str | None] = {}
+    for link in root.iter("ObjUrl"):
+        provider = _text(link.find("Provider/Name"))
+        if url := _text(link.find("Url")):
+            found.setdefault((url, "prlinks" if provider else "llinks"), provider or _text(link.find("Category")))
+    for linked in root.iter("LinkSetDb"):
+        name = (_text(linked.find("LinkName")) or "").lower()
+        for number in filter(None, (_text(x.find("Id")) for x in linked.iterfind("Link"))):
+            if "books" in name:
+                found.setdefault((BOOKS.format(number if number.startswith("NBK") else f"NBK{number}"), "books"), "NCBI Bookshelf")
+            elif "pmc" in name:
+                found.setdefault((ARTICLES_AT.format(number), "pmc"), "PubMed Central")
+    return [{"url": url, "link_type": kind, "provider": provider, "at": k} for k, ((url, kind), provider) in enumerate(found.items())]
+
+
+def links(responses: DataFrame, body: str = "body", fallback: str | None = None) -> DataFrame:
+    """Distinct links of XML link records with their providers and kinds, grouped by kind.
+
+    ``fallback`` names a column with another response, read where the first has no link.
+    """
+    keep = [c for c in responses.columns if c not in (body, fallback)]
+
+    @F.pandas_udf("array<struct<at int, url string, provider string, link_type string>>")
+    def run(first: pd.Series, second: pd.Series) -> pd.Series:
+        return pd.Series([read_links(a) or read_links(b) for a, b in zip(first, second, strict=True)], first.index, object)
+
+    each = responses.select(*keep, F.explode(run(F.col(body), F.col(fallback) if fallback else F.lit(None).cast("string"))).alias("_r")).select(*keep, "_r.*")
+    first = each.groupBy(*keep, "url", "link_type").agg(F.min_by(F.struct("at", "url", "provider"), "at").alias("l"))
+    return first.groupBy(*keep, "link_type").agg(F.transform(F.array_sort(F.collect_list("l")), lambda x: F.struct(x["url"].alias("url"), x["provider"].alias("provider"))).alias("links"))
 
 
-def book_url(links_: DataFrame, preferred: list[str], by: str, db: str = "db", url: str = "url") -> DataFrame:
-    """The first book url of each key: of the preferred sources, in their order, or else of any."""
+def book_url(links_: DataFrame, preferred: list[str], by: str, db: str = "db", url: str = "url", at: str | None = None) -> DataFrame:
+    """The first book url of each key: of the preferred sources, in their order, or else of any; ``at`` says what comes first."""
     order = F.coalesce(F.array_position(F.array(*[F.lit(p) for p in preferred]), F.col(db)).cast("int"), F.lit(0))
-    return links_.filter(F.col(url).contains("/books/")).groupBy(by).agg(F.min_by(url, F.struct(F.when(order == 0, 1 << 20).otherwise(order), F.col(url))).alias("book_url"))
+    first = [F.col(at)] if at else []
+    return links_.filter(F.col(url).contains("/books/")).groupBy(by).agg(F.min_by(url, F.struct(F.when(order == 0, 1 << 20).otherwise(order), *first, F.col(url))).alias("book_url"))
