@@ -287,10 +287,9 @@ def role_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT 'chapters' AS \"check\", count(DISTINCT source) AS value, 10 AS wanted, count(DISTINCT source) >= 10 AS ok FROM documents UNION ALL SELECT 'passages', count(*), 100, count(*) >= 100 FROM documents UNION ALL SELECT 'passages without vector', count(*), 0, count(*) = 0 FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) UNION ALL SELECT 'vectors of another model', count(*), 0, count(*) = 0 FROM embeddings WHERE label = 9")
 def metrics_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = passages(spark, sf_dir)
-    v = p.select("nbk_id", "passage_id").join(table(spark, sf_dir, "embeddings"), F.col("vec_id") == F.col("passage_id")).select("nbk_id", "passage_id", F.lit("m").alias("model_name"))
-    other = table(spark, sf_dir, "embeddings").filter("label = 9").agg(F.count("*").alias("value")).select(F.lit("vectors of another model").alias("check"), "value", F.lit(0).cast("long").alias("wanted"), (F.col("value") == 0).alias("ok"))
-    rows = quality.gate(p.select("nbk_id").distinct(), p, v, "m", minimums={"chapters": 10, "passages": 100})
-    return rows.filter(F.col("check") != "vectors of another model").unionByName(other)
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("passage_id"), F.when(F.col("label") == 9, "other").otherwise("m").alias("model_name"))
+    v = e.join(p.select("nbk_id", "passage_id"), "passage_id", "left")
+    return quality.gate(p.select("nbk_id").distinct(), p, v, "m", minimums={"chapters": 10, "passages": 100})
 
 
 @query("SELECT d.doc_id FROM labels d WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
@@ -468,8 +467,8 @@ def markdown_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrase, strict and recall rank over stems; tests hold the parts against hand-made documents."""
-    d = table(spark, sf_dir, "documents").select("doc_id", lexical.lexeme_column("text").alias("x"))
-    return d.select("doc_id", lexical.rank_column(lexical.parse('"that thing" with -idiot'), "x").alias("r")).select("doc_id", "r.*")
+    ranks = lexical.text_rank_column(lexical.parse('"that thing" with -idiot'), "text")
+    return table(spark, sf_dir, "documents").select("doc_id", ranks.alias("r")).select("doc_id", "r.*")
 
 
 @query()
@@ -504,3 +503,131 @@ def union_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = passages(spark, sf_dir)
     both = p.filter("passage_id < 500").select("passage_id", "chapter_section").union(p.filter("char_count > 2000").select("passage_id", "chapter_section")).distinct()
     return both.select(F.col("passage_id").alias("doc_id"), "chapter_section", F.row_number().over(Window.partitionBy("chapter_section").orderBy("passage_id")).alias("position"))
+
+
+# Chapters, names and candidates -----------------------------------------------------------------------------
+
+
+def _chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as chapters; every third has no article, every fifth no date."""
+    c = table(spark, sf_dir, "customer")
+    day = F.when(F.col("c_custkey") % 5 != 0, F.date_add(F.lit(date(1990, 1, 1)), (F.col("c_custkey") % 3600).cast("int")))
+    article = F.when(F.col("c_custkey") % 3 != 0, F.col("c_custkey").cast("string"))
+    return c.select(F.col("c_custkey").alias("nbk_id"), F.col("c_name").alias("title"), article.alias("pubmed_id"), F.array("c_mktsegment").alias("gene_symbols"), F.array("c_mktsegment").alias("primary_gene_symbols"), day.alias("last_updated_date"))
+
+
+_CHAPTERS_SQL = "SELECT c_custkey AS nbk_id, c_name AS title, CASE WHEN c_custkey % 3 <> 0 THEN CAST(c_custkey AS VARCHAR) END AS pubmed_id, c_mktsegment AS gene, CASE WHEN c_custkey % 5 <> 0 THEN DATE '1990-01-01' + CAST(c_custkey % 3600 AS INT) END AS day FROM customer"
+
+
+@query(f"WITH c AS ({_CHAPTERS_SQL}) SELECT o_orderkey AS passage_id, nbk_id, title AS chapter_title, pubmed_id, day AS chapter_last_updated, gene FROM orders JOIN c ON nbk_id = o_custkey")
+def passages_with_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("passage_id"), F.col("o_custkey").alias("nbk_id"))
+    out = lookups.with_chapters(p, _chapters(spark, sf_dir))
+    return out.select("passage_id", "nbk_id", "chapter_title", "pubmed_id", "chapter_last_updated", F.get("gene_symbols", F.lit(0)).alias("gene"))
+
+
+@query(f"WITH c AS ({_CHAPTERS_SQL}) SELECT nbk_id, title FROM c WHERE pubmed_id = '11' UNION ALL SELECT nbk_id, title FROM c WHERE nbk_id = 12")
+def chapter_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _chapters(spark, sf_dir)
+    return lookups.chapter_of(c, pubmed_id="11").unionByName(lookups.chapter_of(c, nbk_id=12)).select("nbk_id", "title")
+
+
+@query("SELECT conv_id AS nbk_id, turn AS chunk_index, role AS chapter_section, sha256(text) AS text_sha256 FROM conversations WHERE conv_id = 3 AND role = 'user'")
+def document_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.passages_of(chunks(spark, sf_dir), 3, "user").select("nbk_id", "chunk_index", "chapter_section", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query(f"WITH p AS ({PASSAGES_SQL}) SELECT passage_id, char_count FROM p WHERE char_count BETWEEN 200 AND 1500 AND passage_role = 'evidence'")
+def size_and_role(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.of_size(passages(spark, sf_dir), 200, 1500, "evidence").select("passage_id", "char_count")
+
+
+@query("WITH n AS (SELECT CAST(n_nationkey % 20 AS VARCHAR) AS short_name, arg_max(n_name, n_nationkey) AS nbk_id FROM nation GROUP BY 1) SELECT s_suppkey, short_name, nbk_id FROM (SELECT s_suppkey, CAST(s_nationkey AS VARCHAR) AS short_name FROM supplier) LEFT JOIN n USING (short_name)")
+def short_name_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "nation").select((F.col("n_nationkey") % 20).cast("string").alias("short_name"), F.col("n_name").alias("nbk_id"), F.col("n_nationkey").alias("line_no"))
+    found, skipped = lookups.resolved_names(table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").cast("string").alias("short_name")), names)
+    return found.unionByName(skipped.withColumn("nbk_id", F.lit(None).cast("string"))).select("s_suppkey", "short_name", "nbk_id")
+
+
+@query(f"WITH c AS ({_CHAPTERS_SQL}) SELECT nbk_id, title, day FROM c WHERE gene = 'BUILDING' AND pubmed_id IS NOT NULL ORDER BY day DESC NULLS LAST, nbk_id LIMIT 10")
+def gene_resolver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.resolved_gene(_chapters(spark, sf_dir), "BUILDING", 10).select("nbk_id", "title", F.col("last_updated_date").alias("day"))
+
+
+_SECTIONS_SQL = "(['summary', 'diagnosis', 'clinical_features', 'management', 'other'])[CAST(o_orderkey % 5 + 1 AS INT)]"
+
+
+@query(f"""WITH c AS ({_CHAPTERS_SQL}), p AS (SELECT o_custkey AS nbk_id, {_SECTIONS_SQL} AS section, length(o_orderpriority) AS chars FROM orders),
+a AS (SELECT nbk_id, count(*) AS passages, sum(chars) AS chars, count_if(section = 'management') AS m, count_if(section = 'summary') AS s FROM p GROUP BY 1),
+y AS (SELECT *, round(date_diff('day', day, DATE '2000-01-01') / 365.25, 1) + 0.0 AS years FROM c JOIN a USING (nbk_id))
+SELECT nbk_id, title, years, CASE WHEN years < 2 THEN 'current' WHEN years < 4 THEN 'aging' WHEN years < 7 THEN 'stale' WHEN years IS NOT NULL THEN 'very_stale' END AS staleness,
+coalesce(years >= 4 AND m > 0, false) AS stale_for_therapy, 9 AS n_sections, CAST(passages AS BIGINT) AS passages, CAST(chars AS BIGINT) AS chars, s = 0 AS no_summary FROM y""")
+def chapter_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    section = F.element_at(F.array(*[F.lit(x) for x in ("summary", "diagnosis", "clinical_features", "management", "other")]), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    p = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("nbk_id"), section.alias("chapter_section"), F.length("o_orderpriority").alias("char_count"))
+    out = lookups.chapter_outline(_chapters(spark, sf_dir), p, F.lit(TODAY))
+    total = lambda c: F.aggregate("sections", F.lit(0).cast("long"), lambda n, s: n + s[c])
+    return out.select("nbk_id", "title", F.col("years_since_update").alias("years"), "staleness", "stale_for_therapy", F.size("sections").alias("n_sections"), total("passage_count").alias("passages"), total("total_chars").alias("chars"), F.exists("sections", lambda s: F.coalesce(s["note"], F.lit("")) == "not extracted").alias("no_summary"))
+
+
+@query(f"WITH {_LEXICAL} SELECT count(*) AS unfiltered, count_if(f) AS candidates, count_if(f AND v) AS embedded, count_if(f AND NOT v) AS missing FROM (SELECT chapter_section IN ('summary', 'management') AS f, passage_id IN (SELECT vec_id FROM embeddings) AS v FROM s)")
+def candidate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = passages(spark, sf_dir)
+    within = search.Filters(sections=("summary", "management")).apply(p)
+    return search.diagnostics(search.term_ranks(p, TERMS), within, vectors(spark, sf_dir), len(TERMS))
+
+
+@query("SELECT min(d) AS oldest, date_diff('day', CAST(min(d) AS DATE), DATE '2000-01-01') > 180 AS stale FROM (SELECT o_orderdate AS d, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 3")
+def first_hits_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = table(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(3)
+    hits = top.select(F.col("o_orderdate").alias("ingested_at"), F.row_number().over(Window.partitionBy().orderBy(F.desc("o_totalprice"), "o_orderkey")).alias("position"))
+    return search.freshness(hits, F.lit(TODAY))
+
+
+@query(f"WITH {_LEXICAL}, {_DENSE} SELECT i.passage_id, round(d.dense_score, 6) AS dense_score, round(CAST(coalesce(r.recall_rank, 0) AS DOUBLE), 6) AS recall_rank, coalesce(r.recall_overlap_count, 0) AS overlap FROM (SELECT DISTINCT doc_id AS passage_id FROM labels WHERE toxic = 1 AND doc_id IN (SELECT doc_id FROM documents)) i LEFT JOIN d ON d.passage_id = i.passage_id LEFT JOIN r ON r.passage_id = i.passage_id AND r.recall_overlap_count > 0")
+def debug_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of given passages: those that are labelled toxic."""
+    p = passages(spark, sf_dir)
+    ids = table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("passage_id"))
+    ranks = search.term_ranks(p, TERMS).select("passage_id", "phrase_rank", "strict_rank", "recall_rank", "recall_overlap_count").filter("recall_overlap_count > 0")
+    out = search.scored_candidates(p, vectors(spark, sf_dir), ids, _vector(spark, sf_dir), ranks)
+    return out.select("passage_id", F.round("dense_score", 6).alias("dense_score"), F.round("recall_rank", 6).alias("recall_rank"), F.col("recall_overlap_count").alias("overlap"))
+
+
+@query(f"""WITH {_LEXICAL},
+x AS (SELECT 0 AS query_index, passage_id, nbk_id, lexical_rank FROM s WHERE chapter_section IN ('summary', 'management') UNION ALL SELECT 1, passage_id, nbk_id, lexical_rank FROM s WHERE chapter_section = 'summary'),
+h AS (SELECT *, row_number() OVER (PARTITION BY query_index ORDER BY lexical_rank DESC, nbk_id, passage_id) AS position FROM x QUALIFY position <= 15)
+SELECT query_index, passage_id, position, CASE WHEN query_index = 1 AND count(*) OVER (PARTITION BY passage_id) = 2 THEN 0 END AS also FROM h""")
+def batch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two searches in a batch, with filters of their own."""
+    specs = [{"query": QUESTION, "vector": [1.0], "mode": "off", "limit": 15, "filters": search.Filters(sections=s)} for s in (("summary", "management"), ("summary",))]
+    out = search.batch_search(passages(spark, sf_dir), vectors(spark, sf_dir), specs)
+    return out.select("query_index", "passage_id", "position", F.get("also_matched", F.lit(0)).alias("also"))
+
+
+@query("SELECT EXISTS (SELECT 1 FROM events WHERE value > 5) AS found")
+def any_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.exists(table(spark, sf_dir, "events").filter("value > 5"))
+
+
+@query(r"SELECT doc_id, sha256(left(regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}\x{200b}-\x{200d}\x{202a}-\x{202e}\x{2060}\x{2066}-\x{2069}\x{feff}]', '', 'g'), 280)) AS message_sha256 FROM documents")
+def message_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(E.message_text("text"), 256).alias("message_sha256"))
+
+
+@query("WITH q AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) >= 3 AND NOT list_contains(['the','and','for','they','you','our','are','was','not','but','has','had','its','can','may','who','how','all','one','two','she'], w))) AS ts FROM benchmark) SELECT item_id, len(ts) AS n_terms, CASE WHEN len(ts) = 0 THEN 'x:*' ELSE array_to_string(list_sort(ts), ' | ') END AS query FROM q")
+def any_term_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = F.filter(F.split(E.any_query("text"), r" \| "), lambda t: t != "x:*")
+    return table(spark, sf_dir, "benchmark").select("item_id", F.size(terms).alias("n_terms"), F.when(F.size(terms) == 0, "x:*").otherwise(F.array_join(F.array_sort(terms), " | ")).alias("query"))
+
+
+@query()
+def inverted_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stems of all passages with their places; tests hold it against the lexemes of each text."""
+    return search.postings(passages(spark, sf_dir)).select("lexeme", "passage_id", "places")
+
+
+@query()
+def indexed_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full-text ranks read from the inverted table; tests hold them against ranks of each text."""
+    return search.indexed_ranks(search.postings(passages(spark, sf_dir)), '"that thing" with or this -idiot')
