@@ -85,33 +85,39 @@ def term_ranks(passages: DataFrame, terms: Sequence[str], text: str = "text") ->
     recall counts all occurrences of the terms, strict the occurrences of the rarest if all are there,
     phrase the places where they stand side by side; each occurrence is a tenth.
     """
-    low = F.lower(F.col(text))
+    low = F.col("_l")
     # A passage without any of the terms is left before its words are looked at.
     some = F.lit(False)
     for t in terms:
         some = some | low.contains(t)
     # Two blanks between words and one at either end, so that neighbours share none and each word has its own.
     spaced = F.concat(F.lit(" "), F.regexp_replace(low, "[^a-z0-9]+", "  "), F.lit(" "))
-    out = passages.filter(some).withColumn("_w", spaced)
+    out = once(once(passages, F.lower(F.col(text)), "_l").filter(some), spaced, "_w").drop("_l")
 
     def times(part: str) -> Column:
         return (F.length("_w") - F.length(F.replace("_w", F.lit(part), F.lit("")))) / F.lit(len(part))
 
-    counts = [f"_n{k}" for k in range(len(terms))]
-    # Different words side by side can't overlap themselves; equal ones were made one before.
+    # Different words side by side can't overlap themselves.
     phrase = times(f" {'  '.join(terms)} ") if terms else F.lit(0)
-    out = out.withColumns({c: times(f" {t} ").cast("int") for c, t in zip(counts, terms, strict=True)} | {"_p": phrase.cast("int")})
-    n = [F.col(c) for c in counts]
+    names = [f"n{k}" for k in range(len(terms))]
+    found = F.struct(phrase.cast("int").alias("p"), *[times(f" {t} ").cast("int").alias(c) for c, t in zip(names, terms, strict=True)])
+    out = once(out, found, "_c")
+    n = [F.col("_c")[c] for c in names]
     least = F.least(*n) if len(n) > 1 else n[0] if n else F.lit(0)
     return out.select(
         *passages.columns,
-        (F.col("_p") * F.lit(0.1)).alias("phrase_rank"),
+        (F.col("_c")["p"] * F.lit(0.1)).alias("phrase_rank"),
         (least * F.lit(0.1)).alias("strict_rank"),
         (sum(n, F.lit(0)) * F.lit(0.1)).alias("recall_rank"),
         sum(((x > 0).cast("int") for x in n), F.lit(0)).alias("recall_overlap_count"),
     )
 
 
+def once(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """``rows`` with a column that is worked out once a row: filters on it aren't moved below, where each use would work it out again."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def lexical_top(ranked: DataFrame, terms: int, k: int, chars: str = "char_count") -> DataFrame:
     """Passages with enough overlap, by lexical rank; needs the columns of ``term_ranks``."""
     score = E.lexical_score(F.col("phrase_rank"), F.col("strict_rank"), F.col("recall_rank"), F.lit(terms), F.col("recall_overlap_count"), F.col(chars))
@@ -123,7 +129,7 @@ def dense_top(passages: DataFrame, vectors: DataFrame, query: Sequence[float], k
     """(passage_id, dense_score): exact cosine over all filtered passages that have a vector; no cosine, no row."""
     q = F.array(*[F.lit(float(x)) for x in query])
     on = [c for c in ("nbk_id", "passage_id") if c in vectors.columns]
-    scored = passages.select(*on).join(vectors, on).select("passage_id", E.cosine("embedding", q).alias("dense_score"))
+    scored = once(passages.select(*on).join(vectors, on).select("passage_id", "embedding"), E.cosine("embedding", q), "dense_score").drop("embedding")
     return scored.filter("dense_score is not null").orderBy(F.desc("dense_score"), "passage_id").limit(k)
 
 
