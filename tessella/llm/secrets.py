@@ -16,7 +16,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_right
 from functools import cache
+from operator import add
 from uuid import uuid4
 
 import numpy as np
@@ -105,6 +107,33 @@ def shape(token: str) -> list[str]:
     return out
 
 
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]?[a-zß-öø-ÿ]+)(\.?)")
+_HARD = re.compile(r"[^aeiouyáéíóúäöüèêàAEIOUY]+")
+_NO_VOWELS, _NO_RARE = str.maketrans("", "", "aeiouyáéíóúäöüèêàçñAEIOUY"), str.maketrans("", "", "qxzjkwvyQXZJKWVY")
+_LENGTHS = (2, 4, 6, 8, 12, 16, 20, 32, 40, 64)
+
+
+def signature(token: str) -> tuple | None:
+    """For plain words, with a capital and a full stop or without: what their features depend on, so that words alike in it
+    have the same ``shape``. None for all other tokens."""
+    m = _WORD.fullmatch(token)
+    if m is None or len(token) < 2 or m[1].lower() in KEYWORDS or token.startswith(PREFIXES):
+        return None
+    n = len(token)
+    case, varied, plain = token[0].isupper(), bisect_right((0.3, 0.5, 0.75), len(set(token)) / n), token.isascii()
+    if m[2]:
+        return bisect_right(_LENGTHS, n), case, varied, plain, bisect_right((0.01, 0.1, 0.2), 1 / n)
+    hexlike = not case and not token.strip("abcdef")
+    if n < 6:
+        return bisect_right(_LENGTHS, n), case, varied, plain, hexlike, None
+    low = token.lower()
+    pairs = sum(map(COMMON.__contains__, map(add, low, low[1:]))) / (n - 1)
+    return (
+        bisect_right(_LENGTHS, n), case, varied, plain, hexlike, bisect_right((0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6), pairs), bisect_right((0.1, 0.2, 0.3, 0.5, 0.6), (n - len(token.translate(_NO_VOWELS))) / n),
+        bisect_right((3, 4, 5, 6, 8), max(map(len, _HARD.findall(token)), default=0)), bisect_right((0.01, 0.1, 0.2, 0.3), (n - len(token.translate(_NO_RARE))) / n),
+    )
+
+
 def around(before: list[str], after: str | None) -> list[str]:
     """Features of up to two tokens before and one after."""
     out = []
@@ -216,23 +245,26 @@ class Field:
     def __init__(self, weights: dict[str, tuple[float, float, float]], steps: list[list[float]], start: list[float]):
         self.weights, self.steps, self.start = weights, steps, start
         self.own: dict[str, list[float]] = {}
+        #: Own scores by signature: as many as there are combinations of its buckets at most.
+        self.alike: dict[tuple, list[float]] = {}
         #: The most that the steps to a token inside, and from it, can be better than those outside.
         self.slack = max(0.0, *(max(steps[a][y] for a in range(3)) + max(steps[y]) for y in (B, I))) - 2 * min(0.0, steps[O][O]) + max(0.0, *(x - start[O] for x in start))
 
     def emission(self, token: str, context: list[str]) -> list[float]:
         if (own := self.own.get(token)) is None:
-            own = [sum(self.weights.get(f, (0, 0, 0))[k] for f in shape(token)) for k in range(3)]
+            sign = signature(token)
+            if sign is None or (own := self.alike.get(sign)) is None:
+                own = [sum(self.weights.get(f, (0, 0, 0))[k] for f in shape(token)) for k in range(3)]
+                if sign is not None:
+                    self.alike[sign] = own
             if len(token) <= KEY:
                 if len(self.own) > MEMO:
                     self.own.clear()
                 self.own[token] = own
+        if not context:
+            return own
         return [own[k] + sum(self.weights.get(f, (0, 0, 0))[k] for f in context) for k in range(3)]
 
-    def gain(self, token: str, context: list[str]) -> float:
-        """How much better a token is inside than outside, by its own score."""
-        e = self.emission(token, context)
-        return max(e[B], e[I]) - e[O]
-
     def tags(self, tokens: list[str], file: list[str], lead: bool = True) -> list[int]:
         """The best tags (Viterbi) of a stretch of tokens; without ``lead`` it follows one that is outside."""
         back, best = [], None
@@ -322,8 +354,11 @@ class Scanner:
 
             def __missing__(memo, chunk: str) -> tuple[float, bool]:
                 tokens = TOKEN.findall(chunk)
-                gain = max((field.gain(t, []) for t in tokens), default=-1e9)
-                draws = any(t in _DRAWS or strong(t) or t.lower().strip("-_.") in KEYWORDS for t in tokens)
+                gain, draws = -1e9, False
+                for t in tokens:
+                    e = field.emission(t, [])
+                    gain = max(gain, e[B] - e[O], e[I] - e[O])
+                    draws = draws or t in _DRAWS or strong(t) or t.lower().strip("-_.") in KEYWORDS
                 # Tokens within a word are neighbours too.
                 found = (gain + (self.drawn if draws and len(tokens) > 1 else 0.0), draws)
                 if len(chunk) <= KEY:

@@ -111,3 +111,13 @@ def test_stretches_are_decoded_as_whole_texts_are(make):
                 want[-1] = (want[-1][0], "crf", b + len(t))
             inside = tag != s.O
         assert scanner.added(text) == want
+
+
+def test_signatures_decide_the_shape(spark):
+    """Words of one signature have the same features."""
+    seen = {}
+    for row in spark.read.parquet(f"{DATA}/documents.parquet").collect():
+        for token in s.TOKEN.findall(row.text or ""):
+            if (sign := s.signature(token)) is not None:
+                assert seen.setdefault(sign, sorted(s.shape(token))) == sorted(s.shape(token)), token
+    assert len(seen) > 100
