@@ -1,4 +1,4 @@
-"""Fixed values that ranking and shaping depend on."""
+"""Fixed values that ranking and shaping depend on; each is needed as it stands for right results."""
 
 SECTIONS = ("summary", "diagnosis", "clinical_features", "management", "genetic_counseling", "molecular_genetics", "resources", "other", "references")
 
@@ -47,3 +47,26 @@ SECTION_RULES = (
 CROSS_REFERENCE_HEADINGS = ("Related", "Issues", "Counseling", "Information", "Evaluation of Relatives at Risk", "GeneReview Scope")
 CROSS_REFERENCE_PHRASES = ("refer to ", "for details", "for more information", "described in")
 NOMENCLATURE_PHRASES = (r"is an? synonym of", r"is an? historical name for", r"has also been referred to as", r"was initially named", r"was previously referred to as")
+
+#: Patterns of texts, titles, references and dates that decide results.
+HTML_TAG = r"<[^>]+>"
+HTML_ENTITY = r"&[a-zA-Z0-9#]+;"
+ODD_BLANK = r"[\x{a0}\x{2009}\x{202f}]"
+DETAILS_LABEL = r"(?i)\s*(Show details|Hide details)\s*"
+CONTROL = r"[\x{0}-\x{8}\x{b}\x{c}\x{e}-\x{1f}\x{7f}]"
+KEY_MARK = r"(?U)[^\w\s-]"
+KEY_BLANK = r"(?U)[-\s]+"
+KEY_ARTICLE = r"^(the_|a_|an_)"
+KEY_KIND = r"(_section|_chapter)$"
+REFERENCE_AUTHORS = r"^([^.;]+)"
+REFERENCE_QUOTED = r'"([^"]+)"'
+REFERENCE_TITLE = r"\.([^.]+)\.\s*[A-Z]"
+REFERENCE_JOURNAL = r"\.\s*([A-Z][^.]+?)\.\s*\d{4}"
+REFERENCE_JOURNAL_WORDS = r"\b([A-Z][a-z]*\s+[A-Z][a-z]*(?:\s+[A-Z][a-z]*)*)\s*\.\s*\d{4}"
+REFERENCE_PMID = r"(?i)PMID:?\s*(\d+)"
+REFERENCE_YEAR = r"\b(?:19|20)\d{2}\b"
+UPDATE_DATE = r"(?i)\b(?:\d{4}[-/]\d{1,2}[-/]\d{1,2}|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{1,2},?\s+\d{4})\b"
+UPDATE_WORD = r"(?i)updated?|revised?"
+
+#: Code points that may not leave the fence: controls, zero-width and directional marks.
+FORBIDDEN = r"[\x{0}-\x{8}\x{b}\x{c}\x{e}-\x{1f}\x{7f}-\x{9f}\x{200b}-\x{200d}\x{202a}-\x{202e}\x{2060}\x{2066}-\x{2069}\x{feff}]"

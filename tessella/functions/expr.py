@@ -45,30 +45,30 @@ def leading_excerpt(text: Column | str, most: int) -> Column:
 
 def html_text(html: Column | str) -> Column:
     """Tags, entities, show/hide labels and controls gone, odd blanks made plain, white space squeezed."""
-    out = F.regexp_replace(F.regexp_replace(col(html), r"<[^>]+>", ""), r"&[a-zA-Z0-9#]+;", "")
-    out = F.regexp_replace(F.regexp_replace(out, r"[\x{a0}\x{2009}\x{202f}]", " "), r"(?U)\s+", " ")
-    out = F.regexp_replace(out, r"(?i)\s*(Show details|Hide details)\s*", "")
-    return F.trim(F.regexp_replace(out, r"[\x{0}-\x{8}\x{b}\x{c}\x{e}-\x{1f}\x{7f}]", ""))
+    out = F.regexp_replace(F.regexp_replace(col(html), C.HTML_TAG, ""), C.HTML_ENTITY, "")
+    out = F.regexp_replace(F.regexp_replace(out, C.ODD_BLANK, " "), r"(?U)\s+", " ")
+    out = F.regexp_replace(out, C.DETAILS_LABEL, "")
+    return F.trim(F.regexp_replace(out, C.CONTROL, ""))
 
 
 def section_key(title: Column | str) -> Column:
     """A title as a key: lower case, marks gone, blanks and dashes as underscores, at most 50 characters."""
-    out = stripped(F.regexp_replace(F.lower(col(title)), r"(?U)[^\w\s-]", ""))
-    out = F.regexp_replace(F.regexp_replace(out, r"(?U)[-\s]+", "_"), r"^(the_|a_|an_)", "")
-    return F.left(F.regexp_replace(out, r"(_section|_chapter)$", ""), F.lit(50))
+    out = stripped(F.regexp_replace(F.lower(col(title)), C.KEY_MARK, ""))
+    out = F.regexp_replace(F.regexp_replace(out, C.KEY_BLANK, "_"), C.KEY_ARTICLE, "")
+    return F.left(F.regexp_replace(out, C.KEY_KIND, ""), F.lit(50))
 
 
 def reference_fields(text: Column | str) -> Column:
     """pmid, year, authors, title and journal of a reference as far as they are found."""
     t = col(text)
     some = lambda x: F.nullif(x, F.lit(""))
-    authors = some(stripped(F.regexp_extract(t, r"^([^.;]+)", 1)))
-    quoted, plain = some(stripped(F.regexp_extract(t, r'"([^"]+)"', 1))), some(stripped(F.regexp_extract(t, r"\.([^.]+)\.\s*[A-Z]", 1)))
+    authors = some(stripped(F.regexp_extract(t, C.REFERENCE_AUTHORS, 1)))
+    quoted, plain = some(stripped(F.regexp_extract(t, C.REFERENCE_QUOTED, 1))), some(stripped(F.regexp_extract(t, C.REFERENCE_TITLE, 1)))
     title = F.coalesce(quoted, plain)
-    journal = F.coalesce(some(stripped(F.regexp_extract(t, r"\.\s*([A-Z][^.]+?)\.\s*\d{4}", 1))), some(F.regexp_extract(t, r"\b([A-Z][a-z]*\s+[A-Z][a-z]*(?:\s+[A-Z][a-z]*)*)\s*\.\s*\d{4}", 1)))
+    journal = F.coalesce(some(stripped(F.regexp_extract(t, C.REFERENCE_JOURNAL, 1))), some(F.regexp_extract(t, C.REFERENCE_JOURNAL_WORDS, 1)))
     return F.struct(
-        some(F.regexp_extract(t, r"(?i)PMID:?\s*(\d+)", 1)).alias("pmid"),
-        some(F.regexp_extract(t, r"\b(?:19|20)\d{2}\b", 0)).alias("year"),
+        some(F.regexp_extract(t, C.REFERENCE_PMID, 1)).alias("pmid"),
+        some(F.regexp_extract(t, C.REFERENCE_YEAR, 0)).alias("year"),
         F.when(~authors.rlike(r"\d{4}"), authors).alias("authors"),
         F.when(F.length(title) > 10, title).alias("title"),
         F.when((F.length(journal) > 3) & ~journal.rlike(r"\d"), journal).alias("journal"),
@@ -77,16 +77,12 @@ def reference_fields(text: Column | str) -> Column:
 
 def last_updated_text(text: Column | str) -> Column:
     """The first date in a text that speaks of an update."""
-    found = F.regexp_extract(col(text), r"(?i)\b(?:\d{4}[-/]\d{1,2}[-/]\d{1,2}|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{1,2},?\s+\d{4})\b", 0)
-    return F.when(col(text).rlike(r"(?i)updated?|revised?"), F.nullif(found, F.lit("")))
-
-
-#: Code points that may not leave the fence: controls, zero-width and directional marks.
-FORBIDDEN = r"[\x{0}-\x{8}\x{b}\x{c}\x{e}-\x{1f}\x{7f}-\x{9f}\x{200b}-\x{200d}\x{202a}-\x{202e}\x{2060}\x{2066}-\x{2069}\x{feff}]"
+    found = F.regexp_extract(col(text), C.UPDATE_DATE, 0)
+    return F.when(col(text).rlike(C.UPDATE_WORD), F.nullif(found, F.lit("")))
 
 
 def fenced_text(text: Column | str) -> Column:
-    return F.regexp_replace(col(text), FORBIDDEN, "")
+    return F.regexp_replace(col(text), C.FORBIDDEN, "")
 
 
 def message_text(text: Column | str, most: int = 280) -> Column:

@@ -110,6 +110,38 @@ def kept_versions(log: DataFrame, retain: int = 2, name: str = "version") -> Dat
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
-    """(member, size, sha256) of the files under a folder, for manifests."""
+    """(member, size, sha256) of the files under a folder, for manifests; a member is named by its place in the folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("member"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    inside = F.element_at(F.split("path", F.lit(f"/{path.rstrip('/').rpartition('/')[2]}/"), 2), -1)
+    return files.select(inside.alias("member"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
+def write_bundle(spark: SparkSession, root: str, version: str) -> str:
+    """A manifest of all files of a version beside its folder, and the manifest's own digest beside that; returns the digest.
+
+    A manifest has a line for each file, which are as many as tasks have written.
+    """
+    digests(spark, f"{root}/{version}").orderBy("member").coalesce(1).write.mode("overwrite").json(f"{root}/{version}.manifest")
+    whole = _manifest_digest(spark, root, version)
+    _write(spark, f"{root}/{version}.manifest.sha256", whole)
+    return whole
+
+
+def _manifest_digest(spark: SparkSession, root: str, version: str) -> str:
+    """Of a manifest's entries, whatever their order: the sum of hashes of each, as text."""
+    d = spark.read.schema("member string, size long, sha256 string").json(f"{root}/{version}.manifest")
+    row = d.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("member", "size", "sha256")).alias("x"), F.sum(F.xxhash64("sha256", "member").cast("decimal(38,0)")).alias("s")).first()
+    return f"{row.n}:{row.x or 0}:{row.s or 0}"
+
+
+def bundle_faults(spark: SparkSession, root: str, version: str) -> DataFrame:
+    """What is wrong with a version's files: members that are missing, not declared, or of another size or digest; none if it is whole.
+
+    A manifest that was changed since it was written is an error before any file is looked at.
+    """
+    said = "".join(r[0] for r in spark.read.text(f"{root}/{version}.manifest.sha256").collect())
+    if said != _manifest_digest(spark, root, version):
+        raise ValueError("the manifest isn't the one that was written")
+    declared = spark.read.schema("member string, size long, sha256 string").json(f"{root}/{version}.manifest")
+    found = digests(spark, f"{root}/{version}").select("member", F.col("size").alias("found_size"), F.col("sha256").alias("found_sha256"))
+    return declared.join(found, "member", "full_outer").filter(~(F.col("size").eqNullSafe(F.col("found_size")) & F.col("sha256").eqNullSafe(F.col("found_sha256"))))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HEADINGS = ("h2", "h3")
-#: Blocks that hold one of these are none of the document's own.
+#: Blocks that hold one of these are none of the document's own.
 UNWANTED = ("federal government", "the .gov means", "https://", "the site is secure", "sharing sensitive information", "encrypted and transmitted securely", "javascript to function", "ncbi web site requires", "show details", "author information and affiliations", "email:")
 NO_TITLES = ("bookshelf", "ncbi bookshelf")
 DATE = re.compile(r"\b\d{4}[-/]\d{1,2}[-/]\d{1,2}\b|\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{1,2},?\s+\d{4}\b", re.I)
