@@ -35,3 +35,35 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id: r.n_tokens for r in kept[5].collect()} == {i: len(LIBRARY.encode(t)) for i, t in texts(kept[4])}
     whole = {r.doc_id: r.ids_sha256 for r in cp.run(spark, DATA).collect()}
     assert whole == {r.doc_id: r.ids_sha256 for r in kept[5].collect()}
+
+
+def staged(spark, docs, sf_dir, at):
+    for k, (_, stage) in enumerate(cp.STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
+        docs = spark.read.parquet(f"{at}/{k}")
+    return docs
+
+
+def tables(spark, at):
+    """A folder with the small tables that the stages read besides documents."""
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{DATA}/{name}.parquet").limit(50).write.parquet(f"{at}/{name}.parquet")
+    return str(at)
+
+
+def test_odd_rows(spark, documents, make, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows and ids, and columns whose names clash with the stages' own."""
+    line = make(12)
+    rows = [(1, line), (1, line), (2, f"{make(30)}\n{line}"), (2, make(20)), (None, make(25)), (3, None), (4, ""), (5, "\n \n"), (6, make(30_000)), (7, make(6).upper())]
+    docs = documents(rows).selectExpr("*", "1 as n_hit", "'x' as __ts_t", "2 as class_id", "3 as score", "4 as n_dropped", "cast(null as int) as gone", "5 as d")
+    out = staged(spark, docs, tables(spark, tmp_path / "in"), tmp_path)
+    got = sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect())
+    # The repeated row of 1 goes with its copy; line and text of 2 stay apart from each other, as do all others.
+    assert got == [(False, k) for k in (1, 2, 2, 3, 4, 5, 6, 7)] + [(True, 0)]
+
+
+def test_empty_tables(spark, documents, tmp_path):
+    folder = tables(spark, tmp_path / "in")
+    assert staged(spark, documents([]), folder, tmp_path / "a").count() == 0
+    documents([]).write.parquet(f"{folder}/documents.parquet")
+    assert cp.run(spark, folder).count() == 0

@@ -1,10 +1,12 @@
 """Op 9 on hand-made graphs of pages."""
 
+import random
 from urllib.parse import urlsplit
 
+import duckdb
 from llm_classes import DATA
 
-from tessella.llm import urls
+from tessella.llm import sql, urls
 from tessella.llm.queries import URL_RULES, op9_url_filter
 
 
@@ -61,3 +63,20 @@ def test_query(spark):
         u = urlsplit(rows[r.page_id])
         assert (r.host, r.path) == (u.netloc, u.path)
     assert "Python" not in out._jdf.queryExecution().toString()
+
+
+def test_against_sql_on_linked_pages(spark, tmp_path):
+    """The registered SQL on pages most of which name another as canonical: chains, circles, stars and classes with both rules."""
+    r = random.Random(3)
+    urls_ = [f"http://{h}/{p}{k}" for k in range(30) for h, p in (("a.net", "x"), ("shop.com", "de/"), ("shop.com", "fr/"), ("b.net", "y"), ("www.example.org", "es/"))]
+    rows = []
+    for k, u in enumerate(urls_):
+        to = r.choice(urls_) if k % 4 == 0 else urls_[(k + 7) % len(urls_)] if k % 4 == 1 else urls_[0] if k % 20 == 2 else None
+        rows.append((k, u, f'<html><head><link rel="canonical" href="{to}"></head></html>' if to and to != u else "<p>none</p>"))
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    names = ["page_id", "host", "path", "rule", "verdict"]
+    got = sorted(tuple(str(x[c]) for c in names) for x in op9_url_filter(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert got == sorted(tuple(map(str, x)) for x in con.execute(f"select {', '.join(names)} from ({sql.URLS})").fetchall())
+    assert {x[4] for x in got if x[3] == "None"} == {"allow", "block"}
