@@ -293,15 +293,15 @@ def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         several = member.filter("g is not null").join(few(lead.filter("n > 1").select("g")), "g")
         several = scratch.put(several.select("d", "h", "g"), stay=True)
     leads = several.groupBy("g").agg(F.min(F.struct(F.col("d").isNull().alias("z"), "d", "h")).alias("l")).select("l.d", "l.h").distinct()
-    leads = leads.select(F.col("d").alias("__ts_d"), F.col("h").alias("__ts_h"))
     bits = bitmap(several, "h")
-    every = docs.select(*keep, F.xxhash64(text).alias("__ts_x"), (F.coalesce(F.length(text), F.lit(0)) == 0).alias("__ts_e"))
-    full = every.filter(~F.col("__ts_e"))
-    single = sifted(full, "__ts_x", bits, inside=False).select(*keep)
+    # A row travels as one column, so that no name of its own meets those that are used here.
+    every = docs.select(F.struct(*keep).alias("row"), F.xxhash64(text).alias("x"), (F.coalesce(F.length(text), F.lit(0)) == 0).alias("e"))
+    own = [F.col("row")[c].alias(c) for c in keep]
+    full = every.filter("not e")
+    single = sifted(full, "x", bits, inside=False).select(*own)
     # Texts that only share a bit with those of a class are in none, and stay like them.
-    near = sifted(full, "__ts_x", bits)
-    mark = few(several.select(F.col("d").alias("__ts_d"), F.col("h").alias("__ts_h")).distinct())
-    same = F.col(doc_id).eqNullSafe(F.col("__ts_d")) & (F.col("__ts_x") == F.col("__ts_h"))
-    apart = near.join(mark, same, "left_anti").select(*keep)
-    once = near.join(leads, same).groupBy("__ts_d", "__ts_h").agg(F.first(F.struct(*keep)).alias("__ts_s")).select("__ts_s.*")
-    return single.unionByName(apart).unionByName(once).unionByName(every.filter("__ts_e").select(*keep))
+    near = sifted(full, "x", bits)
+    same = F.col("row")[doc_id].eqNullSafe(F.col("d")) & (F.col("x") == F.col("h"))
+    apart = near.join(few(several.select("d", "h").distinct()), same, "left_anti").select(*own)
+    once = near.join(leads, same).groupBy("d", "h").agg(F.first("row").alias("row")).select(*own)
+    return single.unionByName(apart).unionByName(once).unionByName(every.filter("e").select(*own))

@@ -102,13 +102,13 @@ def judged(pages: DataFrame, rules: Sequence[Rule], *, url: str = "url", html: s
     keep = without(pages, OWN)
     with Scratch(pages.sparkSession) as scratch:
         fate = few(fates(pages, rules, url, html, redirects, scratch))
-    own = parsed(pages.select(*keep, F.col(url).alias("__ts_url")), "__ts_url", "__ts_")
-    name, action = fitting(rules, F.col("__ts_host"), F.col("__ts_path"))
-    result = [*[F.col(c) for c in keep], F.col("__ts_host").alias("host"), F.col("__ts_path").alias("path"), name.alias("rule")]
-    met = own.filter("__ts_node is not null").join(fate.select(F.col("_node").alias("__ts_node"), F.col("_fate").alias("__ts_fate")), "__ts_node", "left")
-    met = met.select(*result, F.coalesce(action, "__ts_fate", F.lit("allow")).alias("verdict"))
+    # A row travels as one column, so that no name of its own meets those that are used here.
+    own = parsed(pages.select(F.struct(*keep).alias("row"), F.col(url).alias("url")), "url")
+    name, action = fitting(rules, F.col("host"), F.col("path"))
+    result = [*[F.col("row")[c].alias(c) for c in keep], F.col("host"), F.col("path"), name.alias("rule")]
+    met = own.filter("node is not null").join(fate, F.col("node") == F.col("_node"), "left").select(*result, F.coalesce(action, "_fate", F.lit("allow")).alias("verdict"))
     # Pages without a url are in no class; they meet none, as all of them would do so in one task.
-    return met.unionByName(own.filter("__ts_node is null").select(*result, F.coalesce(action, F.lit("allow")).alias("verdict")))
+    return met.unionByName(own.filter("node is null").select(*result, F.coalesce(action, F.lit("allow")).alias("verdict")))
 
 
 def fates(pages: DataFrame, rules: Sequence[Rule], url: str, html: str, redirects: DataFrame | None, scratch: Scratch) -> DataFrame:
