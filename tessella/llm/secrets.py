@@ -158,7 +158,9 @@ def around(before: list[str], after: str | None) -> list[str]:
 def file_features(chunks: list[str]) -> list[str]:
     """Features of a whole file: how much of it looks like settings, and its length."""
     n = max(1, len(chunks))
-    signs = sum("=" in c or c.endswith(":") for c in chunks)
+    whole = " ".join(chunks) + " "
+    # Words with a sign in them, or a colon behind; most files hold neither.
+    signs = sum("=" in c or c.endswith(":") for c in chunks) if "=" in whole or ": " in whole else 0
     return [f"settings{bucket(signs / n, (0.002, 0.02, 0.1))}", f"words{bucket(n, (10, 100, 1000))}"]
 
 
@@ -257,7 +259,7 @@ class Field:
                 own = [sum(self.weights.get(f, (0, 0, 0))[k] for f in shape(token)) for k in range(3)]
                 if sign is not None:
                     self.alike[sign] = own
-            if len(token) <= KEY:
+            if sign is None and len(token) <= KEY:
                 if len(self.own) > MEMO:
                     self.own.clear()
                 self.own[token] = own
@@ -340,6 +342,9 @@ def trained(seed: int = 7, rounds: int = 80) -> Field:
 MARGIN = 3
 #: What draws a secret out of a token beside it.
 _DRAWS = {":", "=", '"', "'", "`"}
+_DRAWN = 1e6
+#: A plain word, its full stop, another sign.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]?[a-zß-öø-ÿ]+)(?:(\.?)|([,;!?]))")
 
 
 class Scanner:
@@ -349,18 +354,23 @@ class Scanner:
         #: The most that neighbours can add: those that draw, and any.
         self.drawn, self.any = most(["after-keyword", "assigned", "after-sign", "after-quote", "after-strong", "before-quote", "last"]), most(["last"])
 
+        alone = {p: self.most(p) for p in ",;!?"}
+
         class Known(dict):
-            """By word: the most that one of its tokens gains, and whether it draws a secret out of the next."""
-
-            def __missing__(memo, chunk: str) -> tuple[float, bool]:
-                tokens = TOKEN.findall(chunk)
-                gain, draws = -1e9, False
-                for t in tokens:
-                    e = field.emission(t, [])
-                    gain = max(gain, e[B] - e[O], e[I] - e[O])
-                    draws = draws or t in _DRAWS or strong(t) or t.lower().strip("-_.") in KEYWORDS
-                # Tokens within a word are neighbours too.
-                found = (gain + (self.drawn if draws and len(tokens) > 1 else 0.0), draws)
+            """By word: the most that one of its tokens gains, and ``_DRAWN`` more if it draws a secret out of the next."""
+
+            def __missing__(memo, chunk: str) -> float:
+                found = None
+                if len(chunk) < 20 and (m := _PLAIN.fullmatch(chunk)):  # a word with a sign or without, which draws nothing
+                    e = field.alike.get(signature(m[1] + (m[2] or "")))
+                    if e is not None:
+                        found = max(e[B] - e[O], e[I] - e[O], alone.get(m[3], -1e9))
+                if found is None:
+                    tokens = TOKEN.findall(chunk)
+                    found = max(map(self.most, tokens), default=-1e9)
+                    if any(t in _DRAWS or strong(t) or t.lower().strip("-_.") in KEYWORDS for t in tokens):
+                        # Tokens within a word are neighbours too.
+                        found += _DRAWN + (self.drawn if len(tokens) > 1 else 0.0)
                 if len(chunk) <= KEY:
                     if len(memo) >= MEMO:
                         memo.clear()
@@ -369,16 +379,20 @@ class Scanner:
 
         self.known = Known()
 
+    def most(self, token: str) -> float:
+        """What a token gains by being inside, by its own score."""
+        e = self.field.emission(token, [])
+        return max(e[B], e[I]) - e[O]
+
     def possible(self, chunks: list[str], file: list[str]) -> np.ndarray:
         """The words that may hold a token of a secret, given the best of neighbours."""
-        found = np.array(list(map(self.known.__getitem__, chunks)), float).reshape(-1, 2)
-        gain, draws = found[:, 0], found[:, 1] > 0
+        gain = np.fromiter(map(self.known.__getitem__, chunks), float, len(chunks))
+        draws = gain > _DRAWN / 2
+        gain[draws] -= _DRAWN
         near = draws.copy()
         near[1:] |= draws[:-1]
         near[2:] |= draws[:-2]
         near[:-1] |= draws[1:]
-        if len(near):
-            near[-1] = True
         added = self.field.slack + sum(max(w[:2]) - w[2] for f in file if (w := self.field.weights.get(f)))
         return np.flatnonzero(gain + np.where(near, self.drawn, self.any) + added >= 0)
 
