@@ -209,13 +209,13 @@ def utf8(raw: bytes) -> str:
 class Memo(dict):
     """Results of ``make`` in two generations of MEMO entries: what is asked for again outlives the rest. Long keys aren't kept."""
 
-    def __init__(self, make):
-        self.make, self.old = make, {}
+    def __init__(self, make, longest: int = KEY):
+        self.make, self.longest, self.old = make, longest, {}
 
     def __missing__(self, key):
         if (value := self.old.get(key)) is None:
             value = self.make(key)
-        if len(key) <= KEY:
+        if len(key) <= self.longest:
             if len(self) >= MEMO:
                 self.old = dict(self)
                 self.clear()
@@ -238,7 +238,7 @@ class Codec:
             return ",".join(map(str, model.encode_part(BLANK + word)))
 
         self.ids = Memo(ids)
-        self.raw = Memo(lambda ids: b"".join(map(model.piece_bytes, map(int, ids.split(",")))))
+        self.raw = Memo(lambda ids: b"".join(map(model.piece_bytes, map(int, ids.split(",")))), 4 * KEY)
 
     def run(self, text: str) -> tuple[int, str, str]:
         """Number of ids, the ids joined by commas, the text decoded from them."""
