@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from . import licenses, secrets, sql
 from .chat import formatted, read_back
+from .codebooks import compressed
 from .common import table
 from .contamination import measure
+from .divergence import audited
+from .exactcopies import copies
 from .lines import deduplicated
 from .nearcopies import classes
 from .pieces import tokenized
@@ -84,9 +87,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs, fit(docs, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return copies(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compressed(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audited(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_license_scan, op3_sentencepiece, op4_benchmark_decontamination, op5_line_dedup, op6_chat_formatting, op7_minhash_near_dedup, op8_secret_scan, op9_url_filter, op10_toxicity)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_license_scan, op3_sentencepiece, op4_benchmark_decontamination, op5_line_dedup, op6_chat_formatting, op7_minhash_near_dedup, op8_secret_scan, op9_url_filter, op10_toxicity, op11_exact_dedup, op12_vector_codes, op13_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_formatting": sql.CHAT, "op9_url_filter": sql.URLS}
+    return {"op6_chat_formatting": sql.CHAT, "op9_url_filter": sql.URLS, "op11_exact_dedup": sql.COPIES, "op12_vector_codes": sql.CODES, "op13_source_divergence": sql.DIVERGENCE}
