@@ -70,3 +70,25 @@ UPDATE_WORD = r"(?i)updated?|revised?"
 
 #: Code points that may not leave the fence: controls, zero-width and directional marks.
 FORBIDDEN = r"[\x{0}-\x{8}\x{b}\x{c}\x{e}-\x{1f}\x{7f}-\x{9f}\x{200b}-\x{200d}\x{202a}-\x{202e}\x{2060}\x{2066}-\x{2069}\x{feff}]"
+
+#: Words that English full-text search leaves out.
+ENGLISH_STOP_WORDS = """
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves
+what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while
+of at by for with about against between into through during before after above below to from up down in out on off over under again further then once here there
+when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now
+""".split()
+
+#: Fixed values of the published English stemmer: whole words, words left as they are (at once, or after plurals), beginnings that its first region doesn't cut.
+STEM_EXCEPTIONS = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl"}
+STEM_INVARIANTS = ("sky", "news", "howe", "atlas", "cosmos", "bias", "andes")
+STEM_SINGULARS = ("inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed")
+STEM_BEGINNINGS = ("gener", "commun", "arsen", "past", "univers", "later", "emerg", "organ")
+
+#: Its endings: those of the second, third and fourth step, with what takes their place.
+STEM_SECOND = {
+    "tional": "tion", "enci": "ence", "anci": "ance", "abli": "able", "entli": "ent", "izer": "ize", "ization": "ize", "ational": "ate", "ation": "ate", "ator": "ate", "alism": "al", "aliti": "al", "alli": "al",
+    "fulness": "ful", "ousli": "ous", "ousness": "ous", "iveness": "ive", "iviti": "ive", "biliti": "ble", "bli": "ble", "ogi": "og", "fulli": "ful", "lessli": "less", "li": "",
+}
+STEM_THIRD = {"tional": "tion", "ational": "ate", "alize": "al", "icate": "ic", "iciti": "ic", "ical": "ic", "ful": "", "ness": "", "ative": ""}
+STEM_FOURTH = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "ion")

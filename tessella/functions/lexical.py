@@ -1,8 +1,8 @@
 """Full-text search: lexemes with places, query parsing, cover-density rank and highlighted fragments.
 
-Only stemming and ranking need Python; they run as Arrow-batched pandas UDFs, on the rows that a query's
-terms have already selected. Stems are those of the published Porter2 rules for the endings that matter
-in English prose; the rank is the cover density of Clarke, Cormack and Tudhope.
+Only stemming and ranking need Python; they run as Arrow-batched pandas UDFs, once a passage when it is
+indexed, and on the rows that a query's terms have already selected. Stems are those of the published
+Porter2 rules; the rank is the cover density of Clarke, Cormack and Tudhope.
 """
 
 from __future__ import annotations
@@ -17,79 +17,132 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import constants as C
 from .constants import STOP_WORDS
 
 WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
-_VOWEL = "aeiouy"
 
-
-def _measure(stem: str) -> int:
-    return len(re.findall(r"[aeiouy]+[^aeiouy]+", stem))
+#: What takes a place of its own. Tags, entities and protocols take none; a compound stands before its parts, an address before its host and path.
+TOKEN = re.compile(
+    r"""(?P<skip></?[A-Za-z][^<>]*>|<!--.*?-->|&(?:[A-Za-z]+|\#[0-9]+);|[A-Za-z]+://)
+    |(?P<mail>[^\W_][\w.+-]*@(?:[^\W_][\w-]*\.)+[A-Za-z]{2,})
+    |(?P<host>(?:[^\W_][\w-]*\.)+[A-Za-z]{2,}(?![\w-]))(?P<path>(?::[0-9]+)?/[^\s<>"]*)?
+    |(?P<file>[^\W_]+(?:/[^\W_][\w.-]*)+|(?:/[^\W_][\w.-]*)+)
+    |(?P<number>[-+]?[0-9]+(?:\.[0-9]+)*(?:[eE][-+]?[0-9]+)?(?![^\W_]))
+    |(?P<compound>[^\W\d_][^\W_]*(?:-[^\W_]+)+)
+    |(?P<word>[^\W_]+)""",
+    re.VERBOSE | re.DOTALL,
+)
+ENGLISH_STOP_WORDS = frozenset(C.ENGLISH_STOP_WORDS)
 
 
 def stem(word: str) -> str:
-    """Plural, participle and the commonest derivational endings removed; short words stay. Words are remembered unless they are long."""
+    """The stem of a word in lower case by Porter2; words with letters that aren't of ASCII stay. Words are remembered unless they are long."""
     return _known(word) if len(word) <= 40 else _stem(word)
 
 
+_VOWELS = "aeiouy"
+_DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
+_REGION = re.compile("[aeiouy][^aeiouy]")
+_SHORT = re.compile("(?:[^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$")
+_VOWEL = re.compile("[aeiouy]")
+_BEGINNING = re.compile("|".join(C.STEM_BEGINNINGS))
+
+
+def _ending(word: str, endings) -> str | None:
+    """The longest of the endings that the word has."""
+    return next((word[-n:] for n in range(min(7, len(word)), 0, -1) if word[-n:] in endings), None)
+
+
 def _stem(word: str) -> str:
-    w = word.lower()
-    if len(w) <= 3 or not w.isascii():
+    w = word.lower().replace("\u2019", "'").lstrip("'")
+    if len(w) <= 2 or not w.isascii():
         return w
-    if w.endswith("'s"):
-        w = w[:-2]
+    if w in C.STEM_EXCEPTIONS:
+        return C.STEM_EXCEPTIONS[w]
+    if w in C.STEM_INVARIANTS:
+        return w
+    # A y that begins a word or follows a vowel is a consonant.
+    w = re.sub("^y|(?<=[aeiouy])y", "Y", w)
+    begin = _BEGINNING.match(w) or _REGION.search(w)
+    r1 = begin.end() if begin else len(w)
+    again = _REGION.search(w, r1)
+    r2 = again.end() if again else len(w)
+
+    for end in ("'s'", "'s", "'"):
+        if w.endswith(end):
+            w = w[: -len(end)]
+            break
     if w.endswith("sses"):
         w = w[:-2]
-    elif w.endswith(("ies", "ied")):
-        w = w[:-3] + ("i" if len(w) > 4 else "ie")
-    elif w.endswith("s") and not w.endswith(("us", "ss")) and re.search(r"[aeiouy].+s$", w):
+    elif w.endswith(("ied", "ies")):
+        w = w[:-2] if len(w) > 4 else w[:-1]
+    elif w.endswith("s") and not w.endswith(("us", "ss")) and _VOWEL.search(w[:-2]):
         w = w[:-1]
-    for end in ("eedly", "eed"):
-        if w.endswith(end):
-            w = w[: -len(end)] + "ee" if _measure(w[: -len(end)]) else w
-            break
-    else:
-        for end in ("ingly", "edly", "ing", "ed"):
-            if w.endswith(end):
-                left = w[: -len(end)]
-                if any(c in _VOWEL for c in left):
-                    if left.endswith(("at", "bl", "iz")):
-                        left += "e"
-                    elif len(left) > 2 and left[-1] == left[-2] and left[-1] in "bdfgmnprt":
-                        left = left[:-1]
-                    elif len(left) <= 3 and re.search(r"[^aeiouy][aeiouy][^aeiouywx]$", left):
-                        left += "e"
-                    w = left
-                break
-    if len(w) > 2 and w[-1] == "y" and w[-2] not in _VOWEL:
+    if w in C.STEM_SINGULARS:
+        return w
+    if end := _ending(w, ("eed", "eedly")):
+        if len(w) - len(end) >= r1:
+            w = w[: -len(end)] + "ee"
+    elif (end := _ending(w, ("ed", "edly", "ing", "ingly"))) and _VOWEL.search(w[: -len(end)]):
+        w = w[: -len(end)]
+        if w.endswith(("at", "bl", "iz")):
+            w += "e"
+        elif w.endswith(_DOUBLES):
+            w = w[:-1]
+        elif len(w) <= r1 and _SHORT.search(w):
+            w += "e"
+    if len(w) > 2 and w[-1] in "yY" and w[-2] not in _VOWELS:
         w = w[:-1] + "i"
-    for end, new in (("ational", "ate"), ("tional", "tion"), ("ization", "ize"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("entli", "ent"), ("ousli", "ous"), ("ation", "ate"), ("alism", "al"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"), ("izer", "ize"), ("ator", "ate"), ("alli", "al"), ("bli", "ble")):
-        if w.endswith(end) and _measure(w[: -len(end)]):
-            w = w[: -len(end)] + new
-            break
-    for end in ("icate", "iciti", "ical", "ative", "alize", "ness", "ful"):
-        if w.endswith(end) and _measure(w[: -len(end)]):
-            w = w[: -len(end)] + {"icate": "ic", "iciti": "ic", "ical": "ic", "alize": "al"}.get(end, "")
-            break
-    for end in ("ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "ion", "al", "er", "ic"):
-        if w.endswith(end) and _measure(w[: -len(end)]) > 1:
-            if end != "ion" or w[-4:-3] in ("s", "t"):
-                w = w[: -len(end)]
-            break
-    if w.endswith("e") and (_measure(w[:-1]) > 1 or _measure(w[:-1]) == 1 and not re.search(r"[^aeiouy][aeiouy][^aeiouywx]$", w[:-1])):
+    if (end := _ending(w, C.STEM_SECOND)) and len(w) - len(end) >= r1:
+        left = w[: -len(end)]
+        if end == "ogi" and left[-1:] != "l" or end == "li" and left[-1:] not in tuple("cdeghkmnrt"):
+            pass
+        else:
+            w = left + C.STEM_SECOND[end]
+    if (end := _ending(w, C.STEM_THIRD)) and len(w) - len(end) >= (r2 if end == "ative" else r1):
+        w = w[: -len(end)] + C.STEM_THIRD[end]
+    if (end := _ending(w, C.STEM_FOURTH)) and len(w) - len(end) >= r2 and (end != "ion" or w[-4:-3] in ("s", "t")):
+        w = w[: -len(end)]
+    if w.endswith("e"):
+        if len(w) > r2 or len(w) > r1 and not _SHORT.search(w[:-1]):
+            w = w[:-1]
+    elif w.endswith("ll") and len(w) > r2:
         w = w[:-1]
-    return w[:-1] if w.endswith("ll") and _measure(w[:-1]) > 1 else w
+    return w.lower()
 
 
 _known = lru_cache(100_000)(_stem)
 
 
+def tokens(text: str):
+    """(word in lower case, whether it is one of language, match) of what takes a place, in order."""
+    for m in TOKEN.finditer(text):
+        kind = m.lastgroup
+        if kind == "skip":
+            continue
+        if kind == "word":
+            yield m[0].lower(), not m[0][0].isdigit(), m
+        elif kind == "compound":
+            whole = m[0].lower()
+            yield whole, True, m
+            for part in whole.split("-"):
+                yield part, not part[0].isdigit(), m
+        elif kind == "path":
+            yield m[0].lower(), False, m
+            yield m["host"].lower(), False, m
+            yield m["path"].lower(), False, m
+        else:
+            yield m[0].lower(), False, m
+
+
 def lexemes(text: str | None) -> list[tuple[str, int]]:
-    """Stems with their places (from 1); stop words take a place but give none."""
+    """Lexemes with their places (from 1): stems of words, numbers and addresses as they are; stop words take a place but give none."""
     out = []
-    for at, m in enumerate(WORD.finditer(text or ""), 1):
-        word = m[0].lower()
-        if word not in STOP_WORDS:
+    for at, (word, spoken, _) in enumerate(tokens(text or ""), 1):
+        if not spoken:
+            out.append((word, at))
+        elif word not in ENGLISH_STOP_WORDS:
             out.append((stem(word), at))
     return out
 
@@ -104,6 +157,14 @@ def searchable(path: Column | str, section: Column | str, text: Column | str) ->
     return F.concat_ws(" ", *[F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")) for c in (path, section, text)])
 
 
+class Phrase(list):
+    """Lexemes that follow each other; ``steps`` are their places from the first one on, so that a stop word between them leaves a gap."""
+
+    def __init__(self, found: list[tuple[str, int]] = ()):
+        super().__init__(w for w, _ in found)
+        self.steps = [at - found[0][1] for _, at in found]
+
+
 @dataclass
 class Query:
     """A query's phrase, its required and excluded terms (web syntax), and the terms that any of may match.
@@ -113,28 +174,29 @@ class Query:
     """
 
     text: str
-    phrase: list[str] = field(default_factory=list)
-    required: list[list[str]] = field(default_factory=list)
-    excluded: list[list[str]] = field(default_factory=list)
+    phrase: Phrase = field(default_factory=Phrase)
+    required: list[Phrase] = field(default_factory=list)
+    excluded: list[Phrase] = field(default_factory=list)
     any_of: list[str] = field(default_factory=list)
     terms: list[str] = field(default_factory=list)
-    clauses: list[tuple[list[list[str]], list[list[str]]]] = field(default_factory=list)
+    clauses: list[tuple[list[Phrase], list[Phrase]]] = field(default_factory=list)
 
 
 def parse(text: str) -> Query:
     """Quoted parts are phrases, ``-`` excludes, ``or`` parts alternatives; all else is required.
 
-    Recall terms are plain words of three characters on; words that are excluded aren't among the alternatives' terms.
+    Recall terms are plain words of three characters on. A term that is a stop word of English counts as a term, but matches
+    nothing. Compounds and addresses match as wholes that stand beside their parts.
     """
     plain = [w.lower() for w in re.findall(r"[A-Za-z0-9]+", text)]
     terms = list(dict.fromkeys(w for w in plain if len(w) >= 3 and w not in STOP_WORDS))
-    q = Query(text, phrase=[w for w, _ in lexemes(text)], any_of=[stem(t) for t in terms], terms=terms)
+    q = Query(text, phrase=Phrase(lexemes(text)), any_of=[w for t in terms for w, _ in lexemes(t)], terms=terms)
     q.clauses = [(q.required, q.excluded)]
     for minus, quoted, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', text):
         if not minus and word.lower() == "or":
             q.clauses.append(([], []))
             continue
-        if part := [w for w, _ in lexemes(quoted or word)]:
+        if part := Phrase(lexemes(quoted or word)):
             q.clauses[-1][1 if minus else 0].append(part)
     return q
 
@@ -144,10 +206,12 @@ def any_query(terms: list[str]) -> str:
     return " | ".join(terms) if terms else "x:*"
 
 
-def _places(doc: dict[str, list[int]], phrase: list[str]) -> list[tuple[int, int]]:
+def _places(doc: dict[str, list[int]], phrase: Phrase) -> list[tuple[int, int]]:
     """Where a phrase stands: first and last place."""
-    starts = doc.get(phrase[0], [])
-    return [(p, p + len(phrase) - 1) for p in starts if all(p + k in doc.get(w, ()) for k, w in enumerate(phrase))]
+    left = set(doc.get(phrase[0], ()))
+    for w, step in zip(phrase[1:], phrase.steps[1:], strict=True):
+        left &= {p - step for p in doc.get(w, ())}
+    return [(p, p + phrase.steps[-1]) for p in sorted(left)]
 
 
 def cover_density(parts: list[list[tuple[int, int]]], gap: int = 1) -> float:
@@ -173,7 +237,8 @@ def rank(query: Query, doc: list[tuple[str, int]]) -> tuple[float, float, float,
     at: dict[str, list[int]] = {}
     for w, p in doc:
         at.setdefault(w, []).append(p)
-    phrase = 0.1 * len(_places(at, query.phrase)) if query.phrase else 0.0
+    # A place that a stop word takes inside the phrase is one that belongs to none.
+    phrase = 0.1 * len(_places(at, query.phrase)) / (query.phrase.steps[-1] - len(query.phrase) + 2) if query.phrase else 0.0
     strict = 0.0
     for required, excluded in query.clauses:
         if required and not any(_places(at, p) for p in excluded):
@@ -209,8 +274,7 @@ def text_rank_column(query: Query, text: Column | str) -> Column:
     def ranked(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
-            found = [(stem(w), at) for at, w in enumerate(WORD.findall((t or "").lower()), 1) if w not in STOP_WORDS]
-            rows.append(rank(query, [x for x in found if x[0] in some]))
+            rows.append(rank(query, [x for x in lexemes(t) if x[0] in some]))
         return pd.DataFrame(rows, columns=["phrase", "strict", "recall", "overlap"])
 
     return ranked(text)
