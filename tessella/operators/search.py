@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import expr as E
 from ..functions import lexical
+from . import postings as stored
 
 #: Candidates of each branch for fusion.
 DEPTH = 200
@@ -166,11 +167,12 @@ def fused(rows: DataFrame, intents: Sequence[str] = (), *, k: int = C.RRF_K, by:
     return out.withColumn("position", F.row_number().over(part.orderBy(*final))).drop("_priority", "_guarded", "_evidence", "_active")
 
 
-def search(passages: DataFrame, vectors: DataFrame, query: str, vector: Sequence[float], *, filters: Filters | None = None, mode: str = "rrf", limit: int = 20, index: DataFrame | None = None) -> DataFrame:
+def search(passages: DataFrame, vectors: DataFrame, query: str, vector: Sequence[float], *, filters: Filters | None = None, mode: str = "rrf", limit: int = 20, index: stored.Index | DataFrame | None = None, near=None) -> DataFrame:
     """The first ``limit`` passages for a query; modes rrf, lexical and off.
 
-    With an ``index`` (see ``postings``) phrase, strict and recall ranks are those of full-text search, by stems; without
-    one they are counts of plain words.
+    With a stored ``index`` only its blocks that can hold the best passages are ranked; of the kind english phrase, strict
+    and recall ranks are those of full-text search, by stems. A table of ``postings`` gives the same ranks, all of them.
+    Without one they are counts of plain words. ``near`` is a stored index of vectors (``cells.Cells``) to take the place of all vectors.
     """
     if mode not in ("rrf", "lexical", "off"):
         raise ValueError("mode is rrf, lexical or off")
@@ -179,12 +181,17 @@ def search(passages: DataFrame, vectors: DataFrame, query: str, vector: Sequence
     f, k = filters or Filters(), depth(mode, limit)
     within = f.apply(passages)
     terms = list(dict.fromkeys(w for w in _plain(query) if len(w) >= 3 and w not in C.STOP_WORDS))
-    ranks = term_ranks(within, terms) if index is None else within.join(indexed_ranks(index, query), "passage_id")
-    found = lexical_top(ranks, len(terms), k)
+    if isinstance(index, stored.Index):
+        narrowed = f.gene is not None or f.nbk_id is not None
+        found = index.top(query, within, k, chapters=within.select("nbk_id").distinct() if narrowed else None).rows
+    else:
+        ranks = term_ranks(within, terms) if index is None else within.join(indexed_ranks(index, query, within), ["nbk_id", "passage_id"])
+        found = lexical_top(ranks, len(terms), k)
     if f.gene:
         within = within.withColumn("primary_match", F.array_contains("primary_gene_symbols", f.gene))
     if mode == "rrf":
-        rows = fused(candidates(found, dense_top(within, vectors, vector, k), within), intents(query))
+        dense = near.top(vector, k, within=within if f.names() else None).rows if near else dense_top(within, vectors, vector, k)
+        rows = fused(candidates(found, dense, within), intents(query))
     else:
         by = ["lexical_rank"] if mode == "off" else ["lexical_rank", "_priority"]
         rows = found.withColumn("_priority", E.section_priority("chapter_section"))
@@ -255,13 +262,18 @@ def postings(passages: DataFrame, text: Column | str | None = None) -> DataFrame
     return each.groupBy("x.lexeme", "passage_id", "nbk_id").agg(F.array_sort(F.collect_list("x.place")).alias("places")).select("lexeme", "passage_id", "nbk_id", "places")
 
 
-def indexed_ranks(index: DataFrame, query: str) -> DataFrame:
-    """(passage_id, phrase_rank, strict_rank, recall_rank, recall_overlap_count) of passages that hold a term of the query, from the inverted table."""
+def indexed_ranks(index: DataFrame, query: str, within: DataFrame | None = None) -> DataFrame:
+    """(nbk_id, passage_id, phrase_rank, strict_rank, recall_rank, recall_overlap_count) of passages that hold a term of the query, from the inverted table.
+
+    Passages that aren't ``within`` are left before any is ranked.
+    """
     q = lexical.parse(query)
     found = index.filter(F.col("lexeme").isin(*sorted(lexical.wanted(q)))) if lexical.wanted(q) else index.limit(0)
+    if within is not None:
+        found = found.join(within.select("nbk_id", "passage_id"), ["nbk_id", "passage_id"], "left_semi")
     doc = F.flatten(F.collect_list(F.transform("places", lambda p: F.struct(F.col("lexeme").alias("lexeme"), p.alias("place")))))
-    ranked = found.groupBy("passage_id").agg(doc.alias("x")).select("passage_id", lexical.rank_column(q, "x").alias("r"))
-    return ranked.select("passage_id", F.col("r.phrase").alias("phrase_rank"), F.col("r.strict").alias("strict_rank"), F.col("r.recall").alias("recall_rank"), F.col("r.overlap").alias("recall_overlap_count"))
+    ranked = found.groupBy("nbk_id", "passage_id").agg(doc.alias("x")).select("nbk_id", "passage_id", lexical.rank_column(q, "x").alias("r"))
+    return ranked.select("nbk_id", "passage_id", F.col("r.phrase").alias("phrase_rank"), F.col("r.strict").alias("strict_rank"), F.col("r.recall").alias("recall_rank"), F.col("r.overlap").alias("recall_overlap_count"))
 
 
 def scored_candidates(passages: DataFrame, vectors: DataFrame, ids: DataFrame, vector: Sequence[float], ranks: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import expr as E
 from ..functions import lexical, python
 from ..operators import chunks as chunking
-from ..operators import evaluate, lookups, quality, search
+from ..operators import evaluate, lookups, postings, quality, search
+from ..session import shared_folder
 from ..sources import pages as html
 from .model import CHUNKS_SQL, PASSAGES_SQL, chunks, passages, table, vectors
 
@@ -68,7 +69,7 @@ d AS (SELECT passage_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SE
 """
 
 
-@query(f"""WITH {_LEXICAL}, {_DENSE},
+_HYBRID = f"""WITH {_LEXICAL}, {_DENSE},
 l AS (SELECT passage_id, lexical_rank FROM s ORDER BY lexical_rank DESC, nbk_id, passage_id LIMIT 200),
 e AS (SELECT * FROM d WHERE dense_score IS NOT NULL ORDER BY dense_score DESC, passage_id LIMIT 200),
 c AS (SELECT p.*, coalesce(l.lexical_rank, 0.0) AS lexical_rank, e.dense_score,
@@ -79,12 +80,27 @@ b AS (SELECT *, CASE WHEN dense_score IS NOT NULL AND NOT guarded THEN row_numbe
 f AS (SELECT *, CASE WHEN NOT guarded THEN 1.0 / (60 + lexical_position) + coalesce(1.0 / (60 + dense_position), 0.0) END AS rrf_score FROM b),
 g AS (SELECT *, rrf_score * CASE passage_role WHEN 'cross_reference' THEN 0.4 WHEN 'definition' THEN 0.95 WHEN 'table_caption' THEN 0.85 ELSE 1.0 END * (1.0 + CASE WHEN chapter_section = 'management' THEN 0.3 ELSE 0.0 END) AS adjusted_score FROM f)
 SELECT position, passage_id, nbk_id, chapter_section, round(lexical_rank, 6) AS lexical_rank, round(dense_score, 6) AS dense_score, lexical_position, dense_position, round(rrf_score, 6) AS rrf_score, round(adjusted_score, 6) AS adjusted_score
-FROM (SELECT *, row_number() OVER (ORDER BY guarded, adjusted_score DESC NULLS LAST, rrf_score DESC NULLS LAST, CASE WHEN NOT guarded THEN dense_score END DESC NULLS LAST, CASE WHEN guarded THEN lexical_position END, pri, nbk_id, passage_id) AS position FROM g) WHERE position <= 20""")
-def hybrid_search_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = search.search(passages(spark, sf_dir), vectors(spark, sf_dir), QUESTION, _vector(spark, sf_dir), limit=20)
+FROM (SELECT *, row_number() OVER (ORDER BY guarded, adjusted_score DESC NULLS LAST, rrf_score DESC NULLS LAST, CASE WHEN NOT guarded THEN dense_score END DESC NULLS LAST, CASE WHEN guarded THEN lexical_position END, pri, nbk_id, passage_id) AS position FROM g) WHERE position <= 20"""
+
+
+def _shown(out: DataFrame) -> DataFrame:
     return out.select("position", "passage_id", "nbk_id", "chapter_section", *[F.round(c, 6).alias(c) for c in ("lexical_rank", "dense_score")], "lexical_position", "dense_position", *[F.round(c, 6).alias(c) for c in ("rrf_score", "adjusted_score")])
 
 
+@query(_HYBRID)
+def hybrid_search_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(search.search(passages(spark, sf_dir), vectors(spark, sf_dir), QUESTION, _vector(spark, sf_dir), limit=20))
+
+
+@query(_HYBRID)
+def indexed_hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from stored postings of plain words, which are written first."""
+    p = passages(spark, sf_dir)
+    index = postings.created(spark, shared_folder(spark), kind="plain")
+    index.add(p, unique=True)
+    return _shown(search.search(p, vectors(spark, sf_dir), QUESTION, _vector(spark, sf_dir), limit=20, index=index))
+
+
 @query(f"WITH {_LEXICAL} SELECT passage_id, nbk_id, round(CAST(lexical_rank AS DOUBLE), 6) AS lexical_rank, recall_overlap_count FROM s WHERE chapter_section IN ('summary', 'management') ORDER BY lexical_rank DESC, nbk_id, passage_id LIMIT 50")
 def lexical_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     within = search.Filters(sections=("summary", "management")).apply(passages(spark, sf_dir))
@@ -630,4 +646,4 @@ def inverted_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def indexed_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full-text ranks read from the inverted table; tests hold them against ranks of each text."""
-    return search.indexed_ranks(search.postings(passages(spark, sf_dir)), '"that thing" with or this -idiot')
+    return search.indexed_ranks(search.postings(passages(spark, sf_dir)), '"that thing" with or this -idiot').drop("nbk_id")
