@@ -17,11 +17,11 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +34,8 @@ from .files import read_text, write_text
 from .segments import KEY, Segments
 
 BLOCK, BUCKETS = 128, 64
+#: Texts that a task cuts at a time.
+TEXTS = 256
 #: Blocks that are ranked first for each block's worth of results, and how many times more if the filters leave too few passages.
 FIRST, MORE = 3, 8
 #: Blocks of a chapter and size.
@@ -45,25 +47,35 @@ KNOWN, NAMED = 10_000, 1000
 #: What sums of bounds and scores may differ by in double precision.
 SLACK = 1e-6
 
-_DOC = T.ArrayType(T.StructType([T.StructField("lexeme", T.StringType()), T.StructField("places", T.ArrayType(T.IntegerType()))]))
 _PLAIN = re.compile("[a-z0-9]+")
 
 
-def _gathered(found) -> list[dict]:
-    at: dict[str, list[int]] = {}
-    for word, place in found:
-        at.setdefault(word, []).append(place)
-    return [{"lexeme": w, "places": p} for w, p in at.items()]
+def gathered(cut):
+    """From rows (keys, text) to (keys, lexeme, places), a row for each lexeme of a text; ``cut`` gives lexemes with their places."""
 
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(start, TEXTS)
+                row, words, starts, flat = [], [], [0], []
+                for k, text in enumerate(part.column(part.num_columns - 1).to_pylist()):
+                    at: dict[str, list[int]] = {}
+                    for word, place in cut(text):
+                        at.setdefault(word, []).append(place)
+                    row += [k] * len(at)
+                    words += at
+                    for places in at.values():
+                        flat += places
+                        starts.append(len(flat))
+                keys = part.select(part.schema.names[:-1]).take(pa.array(row, pa.int64()))
+                places = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(words, pa.string()), places], names=[*keys.schema.names, "lexeme", "places"])
 
-@F.pandas_udf(_DOC)
-def _english(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: _gathered(lexical.lexemes(t)))
+    return run
 
 
-@F.pandas_udf(_DOC)
-def _words(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: _gathered((w, k) for k, w in enumerate(_PLAIN.findall(t or ""), 1)))
+def _plain(text: str | None) -> list[tuple[str, int]]:
+    return [(w, k) for k, w in enumerate(_PLAIN.findall(text or ""), 1)]
 
 
 class English:
@@ -73,9 +85,11 @@ class English:
         self.q = lexical.parse(query)
         self.terms, self.words = len(self.q.terms), sorted(lexical.wanted(self.q))
 
+    cut = staticmethod(lexical.lexemes)
+
     @staticmethod
-    def gathered(passages: DataFrame) -> Column:
-        return _english(lexical.searchable(*[c if c in passages.columns else F.lit("") for c in ("heading_path", "chapter_section", "text")]))
+    def text(passages: DataFrame) -> Column:
+        return lexical.searchable(*[c if c in passages.columns else F.lit("") for c in ("heading_path", "chapter_section", "text")])
 
     def overlap(self, most: dict[str, Column]) -> Column:
         return sum(((most[w] > 0).cast("int") for w in self.q.any_of), F.lit(0))
@@ -111,9 +125,11 @@ class Plain:
         self.named = list(dict.fromkeys(w for w in _PLAIN.findall(query.lower()) if len(w) >= 3 and w not in C.STOP_WORDS))
         self.terms, self.words = len(self.named), sorted(self.named)
 
+    cut = staticmethod(_plain)
+
     @staticmethod
-    def gathered(passages: DataFrame) -> Column:
-        return _words(F.lower("text"))
+    def text(passages: DataFrame) -> Column:
+        return F.lower("text")
 
     def overlap(self, most: dict[str, Column]) -> Column:
         return sum(((most[w] > 0).cast("int") for w in self.named), F.lit(0))
@@ -175,7 +191,10 @@ class Index:
         # Characters decide the size, so that it is known before lexemes are.
         size = F.length(F.bin(F.coalesce(F.length("text"), F.lit(0)).cast("long"))).cast("int").alias("size")
         keys = self.segments.write_keys(rows.select(*KEY, size), number, "size")
-        self._file(rows.select(*KEY, size, F.explode(KINDS[self.kind].gathered(rows)).alias("x")).select(*KEY, "size", "x.*"), keys, number)
+        own = KINDS[self.kind]
+        texts = rows.select(*KEY, size, own.text(rows).alias("text"))
+        kinds = ", ".join(f"{c} {t}" for c, t in texts.dtypes[:-1])
+        self._file(texts.mapInArrow(gathered(own.cut), f"{kinds}, lexeme string, places array<int>"), keys, number)
         self.segments.mark(number, [batch] if batch is not None else [], blocks=self._blocks(keys))
         return True
 

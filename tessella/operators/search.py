@@ -136,8 +136,9 @@ def dense_top(passages: DataFrame, vectors: DataFrame, query: Sequence[float], k
 
 def candidates(lexical: DataFrame, dense: DataFrame, passages: DataFrame) -> DataFrame:
     """Both branches by id; rows that only the dense one found are joined to their passages, with a lexical rank of 0."""
-    both = lexical.select("passage_id", "lexical_rank").join(dense, "passage_id", "full_outer")
-    return passages.join(F.broadcast(both), "passage_id").withColumn("lexical_rank", F.coalesce("lexical_rank", F.lit(0.0)))
+    on = [c for c in ("nbk_id", "passage_id") if c in dense.columns]
+    both = lexical.select(*on, "lexical_rank").join(dense, on, "full_outer")
+    return passages.join(F.broadcast(both), on).withColumn("lexical_rank", F.coalesce("lexical_rank", F.lit(0.0)))
 
 
 def fused(rows: DataFrame, intents: Sequence[str] = (), *, k: int = C.RRF_K, by: Sequence[str] = ()) -> DataFrame:

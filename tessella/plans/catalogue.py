@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as E
 from ..functions import lexical, python
 from ..operators import chunks as chunking
-from ..operators import evaluate, lookups, postings, quality, search
+from ..operators import cells, evaluate, lookups, postings, quality, search
 from ..session import shared_folder
 from ..sources import pages as html
 from .model import CHUNKS_SQL, PASSAGES_SQL, chunks, passages, table, vectors
@@ -114,12 +114,24 @@ def recall_term_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("passage_id", "recall_overlap_count", F.round("recall_rank", 6).alias("recall_rank"))
 
 
-@query(f"WITH p AS ({PASSAGES_SQL}), {_DENSE} SELECT passage_id, round(dense_score, 6) AS dense_score FROM d ORDER BY d.dense_score DESC, passage_id LIMIT 200")
+_DENSE_TOP = f"WITH p AS ({PASSAGES_SQL}), {_DENSE} SELECT passage_id, round(dense_score, 6) AS dense_score FROM d ORDER BY d.dense_score DESC, passage_id LIMIT 200"
+
+
+@query(_DENSE_TOP)
 def dense_topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = search.dense_top(passages(spark, sf_dir), vectors(spark, sf_dir), _vector(spark, sf_dir), search.DEPTH)
     return out.select("passage_id", F.round("dense_score", 6).alias("dense_score"))
 
 
+@query(_DENSE_TOP)
+def indexed_dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from stored cells, which are trained and filed first; the test vectors have no clusters, so that all cells are read."""
+    v = passages(spark, sf_dir).select("nbk_id", "passage_id").join(vectors(spark, sf_dir), "passage_id").select("nbk_id", "passage_id", "embedding")
+    index = cells.trained(v, shared_folder(spark))
+    index.add(v)
+    return index.top(_vector(spark, sf_dir), search.DEPTH, exact=True).rows.select("passage_id", F.round("dense_score", 6).alias("dense_score"))
+
+
 @query(f"WITH {_LEXICAL}, {_DENSE}, x AS (SELECT s.passage_id AS a, e.passage_id AS b FROM s FULL OUTER JOIN (SELECT * FROM d WHERE dense_score >= 0) e ON s.passage_id = e.passage_id) SELECT coalesce(a, b) AS passage_id, a IS NOT NULL AS lexical, b IS NOT NULL AS dense FROM x")
 def candidate_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = passages(spark, sf_dir)
