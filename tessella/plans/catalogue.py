@@ -8,8 +8,9 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import constants as C
 from ..functions import expr as E
-from ..functions import lexical, python
+from ..functions import lexical, python, wordpiece
 from ..operators import chunks as chunking
 from ..operators import cells, evaluate, lookups, postings, quality, search
 from ..session import shared_folder
@@ -480,6 +481,19 @@ def sliding_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunked(d, "ws").select("doc_id", "chunk", "first", F.sha2(F.array_join("window", " "), 256).alias("window_sha256"))
 
 
+#: Pieces of single letters and digits, and the commonest words of the lexicon's own lists.
+LETTERS = ["[UNK]", *[f"{mark}{chr(c)}" for mark in ("", "##") for c in (*range(97, 123), *range(48, 58))], *C.ENGLISH_STOP_WORDS[:40]]
+LETTERS = list(dict.fromkeys(LETTERS))
+
+
+@query()
+def wordpiece_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of tokens of all texts, cut from the source; tests hold them against the tokens of each text."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = wordpiece.windows(d, LETTERS, size=chunking.SIZE, overlap=chunking.OVERLAP)
+    return out.select("doc_id", "chunk", "first", "n_tokens", "begin", "end", F.sha2("window", 256).alias("window_sha256"))
+
+
 @query("SELECT r_regionkey, CASE WHEN r_regionkey % 2 = 0 THEN '| k | n |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) END AS body, r_regionkey % 2 = 0 AS even FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey")
 def markdown_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.array(x["n_nationkey"].cast("string"), x["n_name"])).alias("rows"))
