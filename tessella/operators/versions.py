@@ -39,6 +39,12 @@ def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], day: d
     version = next_version(versions(spark, root), day)
     for name, df in tables.items():
         df.write.parquet(f"{root}/{version}/{name}")
+    point_at(spark, root, version, sorted(tables))
+    return version
+
+
+def point_at(spark: SparkSession, root: str, version: str, tables: list[str]) -> None:
+    """Write the manifest of a version whose tables are there, and let the pointer name it."""
     _write(spark, f"{root}/{version}/manifest.json", json.dumps({"version": version, "tables": sorted(tables)}))
     _write(spark, f"{root}/{POINTER}.new", version)
     jvm, new, _ = _fs(spark, f"{root}/{POINTER}.new")
@@ -47,7 +53,6 @@ def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], day: d
     options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
     options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
     fc.rename(new, jvm.org.apache.hadoop.fs.Path(f"{root}/{POINTER}"), options)
-    return version
 
 
 def _write(spark: SparkSession, path: str, text: str) -> None:

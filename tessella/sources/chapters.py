@@ -6,9 +6,7 @@ chunking and roles follow from the place in that run.
 
 from __future__ import annotations
 
-import io
 import re
-import tarfile
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -19,12 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
+from .archives import archived
 
 PROSE, GROUPS, TABLE = ("p",), ("list", "def-list", "boxed-text"), "table-wrap"
 STRUCTURE = ("title", "label")
 SKIPPED = ("fig", "graphic", "media", "disp-formula", "fn-group", "ref-list", "ack", "sec-meta", "related-object", "xref")
-#: Ceilings of an archive: members, bytes of one, bytes in all.
-MEMBERS, MEMBER_BYTES, TOTAL_BYTES = 20_000, 64 << 20, 8 << 30
 
 PASSAGE = "nbk_id string, passage_id string, chapter_section string, heading_path string, section_level int, chunk_index int, text string, text_hash string, char_count int, token_estimate int, passage_type string, passage_role string, table_id string, table_data struct<caption:string,header:array<string>,rows:array<array<string>>,footnotes:string>"
 CHAPTER = "nbk_id string, short_name string, title string, pubmed_id string, authors string, initial_pub_date date, last_updated_date date"
@@ -306,32 +303,6 @@ def enriched(chapters: DataFrame, genes: DataFrame, omim: DataFrame) -> DataFram
     return out.withColumn("primary_gene_symbols", primary_symbols(F.col("title"), F.col("gene_symbols")))
 
 
-def members(path: str, suffix: str = ".nxml") -> Iterator[tuple[str, bytes]]:
-    """Regular members of an archive with a suffix; raises beyond the ceilings."""
-    total = 0
-    with tarfile.open(path, "r:gz") as tar:
-        for n, m in enumerate(tar):
-            if n >= MEMBERS:
-                raise ValueError("the archive has too many members")
-            if not m.isfile() or not m.name.endswith(suffix):
-                continue
-            total += m.size
-            if m.size > MEMBER_BYTES or total > TOTAL_BYTES:
-                raise ValueError("the archive is too large when unpacked")
-            data = tar.extractfile(m).read(MEMBER_BYTES + 1)
-            if len(data) != m.size:
-                raise ValueError(f"{m.name} isn't of its declared size")
-            yield m.name, data
-
-
-def unpacked(spark: SparkSession, archive: str, folder: str, suffix: str = ".nxml") -> DataFrame:
-    """(short_name, content) of an archive's members: unpacked once by the driver, since gzip can't be split, then read in parallel."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for full, data in members(archive, suffix):
-        p = jvm.org.apache.hadoop.fs.Path(f"{folder}/{full.rpartition('/')[2]}")
-        out = p.getFileSystem(conf).create(p, True)
-        out.write(bytearray(io.BytesIO(data).getvalue()))
-        out.close()
-    files = spark.read.format("binaryFile").load(folder)
-    return files.select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("short_name"), "content")
+def unpacked(spark: SparkSession, archive: str, suffix: str = ".nxml") -> DataFrame:
+    """(short_name, content) of the members of an archive, or of a folder of archives, each streamed by a task of its own."""
+    return archived(spark, archive, suffix).select("short_name", "content")

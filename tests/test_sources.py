@@ -51,7 +51,7 @@ def test_ingest(spark, tmp_path):
             tar.addfile(info, io.BytesIO(data))
     (tmp_path / "side").mkdir()
     (tmp_path / "side/genes.txt").write_bytes("#nbk\tshort\tgene\n\nNBK5\tbrca9\tBRCA9\nNBK5\tbrca9\tÉ2\nNBK5\tbrca9\tBRCA9\n".encode("latin-1"))
-    files = chapters.unpacked(spark, str(archive), str(tmp_path / "members"))
+    files = chapters.unpacked(spark, str(archive))
     ids = spark.createDataFrame([("brca9", "NBK5"), ("bad", "NBK6")], "short_name string, nbk_id string")
     documents = chapters.parsed(files.join(ids, "short_name")).cache()
     assert documents.filter("error is not null").count() == 1
