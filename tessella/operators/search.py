@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import expr as E
 from ..functions import lexical
+from ..session import shared_folder
 from . import postings as stored
 
 #: Candidates of each branch for fusion.
@@ -36,16 +37,16 @@ class Filters:
     sections: Sequence[str] = ()
     heading: str | None = None
 
+    def conditions(self) -> list[Column]:
+        out = [gene_filter(self.gene, self.gene_role)] if self.gene else []
+        out += [F.col("nbk_id") == self.nbk_id] if self.nbk_id is not None else []
+        out += [F.col("chapter_section").isin(*self.sections)] if self.sections else []
+        return out + ([contains_pattern("heading_path", self.heading)] if self.heading is not None else [])
+
     def apply(self, passages: DataFrame) -> DataFrame:
         out = passages
-        if self.gene:
-            out = out.filter(gene_filter(self.gene, self.gene_role))
-        if self.nbk_id is not None:
-            out = out.filter(F.col("nbk_id") == self.nbk_id)
-        if self.sections:
-            out = out.filter(F.col("chapter_section").isin(*self.sections))
-        if self.heading is not None:
-            out = out.filter(contains_pattern("heading_path", self.heading))
+        for c in self.conditions():
+            out = out.filter(c)
         return out
 
     def names(self) -> list[str]:
@@ -141,7 +142,7 @@ def candidates(lexical: DataFrame, dense: DataFrame, passages: DataFrame) -> Dat
     return passages.join(F.broadcast(both), on).withColumn("lexical_rank", F.coalesce("lexical_rank", F.lit(0.0)))
 
 
-def fused(rows: DataFrame, intents: Sequence[str] = (), *, k: int = C.RRF_K, by: Sequence[str] = ()) -> DataFrame:
+def fused(rows: DataFrame, intents: Sequence[str] | Column = (), *, k: int = C.RRF_K, by: Sequence[str] = ()) -> DataFrame:
     """Rows in their final order (``position``), with ranks and scores.
 
     Guarded sections take no part in dense ranks and fusion, and come last in lexical order. Without any
@@ -161,7 +162,7 @@ def fused(rows: DataFrame, intents: Sequence[str] = (), *, k: int = C.RRF_K, by:
     rrf = F.lit(1.0) / (k + F.col("lexical_position")) + F.coalesce(F.lit(1.0) / (k + F.col("dense_position")), F.lit(0.0))
     out = out.withColumn("rrf_score", F.when(F.col("_active") & ~F.col("_guarded"), rrf))
     primary = F.col("primary_match") if "primary_match" in rows.columns else F.lit(False)
-    wanted = F.array(*[F.lit(i) for i in intents]) if intents else F.array().cast("array<string>")
+    wanted = intents if isinstance(intents, Column) else F.array(*[F.lit(i) for i in intents]) if intents else F.array().cast("array<string>")
     role = F.col("passage_role") if "passage_role" in rows.columns else F.lit("evidence")
     out = out.withColumn("adjusted_score", E.adjusted_score(F.col("rrf_score"), role, F.col("chapter_section"), wanted, primary))
     final = [F.col("_active") & F.col("_guarded"), F.desc_nulls_last("adjusted_score"), F.desc_nulls_last("rrf_score"), F.when(F.col("_active") & ~F.col("_guarded"), F.col("dense_score")).desc_nulls_last(), F.when(F.col("_active") & F.col("_guarded"), F.col("lexical_position")), F.when(F.col("_active"), F.col("_priority")).otherwise(F.col("lexical_position")), F.col("nbk_id"), F.col("passage_id")]
@@ -299,14 +300,92 @@ def freshness(hits: DataFrame, now: Column, *, at: str = "ingested_at", first: i
 
 
 def batch_search(passages: DataFrame, vectors: DataFrame, specs: Sequence[dict], *, most: int = 5) -> DataFrame:
-    """A batch of 1 to ``most`` searches (query, vector, and filters, mode and limit if any), with what other queries found too."""
+    """A batch of 1 to ``most`` searches (query, vector, and filters, mode and limit if any), with what other queries found too.
+
+    Texts are read once for all searches: a passage gives the counts of all their words and which filters it meets, a
+    small row that is written to the shared folder. The best of each search come from these, its vectors by one join;
+    only the few candidates meet their texts again. Results are those of ``search`` for each.
+    """
     if not 1 <= len(specs) <= most:
         raise ValueError(f"a batch has 1 to {most} searches")
-    parts = [search(passages, vectors, s["query"], s["vector"], filters=s.get("filters"), mode=s.get("mode", "rrf"), limit=s.get("limit", 20)).withColumn("query_index", F.lit(k)) for k, s in enumerate(specs)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return also_matched(out)
+    asked = [_Asked(k, s) for k, s in enumerate(specs)]
+    small = _small_rows(passages, asked)
+    each = small.select("*", F.explode("specs").alias("s")).filter("s.inside").select(*small.columns, "s.*").drop("specs")
+    of = {name: F.element_at(F.array(*[F.lit(getattr(a, name)) for a in asked]), F.col("query_index") + 1) for name in ("terms", "depth", "limit", "mode")}
+    score = E.lexical_score(F.col("phrase_rank"), F.col("strict_rank"), F.col("recall_rank"), of["terms"], F.col("recall_overlap_count"), F.col("char_count"))
+    order = Window.partitionBy("query_index").orderBy(F.desc("lexical_rank"), "nbk_id", "passage_id")
+    found = each.filter(E.enough_overlap(F.col("recall_overlap_count"), of["terms"])).withColumn("lexical_rank", score)
+    deepest = max(a.depth for a in asked)
+    lexical_hits = found.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= deepest).filter(F.col("_r") <= of["depth"]).select("query_index", "nbk_id", "passage_id", "lexical_rank")
+    if fusing := [a for a in asked if a.mode == "rrf"]:
+        both = lexical_hits.join(_dense_hits(each, vectors, fusing, deepest, of["depth"]), ["query_index", "nbk_id", "passage_id"], "full_outer")
+    else:
+        both = lexical_hits.withColumn("dense_score", F.lit(None).cast("double"))
+    rows = passages.join(F.broadcast(both), ["nbk_id", "passage_id"]).withColumn("lexical_rank", F.coalesce("lexical_rank", F.lit(0.0)))
+    if any(a.filters.gene for a in asked):
+        gene = F.element_at(F.array(*[F.lit(a.filters.gene) for a in asked]), F.col("query_index") + 1)
+        rows = rows.withColumn("primary_match", F.coalesce(F.array_contains("primary_gene_symbols", gene), F.lit(False)))
+    intent = F.element_at(F.array(*[F.array(*[F.lit(i) for i in a.intents]).cast("array<string>") for a in asked]), F.col("query_index") + 1)
+    rrf = fused(rows.filter(of["mode"] == "rrf"), intent, by=["query_index"])
+    plain = rows.filter(of["mode"] != "rrf").withColumn("_p", F.when(of["mode"] == "lexical", E.section_priority("chapter_section")).otherwise(0))
+    place = Window.partitionBy("query_index").orderBy(F.desc("lexical_rank"), "_p", "nbk_id", "passage_id")
+    out = rrf.unionByName(plain.withColumn("position", F.row_number().over(place)).drop("_p"), allowMissingColumns=True)
+    return also_matched(out.filter(F.col("position") <= of["limit"]))
+
+
+class _Asked:
+    """One search of a batch."""
+
+    def __init__(self, index: int, spec: dict):
+        self.index, self.query, self.vector = index, spec["query"], [float(x) for x in spec["vector"]]
+        self.filters, self.mode, self.limit = spec.get("filters") or Filters(), spec.get("mode", "rrf"), spec.get("limit", 20)
+        if self.mode not in ("rrf", "lexical", "off"):
+            raise ValueError("mode is rrf, lexical or off")
+        if not 1 <= self.limit <= 100 or not 1 <= len(self.query) <= 512:
+            raise ValueError("a query has 1 to 512 characters, a result 1 to 100 rows")
+        self.named = list(dict.fromkeys(w for w in _plain(self.query) if len(w) >= 3 and w not in C.STOP_WORDS))
+        self.terms, self.depth, self.intents = len(self.named), depth(self.mode, self.limit), intents(self.query)
+
+
+def _small_rows(passages: DataFrame, asked: list[_Asked]) -> DataFrame:
+    """(nbk_id, passage_id, char_count, specs): for each search whether its filters are met, and the ranks of plain words."""
+    low = F.col("_l")
+    spaced = F.concat(F.lit(" "), F.regexp_replace(low, "[^a-z0-9]+", "  "), F.lit(" "))
+    rows = once(once(passages, F.lower(F.col("text")), "_l"), spaced, "_w")
+
+    def times(part: str) -> Column:
+        return ((F.length("_w") - F.length(F.replace("_w", F.lit(part), F.lit("")))) / F.lit(len(part))).cast("int")
+
+    words_ = list(dict.fromkeys(w for a in asked for w in a.named))
+    phrases = list(dict.fromkeys(f" {'  '.join(a.named)} " for a in asked if a.named))
+    counts = [*[times(f" {w} ").alias(f"w{k}") for k, w in enumerate(words_)], *[times(p).alias(f"p{k}") for k, p in enumerate(phrases)]]
+    rows = once(rows, F.struct(*counts) if counts else F.struct(F.lit(0).alias("w0")), "_c")
+
+    def ranks(a: _Asked) -> Column:
+        n = [F.coalesce(F.col("_c")[f"w{words_.index(w)}"], F.lit(0)) for w in a.named]
+        phrase = F.coalesce(F.col("_c")[f"p{phrases.index(' ' + '  '.join(a.named) + ' ')}"], F.lit(0)) if n else F.lit(0)
+        least = F.least(*n) if len(n) > 1 else n[0] if n else F.lit(0)
+        inside = F.lit(True)
+        for c in a.filters.conditions():
+            inside = inside & F.coalesce(c, F.lit(False))
+        parts = [inside.alias("inside"), (phrase * F.lit(0.1)).alias("phrase_rank"), (least * F.lit(0.1)).alias("strict_rank"), (sum(n, F.lit(0)) * F.lit(0.1)).alias("recall_rank"), sum(((x > 0).cast("int") for x in n), F.lit(0)).alias("recall_overlap_count")]
+        return F.struct(F.lit(a.index).alias("query_index"), *parts)
+
+    out = rows.select("nbk_id", "passage_id", "char_count", F.array(*[ranks(a) for a in asked]).alias("specs"))
+    at = shared_folder(passages.sparkSession)
+    out.write.parquet(at)
+    return passages.sparkSession.read.schema(out.schema).parquet(at)
+
+
+def _dense_hits(each: DataFrame, vectors: DataFrame, asked: list[_Asked], deepest: int, own_depth: Column) -> DataFrame:
+    """(query_index, nbk_id, passage_id, dense_score) of the nearest passages of each search that uses vectors; vectors are read once."""
+    on = [c for c in ("nbk_id", "passage_id") if c in vectors.columns]
+    inside = each.filter(F.col("query_index").isin([a.index for a in asked])).groupBy("nbk_id", "passage_id").agg(F.collect_set("query_index").alias("_q"))
+    scores = F.array(*[F.struct(F.lit(a.index).alias("query_index"), F.when(F.array_contains("_q", a.index), E.cosine("embedding", F.array(*[F.lit(x) for x in a.vector]))).alias("dense_score")) for a in asked])
+    scored = inside.join(vectors, on).select("nbk_id", "passage_id", F.explode(scores).alias("s")).select("nbk_id", "passage_id", "s.*").filter("dense_score is not null")
+    w = Window.partitionBy("query_index").orderBy(F.desc("dense_score"), "passage_id")
+    best = scored.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= deepest).filter(F.col("_r") <= own_depth)
+    return best.drop("_r")
 
 
 def batch_ranks(passages: DataFrame, queries: DataFrame, *, query: str = "query", index: str = "query_index", limit: int = 10) -> DataFrame:

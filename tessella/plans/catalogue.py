@@ -647,6 +647,30 @@ def batch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_index", "passage_id", "position", F.get("also_matched", F.lit(0)).alias("also"))
 
 
+#: Five searches of a batch: mode, vector and sections of each.
+_SPECS = [("rrf", 0, ()), ("rrf", 1, ("management",)), ("rrf", 2, ("summary", "diagnosis")), ("off", 0, ("summary",)), ("rrf", 3, ("references", "management"))]
+
+
+def _one_of_batch(k: int, vec: int, sections: tuple[str, ...]) -> str:
+    where = f" WHERE chapter_section IN ({', '.join(repr(x) for x in sections)})" if sections else ""
+    one = _HYBRID.replace(PASSAGES_SQL, f"SELECT * FROM ({PASSAGES_SQL}){where}").replace("vec_id = 0", f"vec_id = {vec}").replace("position <= 20", "position <= 15")
+    return f"SELECT {k} AS query_index, passage_id, position, lexical_rank, dense_score FROM ({one})"
+
+
+def _off_of_batch(k: int, sections: tuple[str, ...]) -> str:
+    where = f" WHERE chapter_section IN ({', '.join(repr(x) for x in sections)})"
+    return f"SELECT {k} AS query_index, passage_id, row_number() OVER (ORDER BY l.lexical_rank DESC, nbk_id, passage_id) AS position, round(l.lexical_rank, 6) AS lexical_rank, NULL AS dense_score FROM (WITH {_LEXICAL} SELECT * FROM s{where}) l QUALIFY position <= 15"
+
+
+@query(" UNION ALL ".join(f"({_one_of_batch(k, v, x) if mode == 'rrf' else _off_of_batch(k, x)})" for k, (mode, v, x) in enumerate(_SPECS)))
+def batch_search_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five searches in a batch, four with vectors, with filters of their own."""
+    stored = {r.vec_id: [float(x) for x in r.embedding] for r in table(spark, sf_dir, "embeddings").filter(F.col("vec_id").isin([v for _, v, _ in _SPECS])).collect()}
+    specs = [{"query": QUESTION, "vector": stored[v], "mode": mode, "limit": 15, "filters": search.Filters(sections=x)} for mode, v, x in _SPECS]
+    out = search.batch_search(passages(spark, sf_dir), vectors(spark, sf_dir), specs)
+    return out.select("query_index", "passage_id", "position", F.round("lexical_rank", 6).alias("lexical_rank"), F.round("dense_score", 6).alias("dense_score"))
+
+
 @query("SELECT EXISTS (SELECT 1 FROM events WHERE value > 5) AS found")
 def any_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.exists(table(spark, sf_dir, "events").filter("value > 5"))
