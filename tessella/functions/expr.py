@@ -91,9 +91,11 @@ def message_text(text: Column | str, most: int = 280) -> Column:
 
 
 def fence(text: Column | str, source: str, record: Column, at: Column | None = None) -> Column:
-    """Untrusted text with where it is from and the digest of its raw form."""
+    """Untrusted text, normalised (NFC) and without what may not leave the fence, with where it is from and the digest of its raw form."""
+    from .python import nfc
+
     raw = col(text)
-    return F.struct(F.lit("untrusted_text").alias("kind"), fenced_text(raw).alias("text"), F.struct(F.lit(source).alias("source"), record.alias("record_id"), (at if at is not None else F.lit(None).cast("timestamp")).alias("retrieved_at")).alias("provenance"), F.sha2(raw, 256).alias("raw_sha256"))
+    return F.struct(F.lit("untrusted_text").alias("kind"), fenced_text(nfc(raw)).alias("text"), F.struct(F.lit(source).alias("source"), record.alias("record_id"), (at if at is not None else F.lit(None).cast("timestamp")).alias("retrieved_at")).alias("provenance"), F.sha2(raw, 256).alias("raw_sha256"))
 
 
 def unwanted(text: Column | str, phrases: tuple[str, ...], least: int = 15) -> Column:

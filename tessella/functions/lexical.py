@@ -321,6 +321,101 @@ def headline_column(query: Query, text: Column | str, *, fragments: int = 2, mos
     return marked(text)
 
 
+def minimal_covers(parts: list[list[tuple[int, int]]]) -> list[tuple[int, int]]:
+    """The stretches of places that hold a span of every part and no smaller stretch that does, from left to right."""
+    if not parts or not all(parts):
+        return []
+    latest: dict[int, int] = {}
+    out: list[tuple[int, int]] = []
+    # By ends: once all parts were seen, the least of their latest beginnings begins a cover.
+    for end, begin, k in sorted((e, b, k) for k, spans in enumerate(parts) for b, e in spans):
+        latest[k] = max(begin, latest.get(k, begin))
+        if len(latest) == len(parts):
+            first = min(latest.values())
+            if not out or first > out[-1][0]:
+                if out and out[-1][1] == end:
+                    out.pop()
+                out.append((first, end))
+    return out
+
+
+def cover_headline(text: str, query: Query, *, fragments: int = 2, most: int = 30, least: int = 10, short: int = 3) -> str:
+    """Fragments around covers of the query, its words marked with ``**``, joined by `` ... ``.
+
+    The query is the phrase; if it has no lexeme, the required parts; else any of the terms. Covers are cut into pieces of
+    ``most`` words that begin and end with words of the query; those with the most of them, then the shortest, then the first
+    are shown, grown on both sides to ``most`` words. Words of up to ``short`` characters that aren't the query's are trimmed
+    at ends that were grown. Without a cover the first ``least`` words are shown.
+    """
+    shown: list[re.Match] = []
+    at_place: list[int] = []
+    doc: dict[str, list[int]] = {}
+    stems: list[set[str]] = []
+    for place, (word, spoken, m) in enumerate(tokens(text), 1):
+        if not shown or shown[-1] is not m:
+            shown.append(m)
+            stems.append(set())
+        at_place.append(len(shown) - 1)
+        lexeme = stem(word) if spoken else word
+        if not spoken or word not in ENGLISH_STOP_WORDS:
+            doc.setdefault(lexeme, []).append(place)
+            stems[-1].add(lexeme)
+    if not shown:
+        return ""
+    required = [parts for parts, _ in query.clauses if parts]
+    if query.phrase:
+        choices = [[query.phrase]]
+    else:
+        choices = required or [[Phrase([(w, 1)])] for w in query.any_of]
+    asked = {w for parts in choices for part in parts for w in part}
+    hit = [bool(s & asked) for s in stems]
+    covers = sorted({(at_place[b - 1], at_place[e - 1]) for parts in choices for b, e in minimal_covers([_places(doc, p) for p in parts])})
+    pieces: set[tuple[int, int]] = set()
+    for first, last in covers:
+        while first <= last:
+            end = max(k for k in range(first, min(last, first + most - 1) + 1) if hit[k])
+            pieces.add((first, end))
+            first = next((k for k in range(end + 1, last + 1) if hit[k]), last + 1)
+    taken: list[tuple[int, int]] = []
+    for first, last in sorted(pieces, key=lambda p: (-sum(hit[p[0] : p[1] + 1]), p[1] - p[0], p[0])):
+        if len(taken) == max(1, fragments):
+            break
+        if any(first <= b and a <= last for a, b in taken):
+            continue
+        free = lambda k: 0 <= k < len(shown) and not any(a <= k <= b for a, b in taken)  # noqa: E731, B023
+        begin, end = first, last
+        room = (most - (last - first + 1)) // 2
+        while room and free(begin - 1):
+            begin, room = begin - 1, room - 1
+        while end - begin + 1 < most and free(end + 1):
+            end += 1
+        weak = lambda k: not hit[k] and len(shown[k][0]) <= short
+        while begin < first and weak(begin):
+            begin += 1
+        while end > last and weak(end):
+            end -= 1
+        taken.append((begin, end))
+    if not taken:
+        taken = [(0, min(least, len(shown)) - 1)]
+    out = []
+    for begin, end in sorted(taken):
+        piece, at = [], shown[begin].start()
+        for k in range(begin, end + 1):
+            piece.append(text[at : shown[k].start()])
+            piece.append(f"**{shown[k][0]}**" if hit[k] else shown[k][0])
+            at = shown[k].end()
+        out.append("".join(piece))
+    return " ... ".join(out)
+
+
+def cover_headline_column(query: Query, text: Column | str, *, fragments: int = 2, most: int = 30) -> Column:
+    @F.pandas_udf(T.StringType())
+    def marked(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: cover_headline(t or "", query, fragments=fragments, most=most))
+
+    return marked(text)
+
+
 def snippet_limits(chars: int) -> tuple[int, int]:
     """Fragments and words a fragment for a snippet of so many characters."""
     return max(1, chars // 200), max(15, min(60, chars // 7))

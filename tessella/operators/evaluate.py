@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.python import closeness_column
+from ..functions.python import closeness_column, closest_column
 
 
 def rank_metrics(queries: DataFrame, runs: DataFrame, *, by: str = "mode", query: str = "query_id") -> DataFrame:
@@ -63,6 +65,21 @@ def close_names(names: DataFrame, wanted: str, *, name: str = "name", limit: int
     return scored.filter(F.col("score") >= least).orderBy(F.desc("score"), name).limit(limit)
 
 
+#: Wishes of a batch of close names: they go to every task.
+WISHES = 1000
+
+
+def close_names_batch(names: DataFrame, wanted: Sequence[str], *, name: str = "name", limit: int = 3, least: float = 70.0) -> DataFrame:
+    """(wanted, name, score, rank): for each of up to ``WISHES`` wishes the names closest to it; names are compared once, where they are."""
+    if not 0 < len(wanted) <= WISHES:
+        raise ValueError(f"a batch has 1 to {WISHES} wishes")
+    wishes = list(dict.fromkeys(wanted))
+    near = names.select(F.col(name).alias("name")).distinct().select("name", F.explode(closest_column(wishes, "name", least)).alias("x"))
+    ranked = near.select(F.element_at(F.array(*[F.lit(w) for w in wishes]), F.col("x.k") + 1).alias("wanted"), "name", F.col("x.score").alias("score"))
+    w = Window.partitionBy("wanted").orderBy(F.desc("score"), "name")
+    return ranked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+
+
 def largest(rows: DataFrame, n: int, by: str = "nbk_id", size: str = "char_count", key: str = "passage_id") -> DataFrame:
     w = Window.partitionBy(by).orderBy(F.desc(size), key)
     return rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")

@@ -213,3 +213,13 @@ def matched_sections(sections: Sequence[str], wanted: str | None) -> list[str]:
             hits = [best] if ratio(name, best) >= 70 else []
         out += [h for h in hits if h not in out]
     return out
+
+
+def worklist(chapters: DataFrame, passages: DataFrame, least: int = 3) -> DataFrame:
+    """Chapters with passages in at least so many sections: nbk_id, title, last_updated_date and how many sections are filled.
+
+    Passages are counted by chapter and section first; chapters meet only these counts.
+    """
+    filled = passages.groupBy("nbk_id", "chapter_section").agg(F.count("*").alias("n")).groupBy("nbk_id").agg(F.count_distinct(F.when(F.col("n") > 0, F.col("chapter_section"))).alias("populated_sections"))
+    kept = filled.filter(F.col("populated_sections") >= least)
+    return chapters.join(kept, "nbk_id").select(*[c for c in ("nbk_id", "title", "last_updated_date", "gene_symbols") if c in chapters.columns], "populated_sections")

@@ -230,7 +230,7 @@ def suggestions(query: str, filters: Filters, found: int, unfiltered: int | None
 def shaped(rows: DataFrame, mode: str = "brief", *, chars: int = 300, include: Sequence[str] = (), exclude: Sequence[str] = (), query: str | None = None) -> DataFrame:
     """Columns of a response: brief has an excerpt, full the text, ids_only ids; score_breakdown and table_data are on demand.
 
-    With the ``query`` the excerpt is of the fragments that hold its words, marked, and of 80 to 800 characters.
+    With the ``query`` the excerpt is of fragments around its covers, marked, and of 80 to 800 characters.
     """
     if not 80 <= chars <= 800:
         raise ValueError("an excerpt has 80 to 800 characters")
@@ -241,7 +241,7 @@ def shaped(rows: DataFrame, mode: str = "brief", *, chars: int = 300, include: S
     body = F.col("text") if mode == "full" else E.leading_excerpt("text", chars).alias("snippet")
     if query is not None and mode != "full":
         n, most = lexical.snippet_limits(chars)
-        body = lexical.headline_column(lexical.parse(query), "text", fragments=n, most=most).alias("snippet")
+        body = lexical.cover_headline_column(lexical.parse(query), "text", fragments=n, most=most).alias("snippet")
     more = [c for c in ("heading_path",) if c in rows.columns and c not in exclude] + [c for c in ("table_data",) if c in rows.columns and c in include]
     return rows.select(*ids, *more, *scores, body)
 

@@ -521,6 +521,14 @@ def headline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("passage_id", lexical.headline_column(lexical.parse(QUESTION), "text", fragments=n, most=most).alias("snippet"))
 
 
+@query()
+def cover_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments around the covers of a phrase in all texts that hold one of its words; tests hold them against enumerated covers."""
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text").filter(F.lower("text").contains("disgusting") | F.lower("text").contains("idiot"))
+    n, most = lexical.snippet_limits(400)
+    return texts.select("doc_id", lexical.cover_headline_column(lexical.parse("disgusting idiot"), "text", fragments=n, most=most).alias("snippet"))
+
+
 @query()
 def embed_fake(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deterministic vectors for passages that have none."""
@@ -568,6 +576,24 @@ def passages_with_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("passage_id", "nbk_id", "chapter_title", "pubmed_id", "chapter_last_updated", F.get("gene_symbols", F.lit(0)).alias("gene"))
 
 
+@query(f"""WITH c AS ({_CHAPTERS_SQL}), f AS (SELECT o_custkey AS nbk_id, o_orderpriority AS section, count(*) AS n FROM orders GROUP BY ALL),
+p AS (SELECT nbk_id, count(DISTINCT section) FILTER (WHERE n > 0) AS populated_sections FROM f GROUP BY nbk_id)
+SELECT nbk_id, title, day AS last_updated_date, gene, populated_sections FROM c JOIN p USING (nbk_id) WHERE populated_sections >= 3""")
+def chapter_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters joined to their aggregated passages: customers with orders of at least three priorities."""
+    p = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("nbk_id"), F.col("o_orderpriority").alias("chapter_section"))
+    return lookups.worklist(_chapters(spark, sf_dir), p).select("nbk_id", "title", "last_updated_date", F.get("gene_symbols", F.lit(0)).alias("gene"), "populated_sections")
+
+
+@query("""SELECT wanted, name, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY wanted ORDER BY score DESC, name) AS rank FROM (
+SELECT a.n_name AS wanted, b.n_name AS name, CASE WHEN a.n_name = b.n_name THEN 100.0 END AS score FROM nation a JOIN nation b ON a.n_name = b.n_name)) WHERE rank <= 1""")
+def close_names_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The closest name to each of the nations' names, itself."""
+    names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))
+    wanted = [r[0] for r in names.distinct().limit(evaluate.WISHES).collect()]
+    return evaluate.close_names_batch(names, wanted, limit=1)
+
+
 @query(f"WITH c AS ({_CHAPTERS_SQL}) SELECT nbk_id, title FROM c WHERE pubmed_id = '11' UNION ALL SELECT nbk_id, title FROM c WHERE nbk_id = 12")
 def chapter_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _chapters(spark, sf_dir)
