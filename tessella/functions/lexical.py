@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -47,10 +48,13 @@ _REGION = re.compile("[aeiouy][^aeiouy]")
 _SHORT = re.compile("(?:[^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$")
 _VOWEL = re.compile("[aeiouy]")
 _BEGINNING = re.compile("|".join(C.STEM_BEGINNINGS))
+_KEYS = {id(t): tuple(t) for t in (C.STEM_SECOND, C.STEM_THIRD)}
 
 
 def _ending(word: str, endings) -> str | None:
-    """The longest of the endings that the word has."""
+    """The longest of the endings (a tuple, or a table's keys) that the word has."""
+    if not word.endswith(endings if isinstance(endings, tuple) else _KEYS[id(endings)]):
+        return None
     return next((word[-n:] for n in range(min(7, len(word)), 0, -1) if word[-n:] in endings), None)
 
 
@@ -136,14 +140,62 @@ def tokens(text: str):
             yield m[0].lower(), False, m
 
 
+def _lexemes(text: str) -> tuple[str | None, ...]:
+    """What stands in each place: a lexeme, or nothing for a stop word."""
+    return tuple(word if not spoken else None if word in ENGLISH_STOP_WORDS else stem(word) for word, spoken, _ in tokens(text))
+
+
+_chunk = lru_cache(1 << 17)(_lexemes)
+
+
+def in_places(text: str) -> Iterator[tuple[str | None, ...]]:
+    """What stands in the places of a text, piece by piece.
+
+    Only a tag reaches over white space; without one pieces of text between it are cut once and remembered, unless they are long.
+    """
+    if "<" in text:
+        yield _lexemes(text)
+    else:
+        for piece in text.split():
+            yield _chunk(piece) if len(piece) <= 40 else _lexemes(piece)
+
+
 def lexemes(text: str | None) -> list[tuple[str, int]]:
     """Lexemes with their places (from 1): stems of words, numbers and addresses as they are; stop words take a place but give none."""
-    out = []
-    for at, (word, spoken, _) in enumerate(tokens(text or ""), 1):
-        if not spoken:
-            out.append((word, at))
-        elif word not in ENGLISH_STOP_WORDS:
-            out.append((stem(word), at))
+    out, at = [], 0
+    for found in in_places(text or ""):
+        for lexeme in found:
+            at += 1
+            if lexeme is not None:
+                out.append((lexeme, at))
+    return out
+
+
+_AROUND = ".,;:!?()\"'"
+
+
+def _beginnings(stems: set[str]) -> set[str]:
+    """First two letters of words that may have one of the stems: rules change endings only, but for the exceptions."""
+    return {w[:2] for w in stems} | {w[:2] for w, to in C.STEM_EXCEPTIONS.items() if to in stems}
+
+
+def lexemes_among(text: str | None, some: set[str]) -> list[tuple[str, int]]:
+    """Those of ``lexemes`` that are asked for; words that begin otherwise are counted, but not stemmed."""
+    text = text or ""
+    if "<" in text:
+        return [x for x in lexemes(text) if x[0] in some]
+    out, at, begin = [], 0, _beginnings(some)
+    for piece in text.split():
+        word = piece if piece.isalpha() else piece.strip(_AROUND)
+        if word.isalpha() and word.isascii():
+            # One word, with signs around it at most.
+            at += 1
+            if word[:2].lower() in begin and (x := _chunk(word)[0] if len(word) <= 40 else _lexemes(word)[0]) in some:
+                out.append((x, at))
+        else:
+            found = _chunk(piece) if len(piece) <= 40 else _lexemes(piece)
+            out += [(x, at + k) for k, x in enumerate(found, 1) if x in some]
+            at += len(found)
     return out
 
 
@@ -274,7 +326,7 @@ def text_rank_column(query: Query, text: Column | str) -> Column:
     def ranked(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
-            rows.append(rank(query, [x for x in lexemes(t) if x[0] in some]))
+            rows.append(rank(query, lexemes_among(t, some)))
         return pd.DataFrame(rows, columns=["phrase", "strict", "recall", "overlap"])
 
     return ranked(text)

@@ -240,12 +240,18 @@ def shaped(rows: DataFrame, mode: str = "brief", *, chars: int = 300, include: S
     scores = [c for c in ("lexical_rank", "dense_score", "dense_position", "adjusted_score") if c in rows.columns and "score_breakdown" in include]
     body = F.col("text") if mode == "full" else E.leading_excerpt("text", chars).alias("snippet")
     if query is not None and mode != "full":
+        rows = settled(rows)
         n, most = lexical.snippet_limits(chars)
         body = lexical.cover_headline_column(lexical.parse(query), "text", fragments=n, most=most).alias("snippet")
     more = [c for c in ("heading_path",) if c in rows.columns and c not in exclude] + [c for c in ("table_data",) if c in rows.columns and c in include]
     return rows.select(*ids, *more, *scores, body)
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """The same rows, after which Python is asked: else a projection would be moved below the limit, which then sorts all texts."""
+    return rows.select(F.explode(F.array(F.struct("*"))).alias("_r")).select("_r.*")
+
+
 def also_matched(hits: DataFrame) -> DataFrame:
     """Hits of a batch, (query_index, passage_id): all but the first query's get the other queries that found them."""
     w = Window.partitionBy("passage_id")

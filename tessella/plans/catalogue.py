@@ -516,7 +516,7 @@ def cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def headline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marked fragments of the first hits of a search."""
-    top = search.lexical_top(search.term_ranks(passages(spark, sf_dir), TERMS), len(TERMS), 20)
+    top = search.settled(search.lexical_top(search.term_ranks(passages(spark, sf_dir), TERMS), len(TERMS), 20))
     n, most = lexical.snippet_limits(400)
     return top.select("passage_id", lexical.headline_column(lexical.parse(QUESTION), "text", fragments=n, most=most).alias("snippet"))
 

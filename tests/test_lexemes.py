@@ -74,3 +74,16 @@ def test_repeats_take_linear_time():
     began = time.perf_counter()
     assert lexical.rank(q, [("alpha", 2 * k) for k in range(200_000)] + [("beta", 2 * k + 1) for k in range(200_000)])[0] == pytest.approx(20_000)
     assert time.perf_counter() - began < 10
+
+
+def test_pieces_of_text_are_cut_as_the_whole_is():
+    import random
+
+    r = random.Random(1)
+    signs = ["a", "b", "surgery", "surgeries", "dying", "Surgical", "éa", ",", "(", "!", ":", "-", ".", "/", "@", "www.x.org", "1", "2", "&amp;", ";", " ", "\n", "\u3000", "_", "'", "\u00e9", "://", "http", "<b>", "<", ">", "e8", "+"]
+    for _ in range(3000):
+        text = "".join(r.choice(signs) for _ in range(r.randint(0, 14)))
+        whole = [(word if not spoken else lexical.stem(word), at) for at, (word, spoken, _) in enumerate(lexical.tokens(text), 1) if not spoken or word not in C.ENGLISH_STOP_WORDS]
+        assert lexical.lexemes(text) == whole, text
+        assert lexical.lexemes_among(text, {"a", "surgeri", "1"}) == [x for x in whole if x[0] in ("a", "surgeri", "1")]
+        assert lexical.lexemes_among(text, {"die", "surgic", "/", "www.x.org"}) == [x for x in whole if x[0] in ("die", "surgic", "/", "www.x.org")]
