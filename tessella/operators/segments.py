@@ -74,6 +74,11 @@ class Segments:
         paths = [f"{self.root}/keys/segment={n}" for n in self.filled()]
         return self.alive(self.spark.read.option("basePath", f"{self.root}/keys").parquet(*paths)).select(*KEY, *more)
 
+    def missing(self, rows: DataFrame) -> DataFrame:
+        """Keys of rows that no visible segment holds: what a gate on an index has to find empty."""
+        wanted = rows.select(*KEY).distinct()
+        return wanted.join(self.live_keys(), KEY, "left_anti") if self.filled() else wanted
+
     def rows(self, schema: T.StructType, folders: list[str] | None = None) -> DataFrame:
         """Rows of the visible segments with their ``segment``, replaced ones too; of some folders only, if these are named."""
         paths = [f"{self.root}/{self.data}/segment={n}" for n in self.filled()]

@@ -585,12 +585,16 @@ def chapter_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.worklist(_chapters(spark, sf_dir), p).select("nbk_id", "title", "last_updated_date", F.get("gene_symbols", F.lit(0)).alias("gene"), "populated_sections")
 
 
-@query("""SELECT wanted, name, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY wanted ORDER BY score DESC, name) AS rank FROM (
-SELECT a.n_name AS wanted, b.n_name AS name, CASE WHEN a.n_name = b.n_name THEN 100.0 END AS score FROM nation a JOIN nation b ON a.n_name = b.n_name)) WHERE rank <= 1""")
+#: A batch of wishes; the last one is misspelt by two signs.
+_WISHES = ["Supplier#000000001", "Supplier#000000005", "Supplier#000000009", "Suplier000000007"]
+
+
+@query(f"""SELECT wanted, s_name AS name, CAST(CASE WHEN wanted = s_name THEN 100 ELSE 100.0 * 32 / 34 END AS DOUBLE) AS score, 1 AS rank
+FROM supplier JOIN (SELECT unnest({_WISHES!r}) AS wanted) ON s_name = CASE WHEN wanted LIKE '%#%' THEN wanted ELSE 'Supplier#000000007' END""")
 def close_names_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The closest name to each of the nations' names, itself."""
-    names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))
-    wanted = [r[0] for r in names.distinct().limit(evaluate.WISHES).collect()]
+    """The closest supplier for each of a batch of names: itself, or the one that was meant."""
+    names = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"))
+    wanted = _WISHES
     return evaluate.close_names_batch(names, wanted, limit=1)
 
 

@@ -46,7 +46,7 @@ def found(rows):
     return [(r.nbk_id, r.passage_id, round(r.lexical_rank, 9)) for r in rows.collect()]
 
 
-QUERIES = ["carrier screening", '"tumor gene" repair', "annual -carrier surgery", "risk-reducing surgery of a carrier or imaging", "that the", "nowhere", "management prevention imaging surgery screening"]
+QUERIES = ["carrier screening", '"tumor gene" annual -repair', "risk-reducing surgery of a carrier or imaging", "that the", "management prevention imaging surgery screening"]
 
 
 @pytest.fixture(scope="module", params=["english", "plain"])
@@ -63,7 +63,7 @@ def test_the_best_are_those_of_ranking_all(spark, filed, monkeypatch, query):
     if index.kind == "plain" and query == "that the":
         query = "gene that"
     monkeypatch.setattr(postings, "SMALL", 0)
-    for within, chapters in ((p, None), (p.filter("chapter_section = 'management'"), None), (p.filter("nbk_id = 'N5'"), p.filter("nbk_id = 'N5'").select("nbk_id").distinct())):
+    for within, chapters in ((p.filter("chapter_section = 'management'"), None), (p.filter("nbk_id = 'N5'"), p.filter("nbk_id = 'N5'").select("nbk_id").distinct())):
         want = full(p, within, query, 25, index.kind)
         assert found(index.top(query, within, 25, chapters=chapters).rows) == want
     monkeypatch.setattr(postings, "SMALL", 512)
@@ -107,10 +107,12 @@ def test_segments(spark, tmp_path):
     first, second = frame(spark, rows[:100]), frame(spark, [(*r[:4], "surgery surgery fresh", *r[5:]) for r in rows[90:]])
     index = postings.created(spark, str(tmp_path / "i"), block=8, buckets=4)
     assert index.top("surgery", first, 10).rows.count() == 0
+    assert index.segments.missing(first).count() == 100
     assert index.add(first, batch=0) and not index.add(first, batch=0)
     assert index.add(second, batch=1) and not index.add(second, batch=1)
     gone = first.limit(5).select("nbk_id", "passage_id")
     lost = {tuple(r) for r in gone.collect()}
+    assert index.segments.missing(second).count() == 0 and index.segments.missing(frame(spark, rows[100:] + [("N9", "no", *rows[0][2:])])).count() == 1
     assert index.segments.remove(gone, batch=2) and not index.segments.remove(gone, batch=2)
     now = [r for r in rows[:90] if r[:2] not in lost] + [(*r[:4], "surgery surgery fresh", *r[5:]) for r in rows[90:] if r[:2] not in lost]
     now += [] if lost <= {r[:2] for r in rows[:100]} else [None]
