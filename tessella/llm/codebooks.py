@@ -26,6 +26,8 @@ from .common import Scratch, deleted, few
 PARTS, ENTRIES, ROUNDS, SCALE = 8, 16, 6, 4096
 #: Whole-numbered components go up to this, so that squared distances of vectors of up to 4,096 dimensions fit 64 bits.
 MOST = 1 << 24
+#: Components that are compared at a time.
+VALUES = 1 << 19
 #: What rounding in double precision may add to a bound, relatively.
 SLACK = 2.0**-40
 
@@ -123,14 +125,14 @@ def _binary(rows: np.ndarray) -> pa.Array:
 
 
 def assign(book: np.ndarray, before: np.ndarray | None, last: bool):
-    """A round: rows with their new entries and bounds, each batch's first one with the sums of the batch; or codes and errors."""
+    """A round: rows with their new entries and bounds, each piece's first one with the sums of the piece; or codes and errors."""
     parts, entries, width = book.shape
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # A piece's distances to all entries have to fit a task whatever the vectors' length.
+        step = max(1, VALUES // (parts * width))
+        for batch in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
             n = batch.num_rows
-            if not n:
-                continue
             columns = {f.name: batch.column(k) for k, f in enumerate(batch.schema)}
             x = _matrix(columns["x"], "<i4", parts, width).astype(np.int64)
             if before is None:
