@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import expr as E
 from ..functions import lexical
-from ..session import shared_folder
+from ..session import few, shared_folder
 from . import postings as stored
+from . import requests
 
 #: Candidates of each branch for fusion.
 DEPTH = 200
@@ -142,6 +143,18 @@ def candidates(lexical: DataFrame, dense: DataFrame, passages: DataFrame) -> Dat
     return passages.join(F.broadcast(both), on).withColumn("lexical_rank", F.coalesce("lexical_rank", F.lit(0.0)))
 
 
+def appended(lexical: DataFrame, dense: DataFrame) -> DataFrame:
+    """Both tops as one list (``position``): lexical hits in their order, then what only the dense one found, in its order, with a lexical rank of 0.
+
+    Both are bounded tops, so that one window orders them.
+    """
+    on = [c for c in ("nbk_id", "passage_id") if c in dense.columns]
+    first = lexical.select(*on, "lexical_rank", F.lit(None).cast("double").alias("dense_score"), F.lit(0).alias("_part"))
+    rest = dense.join(lexical.select(*on), on, "left_anti").select(*on, F.lit(0.0).alias("lexical_rank"), "dense_score", F.lit(1).alias("_part"))
+    order = Window.partitionBy().orderBy("_part", F.desc("lexical_rank"), F.desc_nulls_last("dense_score"), *on)
+    return first.unionByName(rest).withColumn("position", F.row_number().over(order)).drop("_part")
+
+
 def fused(rows: DataFrame, intents: Sequence[str] | Column = (), *, k: int = C.RRF_K, by: Sequence[str] = ()) -> DataFrame:
     """Rows in their final order (``position``), with ranks and scores.
 
@@ -178,8 +191,7 @@ def search(passages: DataFrame, vectors: DataFrame, query: str, vector: Sequence
     """
     if mode not in ("rrf", "lexical", "off"):
         raise ValueError("mode is rrf, lexical or off")
-    if not 1 <= limit <= 100 or not 1 <= len(query) <= 512:
-        raise ValueError("a query has 1 to 512 characters, a result 1 to 100 rows")
+    requests.check(query=query, limit=limit)
     f, k = filters or Filters(), depth(mode, limit)
     within = f.apply(passages)
     terms = list(dict.fromkeys(w for w in _plain(query) if len(w) >= 3 and w not in C.STOP_WORDS))
@@ -232,8 +244,7 @@ def shaped(rows: DataFrame, mode: str = "brief", *, chars: int = 300, include: S
 
     With the ``query`` the excerpt is of fragments around its covers, marked, and of 80 to 800 characters.
     """
-    if not 80 <= chars <= 800:
-        raise ValueError("an excerpt has 80 to 800 characters")
+    requests.check(snippet_chars=chars)
     ids = [c for c in ("position", "passage_id", "nbk_id", "chapter_section", "rrf_score", "lexical_position") if c in rows.columns]
     if mode == "ids_only":
         return rows.select(*ids)
@@ -347,8 +358,7 @@ class _Asked:
         self.filters, self.mode, self.limit = spec.get("filters") or Filters(), spec.get("mode", "rrf"), spec.get("limit", 20)
         if self.mode not in ("rrf", "lexical", "off"):
             raise ValueError("mode is rrf, lexical or off")
-        if not 1 <= self.limit <= 100 or not 1 <= len(self.query) <= 512:
-            raise ValueError("a query has 1 to 512 characters, a result 1 to 100 rows")
+        requests.check(query=self.query, limit=self.limit)
         self.named = list(dict.fromkeys(w for w in _plain(self.query) if len(w) >= 3 and w not in C.STOP_WORDS))
         self.terms, self.depth, self.intents = len(self.named), depth(self.mode, self.limit), intents(self.query)
 
@@ -400,7 +410,7 @@ def batch_ranks(passages: DataFrame, queries: DataFrame, *, query: str = "query"
     Score: a tenth for each occurrence of a term; at least a quarter of the terms have to occur.
     """
     terms = queries.select(index, E.recall_terms(query).alias("_t")).withColumn("_size", F.size("_t")).select(index, "_size", F.explode("_t").alias("w"))
-    counted = passages.select("nbk_id", "passage_id", F.explode(words("text")).alias("w")).join(F.broadcast(terms.select("w").distinct()), "w", "left_semi").groupBy("nbk_id", "passage_id", "w").agg(F.count("*").alias("n"))
+    counted = passages.select("nbk_id", "passage_id", F.explode(words("text")).alias("w")).join(few(terms.select("w").distinct()), "w", "left_semi").groupBy("nbk_id", "passage_id", "w").agg(F.count("*").alias("n"))
     scored = counted.join(terms, "w").groupBy(index, "_size", "nbk_id", "passage_id").agg(F.sum("n").alias("n"), F.count("*").alias("overlap"))
     scored = scored.filter(E.enough_overlap(F.col("overlap"), F.col("_size"))).withColumn("score", F.col("n") * F.lit(0.1))
     order = Window.partitionBy(index).orderBy(F.desc("score"), "nbk_id", "passage_id")

@@ -133,10 +133,10 @@ def write_bundle(spark: SparkSession, root: str, version: str) -> str:
 
 
 def _manifest_digest(spark: SparkSession, root: str, version: str) -> str:
-    """Of a manifest's entries, whatever their order: the sum of hashes of each, as text."""
+    """SHA-256 of the sorted SHA-256 digests of a manifest's entries, which are as many as files."""
     d = spark.read.schema("member string, size long, sha256 string").json(f"{root}/{version}.manifest")
-    row = d.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("member", "size", "sha256")).alias("x"), F.sum(F.xxhash64("sha256", "member").cast("decimal(38,0)")).alias("s")).first()
-    return f"{row.n}:{row.x or 0}:{row.s or 0}"
+    entry = F.sha2(F.to_json(F.struct("member", "size", "sha256")), 256)
+    return d.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), "\n"), 256).alias("d")).first().d
 
 
 def bundle_faults(spark: SparkSession, root: str, version: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,30 +14,9 @@ from ..operators import chunks as chunking
 from ..operators import cells, evaluate, lookups, postings, quality, search
 from ..session import shared_folder
 from ..sources import pages as html
-from .model import CHUNKS_SQL, PASSAGES_SQL, chunks, passages, table, vectors
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def put(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
+from . import details  # noqa: F401  (registers its queries)
+from .model import CHAPTERS_SQL, CHUNKS_SQL, PASSAGES_SQL, chapters, chunks, passages, table, vectors
+from .registry import oracle_sql, queries, query  # noqa: F401
 
 # Search ----------------------------------------------------------------------------------------------------
 
@@ -548,41 +526,30 @@ def close_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.close_names(table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")), "NATION_07")
 
 
-@query("SELECT doc_id, chapter_section, row_number() OVER (PARTITION BY chapter_section ORDER BY doc_id) AS position FROM (SELECT doc_id, CASE lang WHEN 'en' THEN 'summary' WHEN 'fr' THEN 'management' WHEN 'de' THEN 'diagnosis' ELSE 'references' END AS chapter_section FROM documents WHERE doc_id < 500 UNION SELECT doc_id, CASE lang WHEN 'en' THEN 'summary' WHEN 'fr' THEN 'management' WHEN 'de' THEN 'diagnosis' ELSE 'references' END FROM documents WHERE n_chars > 2000)")
+@query("SELECT doc_id, chapter_section, row_number() OVER (PARTITION BY chapter_section ORDER BY doc_id) AS position FROM (SELECT doc_id, CASE lang WHEN 'en' THEN 'summary' WHEN 'fr' THEN 'management' WHEN 'de' THEN 'diagnosis' ELSE 'references' END AS chapter_section FROM documents WHERE doc_id % 5 = 2 UNION SELECT doc_id, CASE lang WHEN 'en' THEN 'summary' WHEN 'fr' THEN 'management' WHEN 'de' THEN 'diagnosis' ELSE 'references' END FROM documents WHERE n_chars > 2000)")
 def union_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = passages(spark, sf_dir)
-    both = p.filter("passage_id < 500").select("passage_id", "chapter_section").union(p.filter("char_count > 2000").select("passage_id", "chapter_section")).distinct()
+    both = p.filter("passage_role = 'definition'").select("passage_id", "chapter_section").union(p.filter("char_count > 2000").select("passage_id", "chapter_section")).distinct()
     return both.select(F.col("passage_id").alias("doc_id"), "chapter_section", F.row_number().over(Window.partitionBy("chapter_section").orderBy("passage_id")).alias("position"))
 
 
 # Chapters, names and candidates -----------------------------------------------------------------------------
 
 
-def _chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as chapters; every third has no article, every fifth no date."""
-    c = table(spark, sf_dir, "customer")
-    day = F.when(F.col("c_custkey") % 5 != 0, F.date_add(F.lit(date(1990, 1, 1)), (F.col("c_custkey") % 3600).cast("int")))
-    article = F.when(F.col("c_custkey") % 3 != 0, F.col("c_custkey").cast("string"))
-    return c.select(F.col("c_custkey").alias("nbk_id"), F.col("c_name").alias("title"), article.alias("pubmed_id"), F.array("c_mktsegment").alias("gene_symbols"), F.array("c_mktsegment").alias("primary_gene_symbols"), day.alias("last_updated_date"))
-
-
-_CHAPTERS_SQL = "SELECT c_custkey AS nbk_id, c_name AS title, CASE WHEN c_custkey % 3 <> 0 THEN CAST(c_custkey AS VARCHAR) END AS pubmed_id, c_mktsegment AS gene, CASE WHEN c_custkey % 5 <> 0 THEN DATE '1990-01-01' + CAST(c_custkey % 3600 AS INT) END AS day FROM customer"
-
-
-@query(f"WITH c AS ({_CHAPTERS_SQL}) SELECT o_orderkey AS passage_id, nbk_id, title AS chapter_title, pubmed_id, day AS chapter_last_updated, gene FROM orders JOIN c ON nbk_id = o_custkey")
+@query(f"WITH c AS ({CHAPTERS_SQL}) SELECT o_orderkey AS passage_id, nbk_id, title AS chapter_title, pubmed_id, day AS chapter_last_updated, gene FROM orders JOIN c ON nbk_id = o_custkey")
 def passages_with_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("passage_id"), F.col("o_custkey").alias("nbk_id"))
-    out = lookups.with_chapters(p, _chapters(spark, sf_dir))
+    out = lookups.with_chapters(p, chapters(spark, sf_dir))
     return out.select("passage_id", "nbk_id", "chapter_title", "pubmed_id", "chapter_last_updated", F.get("gene_symbols", F.lit(0)).alias("gene"))
 
 
-@query(f"""WITH c AS ({_CHAPTERS_SQL}), f AS (SELECT o_custkey AS nbk_id, o_orderpriority AS section, count(*) AS n FROM orders GROUP BY ALL),
+@query(f"""WITH c AS ({CHAPTERS_SQL}), f AS (SELECT o_custkey AS nbk_id, o_orderpriority AS section, count(*) AS n FROM orders GROUP BY ALL),
 p AS (SELECT nbk_id, count(DISTINCT section) FILTER (WHERE n > 0) AS populated_sections FROM f GROUP BY nbk_id)
 SELECT nbk_id, title, day AS last_updated_date, gene, populated_sections FROM c JOIN p USING (nbk_id) WHERE populated_sections >= 3""")
 def chapter_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapters joined to their aggregated passages: customers with orders of at least three priorities."""
     p = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("nbk_id"), F.col("o_orderpriority").alias("chapter_section"))
-    return lookups.worklist(_chapters(spark, sf_dir), p).select("nbk_id", "title", "last_updated_date", F.get("gene_symbols", F.lit(0)).alias("gene"), "populated_sections")
+    return lookups.worklist(chapters(spark, sf_dir), p).select("nbk_id", "title", "last_updated_date", F.get("gene_symbols", F.lit(0)).alias("gene"), "populated_sections")
 
 
 #: A batch of wishes; the last one is misspelt by two signs.
@@ -598,9 +565,9 @@ def close_names_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.close_names_batch(names, wanted, limit=1)
 
 
-@query(f"WITH c AS ({_CHAPTERS_SQL}) SELECT nbk_id, title FROM c WHERE pubmed_id = '11' UNION ALL SELECT nbk_id, title FROM c WHERE nbk_id = 12")
+@query(f"WITH c AS ({CHAPTERS_SQL}) SELECT nbk_id, title FROM c WHERE pubmed_id = '11' UNION ALL SELECT nbk_id, title FROM c WHERE nbk_id = 12")
 def chapter_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _chapters(spark, sf_dir)
+    c = chapters(spark, sf_dir)
     return lookups.chapter_of(c, pubmed_id="11").unionByName(lookups.chapter_of(c, nbk_id=12)).select("nbk_id", "title")
 
 
@@ -621,15 +588,15 @@ def short_name_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.unionByName(skipped.withColumn("nbk_id", F.lit(None).cast("string"))).select("s_suppkey", "short_name", "nbk_id")
 
 
-@query(f"WITH c AS ({_CHAPTERS_SQL}) SELECT nbk_id, title, day FROM c WHERE gene = 'BUILDING' AND pubmed_id IS NOT NULL ORDER BY day DESC NULLS LAST, nbk_id LIMIT 10")
+@query(f"WITH c AS ({CHAPTERS_SQL}) SELECT nbk_id, title, day FROM c WHERE gene = 'BUILDING' AND pubmed_id IS NOT NULL ORDER BY day DESC NULLS LAST, nbk_id LIMIT 10")
 def gene_resolver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookups.resolved_gene(_chapters(spark, sf_dir), "BUILDING", 10).select("nbk_id", "title", F.col("last_updated_date").alias("day"))
+    return lookups.resolved_gene(chapters(spark, sf_dir), "BUILDING", 10).select("nbk_id", "title", F.col("last_updated_date").alias("day"))
 
 
 _SECTIONS_SQL = "(['summary', 'diagnosis', 'clinical_features', 'management', 'other'])[CAST(o_orderkey % 5 + 1 AS INT)]"
 
 
-@query(f"""WITH c AS ({_CHAPTERS_SQL}), p AS (SELECT o_custkey AS nbk_id, {_SECTIONS_SQL} AS section, length(o_orderpriority) AS chars FROM orders),
+@query(f"""WITH c AS ({CHAPTERS_SQL}), p AS (SELECT o_custkey AS nbk_id, {_SECTIONS_SQL} AS section, length(o_orderpriority) AS chars FROM orders),
 a AS (SELECT nbk_id, count(*) AS passages, sum(chars) AS chars, count_if(section = 'management') AS m, count_if(section = 'summary') AS s FROM p GROUP BY 1),
 y AS (SELECT *, round(date_diff('day', day, DATE '2000-01-01') / 365.25, 1) + 0.0 AS years FROM c JOIN a USING (nbk_id))
 SELECT nbk_id, title, years, CASE WHEN years < 2 THEN 'current' WHEN years < 4 THEN 'aging' WHEN years < 7 THEN 'stale' WHEN years IS NOT NULL THEN 'very_stale' END AS staleness,
@@ -637,7 +604,7 @@ coalesce(years >= 4 AND m > 0, false) AS stale_for_therapy, 9 AS n_sections, CAS
 def chapter_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     section = F.element_at(F.array(*[F.lit(x) for x in ("summary", "diagnosis", "clinical_features", "management", "other")]), (F.col("o_orderkey") % 5 + 1).cast("int"))
     p = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("nbk_id"), section.alias("chapter_section"), F.length("o_orderpriority").alias("char_count"))
-    out = lookups.chapter_outline(_chapters(spark, sf_dir), p, F.lit(TODAY))
+    out = lookups.chapter_outline(chapters(spark, sf_dir), p, F.lit(TODAY))
     total = lambda c: F.aggregate("sections", F.lit(0).cast("long"), lambda n, s: n + s[c])
     return out.select("nbk_id", "title", F.col("years_since_update").alias("years"), "staleness", "stale_for_therapy", F.size("sections").alias("n_sections"), total("passage_count").alias("passages"), total("total_chars").alias("chars"), F.exists("sections", lambda s: F.coalesce(s["note"], F.lit("")) == "not extracted").alias("no_summary"))
 
@@ -727,3 +694,64 @@ def inverted_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def indexed_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full-text ranks read from the inverted table; tests hold them against ranks of each text."""
     return search.indexed_ranks(search.postings(passages(spark, sf_dir)), '"that thing" with or this -idiot').drop("nbk_id")
+
+
+# Modes, fallbacks and shapes of a search ----------------------------------------------------------------------
+
+
+@query(f"WITH {_LEXICAL}, l AS (SELECT *, CASE chapter_section WHEN 'summary' THEN 0 WHEN 'diagnosis' THEN 0 WHEN 'management' THEN 1 WHEN 'other' THEN 7 ELSE 50 END AS pri FROM s ORDER BY lexical_rank DESC, nbk_id, passage_id LIMIT 90), o AS (SELECT *, row_number() OVER (ORDER BY lexical_rank DESC, pri, nbk_id, passage_id) AS position FROM l) SELECT position, passage_id, round(CAST(lexical_rank AS DOUBLE), 6) AS lexical_rank FROM o WHERE position <= 30")
+def lexical_mode_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mode without vectors, in which sections decide between equal ranks."""
+    out = search.search(passages(spark, sf_dir), vectors(spark, sf_dir), QUESTION, [], mode="lexical", limit=30)
+    return out.select("position", "passage_id", F.round("lexical_rank", 6).alias("lexical_rank"))
+
+
+@query(f"SELECT position, passage_id, lexical_rank, dense_score, CAST(NULL AS DOUBLE) AS rrf_score FROM ({_one_of_batch(0, 0, ('references',))})")
+def guarded_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search that meets nothing but guarded sections: no fusion, lexical order."""
+    out = search.search(passages(spark, sf_dir), vectors(spark, sf_dir), QUESTION, _vector(spark, sf_dir), filters=search.Filters(sections=("references",)), limit=15)
+    return out.select("position", "passage_id", *[F.round(c, 6).alias(c) for c in ("lexical_rank", "dense_score", "rrf_score")])
+
+
+_PRIMARY = _HYBRID.replace(PASSAGES_SQL, f"SELECT * FROM ({PASSAGES_SQL}) WHERE passage_id % 3 = 1").replace("AS adjusted_score FROM f", "* CASE WHEN passage_id % 2 = 0 THEN 1.25 ELSE 1.0 END AS adjusted_score FROM f")
+
+
+@query(f"SELECT position, passage_id, adjusted_score, passage_id % 2 = 0 AS primary_match FROM ({_PRIMARY})")
+def primary_boosted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search for a symbol that a third of all passages hold, half of them as a primary one."""
+    symbol = F.concat(F.lit("S"), (F.col("passage_id") % 3).cast("string"))
+    p = passages(spark, sf_dir).withColumn("gene_symbols", F.array(symbol)).withColumn("primary_gene_symbols", F.when(F.col("passage_id") % 2 == 0, F.array(symbol)).otherwise(F.array().cast("array<string>")))
+    out = search.search(p, vectors(spark, sf_dir), QUESTION, _vector(spark, sf_dir), filters=search.Filters(gene="S1"), limit=20)
+    return out.select("position", "passage_id", F.round("adjusted_score", 6).alias("adjusted_score"), "primary_match")
+
+
+@query(f"""WITH {_LEXICAL}, {_DENSE}, l AS (SELECT nbk_id, passage_id, lexical_rank FROM s ORDER BY lexical_rank DESC, nbk_id, passage_id LIMIT 200),
+e AS (SELECT * FROM d WHERE dense_score IS NOT NULL ORDER BY dense_score DESC, passage_id LIMIT 200),
+u AS (SELECT passage_id, lexical_rank, NULL AS dense_score, 0 AS part, nbk_id FROM l UNION ALL SELECT passage_id, 0.0, dense_score, 1, '' FROM e WHERE passage_id NOT IN (SELECT passage_id FROM l))
+SELECT row_number() OVER (ORDER BY part, u.lexical_rank DESC, u.dense_score DESC NULLS LAST, nbk_id, passage_id) AS position, passage_id, round(CAST(u.lexical_rank AS DOUBLE), 6) AS lexical_rank, round(u.dense_score, 6) AS dense_score FROM u""")
+def appended_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexical hits, then those that only vectors found."""
+    p = passages(spark, sf_dir)
+    v = p.select("nbk_id", "passage_id").join(vectors(spark, sf_dir), "passage_id")
+    lexical_hits = search.lexical_top(search.term_ranks(p, TERMS), len(TERMS), search.DEPTH)
+    dense = search.dense_top(p, vectors(spark, sf_dir), _vector(spark, sf_dir), search.DEPTH).join(v.select("nbk_id", "passage_id"), "passage_id")
+    out = search.appended(lexical_hits, dense)
+    return out.select("position", "passage_id", F.round("lexical_rank", 6).alias("lexical_rank"), F.round("dense_score", 6).alias("dense_score"))
+
+
+_EXCERPT_SQL = r"s AS (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM h), c AS (SELECT *, regexp_replace(left(t, 300), '\s+$', '') AS cut FROM s), b AS (SELECT *, regexp_extract(cut, '(?s)^(.*) [^ ]*$', 1) AS head FROM c), x AS (SELECT *, CASE WHEN length(t) <= 300 THEN t WHEN length(head) > 150 THEN regexp_replace(head, '\s+$', '') || '…' ELSE cut || '…' END AS snippet FROM b)"
+
+
+@query(f"""WITH h AS (WITH {_LEXICAL} SELECT passage_id, nbk_id, text, lexical_rank, row_number() OVER (ORDER BY lexical_rank DESC, nbk_id, passage_id) AS position FROM s QUALIFY position <= 10), {_EXCERPT_SQL}
+SELECT 'brief' AS shape, position, passage_id, snippet, NULL AS text_sha256, round(CAST(lexical_rank AS DOUBLE), 6) AS lexical_rank FROM x
+UNION ALL SELECT 'full', position, passage_id, NULL, sha256(text), NULL FROM x UNION ALL SELECT 'ids_only', position, passage_id, NULL, NULL, NULL FROM x""")
+def response_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same hits in the three shapes of a response; scores only where they are asked for."""
+    at = shared_folder(spark)
+    search.search(passages(spark, sf_dir), vectors(spark, sf_dir), QUESTION, [], mode="off", limit=10).write.parquet(at)
+    hits = spark.read.parquet(at)
+    brief = search.shaped(hits, "brief", include=("score_breakdown",)).withColumn("shape", F.lit("brief"))
+    full = search.shaped(hits, "full").withColumn("shape", F.lit("full")).withColumn("text_sha256", F.sha2("text", 256)).drop("text")
+    ids = search.shaped(hits, "ids_only", include=("score_breakdown",)).withColumn("shape", F.lit("ids_only"))
+    out = brief.unionByName(full, allowMissingColumns=True).unionByName(ids, allowMissingColumns=True)
+    return out.select("shape", "position", "passage_id", "snippet", "text_sha256", F.round("lexical_rank", 6).alias("lexical_rank"))

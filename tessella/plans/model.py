@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,14 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("conv_id").alias("nbk_id"), F.col("turn").alias("chunk_index"), F.col("role").alias("chapter_section"), "text", F.length("text").alias("char_count"))
 
 
+def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as chapters; every third has no article, every fifth no date."""
+    c = table(spark, sf_dir, "customer")
+    day = F.when(F.col("c_custkey") % 5 != 0, F.date_add(F.lit(date(1990, 1, 1)), (F.col("c_custkey") % 3600).cast("int")))
+    article = F.when(F.col("c_custkey") % 3 != 0, F.col("c_custkey").cast("string"))
+    return c.select(F.col("c_custkey").alias("nbk_id"), F.col("c_name").alias("title"), article.alias("pubmed_id"), F.array("c_mktsegment").alias("gene_symbols"), F.array("c_mktsegment").alias("primary_gene_symbols"), day.alias("last_updated_date"))
+
+
 #: The same views in DuckDB.
 PASSAGES_SQL = """
 SELECT source AS nbk_id, doc_id AS passage_id,
@@ -47,3 +57,4 @@ SELECT source AS nbk_id, doc_id AS passage_id,
 FROM documents
 """
 CHUNKS_SQL = "SELECT conv_id AS nbk_id, turn AS chunk_index, role AS chapter_section, text, length(text) AS char_count FROM conversations"
+CHAPTERS_SQL = "SELECT c_custkey AS nbk_id, c_name AS title, CASE WHEN c_custkey % 3 <> 0 THEN CAST(c_custkey AS VARCHAR) END AS pubmed_id, c_mktsegment AS gene, CASE WHEN c_custkey % 5 <> 0 THEN DATE '1990-01-01' + CAST(c_custkey % 3600 AS INT) END AS day FROM customer"
