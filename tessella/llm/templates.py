@@ -18,19 +18,65 @@ compliance with the License. You may obtain a copy of the License at http://www.
 _GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
 General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your
 option) any later version."""
+#: What follows these texts in whole licenses and notices.
+_MIT_REST = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED
+TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS
+OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_ISC_REST = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING
+ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
+ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF
+THIS SOFTWARE."""
+_BSD_THIRD = """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission."""
+_BSD_REST = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE
+ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_APACHE_REST = """Unless required by applicable law or agreed to in writing, software distributed under the License is
+distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License
+for the specific language governing permissions and limitations under the License."""
+_GPL_2 = """This program is free software; you can redistribute it and/or modify it under the terms of the GNU
+General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your
+option) any later version."""
+_LGPL_2 = """This library is free software; you can redistribute it and/or modify it under the terms of the GNU
+Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at
+your option) any later version."""
+_LGPL_3 = """This library is free software: you can redistribute it and/or modify it under the terms of the GNU
+Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at
+your option) any later version."""
+_AGPL_3 = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
+Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at
+your option) any later version."""
 _MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL
 was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""
 
+#: A name may have several wordings: of those that overlap in a text the one with the most words aligned counts. Nested
+#: licenses are told apart in this way too: what a smaller one lacks is found in the larger one's text only.
 TEMPLATES = [
+    ("AGPL-3.0", _AGPL_3),
+    ("Apache-2.0", f"{_APACHE} {_APACHE_REST}"),
     ("Apache-2.0", _APACHE),
     ("Apache-2.0 notice", "Licensed under the Apache License, Version 2.0."),
+    ("BSD-2-Clause", f"{_BSD} {_BSD_REST}"),
     ("BSD-2-Clause", _BSD),
+    ("BSD-3-Clause", f"{_BSD} {_BSD_THIRD} {_BSD_REST}"),
+    ("BSD-3-Clause", f"{_BSD} {_BSD_THIRD}"),
     ("CC-BY-4.0 notice", "Licensed under CC BY 4.0."),
     ("CC-BY-NC-4.0 notice", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0 notice", "Licensed under CC BY-SA 4.0."),
+    ("GPL-2.0", _GPL_2),
     ("GPL-3.0", _GPL),
     ("GPL-3.0 notice", "This work is licensed under the GNU General Public License, version 3."),
+    ("ISC", f"{_ISC} {_ISC_REST}"),
     ("ISC", _ISC),
+    ("LGPL-2.1", _LGPL_2),
+    ("LGPL-3.0", _LGPL_3),
+    ("MIT", f"{_MIT} {_MIT_REST}"),
     ("MIT", _MIT),
     ("MIT notice", "Released under the MIT License."),
     ("MPL-2.0", _MPL),

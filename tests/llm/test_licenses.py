@@ -149,3 +149,21 @@ def test_recall_of_edited_templates(documents, make):
             names.append(name)
     got = scan(documents, texts)
     assert sum(n in g[0] for n, g in zip(names, got, strict=True)) >= 0.9 * len(names)
+
+
+def test_nested_licenses_get_their_own_names(documents, make):
+    """Licenses that hold most of another one, whole and with one word in 20 edited, each between other words."""
+    r, texts, names = random.Random(11), [], []
+    for name in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "MIT", "ISC", "Apache-2.0"):
+        for _, text in (t for t in TEMPLATES if t[0] == name):
+            texts.append(f"{make(30)} {text} {make(30)}")
+            names.append(name)
+            for _ in range(4):
+                w = text.split()
+                for k in sorted(r.sample(range(len(w)), len(w) // 20), reverse=True):
+                    w[k : k + 1] = r.choice([[], [make(1)], [w[k], make(1)]])
+                texts.append(f"{make(30)} {' '.join(w)} {make(30)}")
+                names.append(name)
+    got = [g[0] for g in scan(documents, texts)]
+    assert all(g == [n] for n, g in zip(names[::5], got[::5], strict=True))
+    assert sum(g == [n] for n, g in zip(names, got, strict=True)) >= 0.9 * len(names)
