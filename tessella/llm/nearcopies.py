@@ -1,15 +1,17 @@
 """Near-duplicate documents by ProbMinHash over word shingles, banding and verification.
 
 1. Documents of the same word sequence are one text. Each of a text's shingles (``size`` words; a shorter
-   text is one shingle) has weight 1, however often it occurs, as the similarity that decides is that of
-   sets. Every shingle is a Poisson process of that rate, each of whose arrivals falls on a random
-   register; a register keeps the shingle that arrived first, and a shingle ends when its next arrival
-   comes after the latest register. Two texts agree on a register with the probability Jaccard
-   similarity of their weights, which for weights of 1 is the Jaccard similarity of their sets.
-2. Bands of registers give bucket keys. In a bucket, texts whose registers agree on ``SCREEN`` or more
-   are joined; the joined families are all that exact verification has to look into.
-3. Inside a family two texts are linked if the Jaccard similarity of their shingle sets is ``least`` or
-   more, computed on all shingles. A pair that is already in one class by other links isn't computed.
+   text is one shingle) weighs as much as it occurs. It is a Poisson process of that rate, each of whose
+   arrivals falls on a random register; a register keeps the shingle that arrived first, and a shingle
+   ends when its next arrival comes after the latest register. Two texts agree on a register with the
+   probability Jaccard similarity of their weights. A text with repeated shingles has a second sketch in
+   which each weighs 1, which estimates the Jaccard similarity of sets; for all others both are the same.
+2. Bands of registers give bucket keys. In a bucket, texts whose registers agree on ``SCREEN`` or more, in
+   either sketch, are joined; the joined families are all that exact verification has to look into.
+3. Inside a family two texts are linked if the probability Jaccard similarity of their counts or the
+   Jaccard similarity of their sets is ``least`` or more, computed on all shingles: a refrain that one
+   copy repeats more often parts no copies. A pair that is already in one class by other links isn't
+   computed.
 
 Buckets and families of any size are cut into blocks, and each two blocks meet in one bounded piece;
 pieces give spanning edges only, so that no group is expanded into its pairs.
@@ -108,9 +110,52 @@ def banded(first: np.ndarray) -> np.ndarray:
 
 
 def weighed(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles once each, with weight 1: weights by count would sketch another similarity than is verified."""
-    once = np.unique(shingles)
-    return once, np.ones(len(once))
+    """Shingles once each, in order, and how often each occurs."""
+    return np.unique(shingles, return_counts=True)
+
+
+def probability_jaccard(x: np.ndarray, m: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
+    """Of two texts with shingles x, y (in order, once each) of the weights m, n.
+
+    A common shingle adds 1 / sum(max(m' / m, n' / n)) over all shingles. The first of the two is the larger
+    where m' / n' isn't below m / n, so that sorting by that quotient leaves two running sums.
+    """
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    both = np.flatnonzero(y[at] == x)
+    p, q = m[both].astype(float), n[at[both]].astype(float)
+    quotient = p / q
+    order = np.argsort(quotient, kind="stable")
+    p, q, quotient = p[order], q[order], quotient[order]
+    first = np.searchsorted(quotient, quotient)
+    above = m.sum() - np.concatenate([[0.0], np.cumsum(p)])[first]
+    below = n.sum() - q.sum() + np.concatenate([[0.0], np.cumsum(q)])[first]
+    return float((1 / (above / p + below / q)).sum())
+
+
+def alike(x: np.ndarray, m: np.ndarray | None, y: np.ndarray, n: np.ndarray | None, least: float) -> bool:
+    """Whether two texts are linked; weights are None where all are 1."""
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    both = int((y[at] == x).sum())
+    # In whole numbers, so that a similarity of exactly ``least`` counts.
+    if both * 1_000_000 >= round(least * 1_000_000) * (len(x) + len(y) - both):
+        return True
+    if not both or (m is None and n is None):
+        return False
+    m, n = (np.ones(len(e), np.int64) if w is None else w for e, w in ((x, m), (y, n)))
+    return probability_jaccard(x, m, y, n) >= least - 1e-12
+
+
+def registers(sig: list[bytes]) -> np.ndarray:
+    """(texts, sketches, registers): two sketches if any of the texts has a second one."""
+    one = 2 * REGISTERS
+    if any(len(s) > one for s in sig):
+        sig = [s if len(s) > one else s + s for s in sig]
+    return np.frombuffer(b"".join(sig), np.uint16).reshape(len(sig), -1, REGISTERS)
+
+
+def agreement(sig: np.ndarray, a: int) -> np.ndarray:
+    """On how many registers each text after ``a`` agrees with it, by the sketch that agrees more."""
+    return (sig[a + 1 :] == sig[a]).sum(2).max(1)
 
 
 def digest(split: list[bytes], text: bytes | None) -> bytes:
@@ -134,7 +179,7 @@ def shingler(size: int) -> Shingler:
 
 
 def sketched(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
-    """(d, h, t, keys, sig, w): id, hash of the text, digest of the word sequence or of the text (null for none), band keys, registers' low 16 bits, shingles."""
+    """(d, h, t, keys, sig, w): id, hash of the text, digest of the word sequence or of the text (null for none), band keys, registers' low 16 bits (by counts, then by the set if it differs), shingles."""
 
     def run(batches):
         cut = shingler(size)
@@ -147,15 +192,17 @@ def sketched(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
                 if split:
                     e, w = weighed(cut(split))
                     size_of[k] = len(e)
-                    elements.append(e)
-                    weights.append(w)
-                    owner.append(np.full(len(e), len(has), np.int64))
-                    has.append(k)
+                    for own in (w, np.ones(len(e))) if len(e) < w.sum() else (w,):
+                        elements.append(e)
+                        weights.append(own)
+                        owner.append(np.full(len(e), len(has), np.int64))
+                        has.append(k)
             keys, sig = [None] * len(texts), [None] * len(texts)
             if has:
                 first = signatures(np.concatenate(elements), np.concatenate(weights), np.concatenate(owner), len(has))
                 for k, b, s in zip(has, banded(first), first.astype(np.uint16), strict=True):
-                    keys[k], sig[k] = b, s.tobytes()
+                    again = keys[k] is not None
+                    keys[k], sig[k] = (np.union1d(keys[k], b), sig[k] + s.tobytes()) if again else (b, s.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary()), pa.array(size_of, pa.int64())], names=["d", "h", "t", "keys", "sig", "w"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -169,10 +216,10 @@ def screened(batches):
         t = piece.column("t").to_pylist()
         if len(t) < 2:
             continue
-        sig = np.frombuffer(b"".join(piece.column("sig").to_pylist()), np.uint16).reshape(len(t), REGISTERS)
+        sig = registers(piece.column("sig").to_pylist())
         forest = Forest(len(t))
         for a in range(len(t) - 1):
-            for b in np.flatnonzero((sig[a + 1 :] == sig[a]).sum(1) >= SCREEN * REGISTERS).tolist():
+            for b in np.flatnonzero(agreement(sig, a) >= SCREEN * REGISTERS).tolist():
                 if forest.join(a, a + 1 + b):
                     out_u.append(t[a])
                     out_v.append(t[a + 1 + b])
@@ -183,32 +230,30 @@ def screened(batches):
 
 
 def linked(least: float):
-    """Spanning edges of the texts of a piece of a family whose shingle sets are similar."""
+    """Spanning edges of the texts of a piece of a family that are alike."""
 
     def run(batches):
         for piece in runs(batches, ["k", "_i", "_j"]):
             t = piece.column("t").to_pylist()
             if len(t) < 2:
                 continue
-            sig = np.frombuffer(b"".join(piece.column("sig").to_pylist()), np.uint16).reshape(len(t), REGISTERS)
+            sig = registers(piece.column("sig").to_pylist())
             sets = [np.frombuffer(s, np.uint64) for s in piece.column("set").to_pylist()]
+            counts = [np.frombuffer(c, np.uint32).astype(np.int64) if c else None for c in piece.column("counts").to_pylist()]
             sizes = np.array([len(s) for s in sets])
+            repeats = np.array([c is not None for c in counts])
             forest, u, v = Forest(len(t)), [], []
             for a in range(len(t) - 1):
                 rest = slice(a + 1, None)
                 ratio = np.minimum(sizes[rest], sizes[a]) / np.maximum(sizes[rest], sizes[a])
-                agree = (sig[rest] == sig[a]).sum(1)
-                near = np.flatnonzero((agree >= SCREEN * REGISTERS) & (ratio >= least))
+                agree = agreement(sig, a)
+                # Counts may be alike whatever the sizes of the sets.
+                near = np.flatnonzero((agree >= SCREEN * REGISTERS) & ((ratio >= least) | repeats[rest] | repeats[a]))
                 for b in (near[np.argsort(-agree[near], kind="stable")] + a + 1).tolist():
-                    if forest.find(a) != forest.find(b):
-                        x, y = sets[a], sets[b]
-                        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                        both = int((y[at] == x).sum())
-                        # In whole numbers, so that a similarity of exactly ``least`` counts.
-                        if both * 1_000_000 >= round(least * 1_000_000) * (len(x) + len(y) - both):
-                            forest.join(a, b)
-                            u.append(t[a])
-                            v.append(t[b])
+                    if forest.find(a) != forest.find(b) and alike(sets[a], counts[a], sets[b], counts[b], least):
+                        forest.join(a, b)
+                        u.append(t[a])
+                        v.append(t[b])
             if u:
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
 
@@ -221,6 +266,8 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size
     Words are runs of a-z, 0-9 and all beyond ASCII, A-Z lower-cased. Texts without words are alike only
     if they are equal; null and empty texts are like nothing, each its own class. Repeated rows are
     copies of each other. A null id can't name a class: it is passed over unless a class has no other.
+    An empty table gives an empty one. Other columns aren't read, so that their names can't clash. Texts of
+    any length that fits a task are read whole.
     """
     member, lead = grouped(docs, doc_id, text, size, least)
     out = member.filter("g is not null").join(few(lead.select("g", "class_id")), "g").select("d", "t", "class_id")
@@ -259,7 +306,7 @@ def grouped(docs: DataFrame, doc_id: str, text: str, size: int = SHINGLE, least:
         def sets(batches):
             cut, bits, seen = shingler(size), wanted.value.tolist(), set()
             for batch, own in slices(batches, "x", SLICE):
-                t, held = [], []
+                t, held, often = [], [], []
                 for x in own:
                     split = words(x)
                     d = digest(split, x)
@@ -268,12 +315,14 @@ def grouped(docs: DataFrame, doc_id: str, text: str, size: int = SHINGLE, least:
                             seen.clear()
                         seen.add(d)
                         t.append(d)
-                        held.append(np.unique(cut(split)).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(t, pa.binary()), pa.array(held, pa.binary())], names=["t", "set"])
+                        e, w = weighed(cut(split))
+                        held.append(e.tobytes())
+                        often.append(w.astype(np.uint32).tobytes() if len(e) < w.sum() else b"")
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (t, held, often)], names=["t", "set", "counts"])
 
-        held = docs.select(F.col(text).alias("x")).mapInArrow(sets, "t binary, set binary")
+        held = docs.select(F.col(text).alias("x")).mapInArrow(sets, "t binary, set binary, counts binary")
         rows = families.join(held, "t").dropDuplicates(["t"]).join(few(sizes), "k")
-        edges = in_block_pairs(rows, "k", "t", "n").select("k", "_i", "_j", "t", "sig", "set").mapInArrow(linked(least), "u binary, v binary")
+        edges = in_block_pairs(rows, "k", "t", "n").select("k", "_i", "_j", "t", "sig", "set", "counts").mapInArrow(linked(least), "u binary, v binary")
         groups = few(components(edges, scratch))
         member = sketch.filter("t is not null").select("d", "h", "t").join(groups.select(F.col("node").alias("t"), "component"), "t", "left").select("d", "h", "t", F.coalesce("component", "t").alias("g"))
         member = scratch.put(member.unionByName(sketch.filter("t is null").select("d", "h", "t", F.lit(None).cast("binary").alias("g"))), stay=True)

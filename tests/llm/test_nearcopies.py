@@ -1,6 +1,8 @@
-"""Op 7 against the Jaccard similarity of all pairs."""
+"""Op 7 against the probability Jaccard similarity and the Jaccard similarity of all pairs."""
 
 import random
+from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 from llm_classes import DATA, Classes
@@ -10,16 +12,29 @@ from tessella.llm.contamination import words
 from tessella.llm.queries import op7_minhash_near_dedup
 
 
+def weighted(a, b):
+    """The probability Jaccard similarity of two counters, by its definition."""
+    every = a.keys() | b.keys()
+    return sum(1 / sum(max(Fraction(a[e], a[d]), Fraction(b[e], b[d])) for e in every) for d in a.keys() & b.keys())
+
+
+def similar(a, b):
+    s, u = len(a.keys() & b.keys()), len(a.keys() | b.keys())
+    if 5 * s >= 4 * u:
+        return True
+    return bool(s) and a.total() + b.total() > len(a) + len(b) and weighted(a, b) >= Fraction(4, 5)
+
+
 def brute(rows):
     """The class id of each row of (id, text)."""
     classes, sets = Classes(), []
     for k, (_, t) in enumerate(rows):
         w = words((t or "").encode())
         size = min(5, len(w))
-        s = {tuple(w[j : j + size]) for j in range(len(w) - size + 1)} if w else {("raw", t)} if t else {("row", k)}
+        s = Counter([tuple(w[j : j + size]) for j in range(len(w) - size + 1)] if w else [("raw", t)] if t else [("row", k)])
         sets.append(s)
         for j in range(k):
-            if 5 * len(s & sets[j]) >= 4 * len(s | sets[j]):
+            if similar(s, sets[j]):
                 classes.join(j, k)
     least = {}
     for k, (i, _) in enumerate(rows):
@@ -88,6 +103,28 @@ def test_registers_estimate_probability_jaccard():
     assert abs(np.mean(hits) - true) < 0.03
 
 
+def test_exact_probability_jaccard():
+    r = random.Random(4)
+    for _ in range(60):
+        a, b = (Counter(r.choices(range(r.randint(1, 30)), k=r.randint(1, 60))) for _ in range(2))
+        (x, m), (y, w) = (map(np.array, zip(*sorted(c.items()), strict=True)) for c in (a, b))
+        assert abs(n.probability_jaccard(x, m, y, w) - weighted(a, b)) < 1e-12
+
+
+def test_counts_decide(documents, make):
+    """Texts that are alike by how often something occurs, though not by their sets, and the other way round."""
+    rows = []
+    for _ in range(6):
+        refrain = make(12)
+        many = " ".join([refrain] * 40)
+        rows += [(len(rows), f"{many} {make(25)}"), (len(rows) + 1, f"{many} {make(25)}"), (len(rows) + 2, f"{refrain} {make(60)}")]
+        base = make(80)
+        rows += [(len(rows), base), (len(rows) + 1, f"{base} {base} {base}"), (len(rows) + 2, f"{base} {many}")]
+    check(documents, rows)
+    classes = [c for _, c in zip(rows, brute(rows), strict=True)]
+    assert classes[0] == classes[1] != classes[2]
+
+
 def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     got = {r.doc_id: r.class_id for r in op7_minhash_near_dedup(spark, DATA).collect()}
