@@ -10,8 +10,10 @@ cosines are computed again in double precision.
 
 Pairs are looked for in buckets of sign-pattern tables (hyperplanes). The number of bits follows the
 number of vectors, and the number of tables the bits, so that a pair at the threshold shares a bucket with
-probability ``RECALL``, closer pairs with more. A pair counts in the first table it shares only. Large
-buckets are cut into blocks of which each two meet in a piece.
+probability ``RECALL``, closer pairs with more. A pair counts in the first table it shares only. The signs
+of at most ``SIGNS`` hyperplanes travel with a code, and every table's key is read from some of them, so
+that a row has the same size however many tables there are. Large buckets are cut into blocks of which
+each two meet in a piece.
 """
 
 from __future__ import annotations
@@ -35,13 +37,36 @@ LEAST, RECALL, EPSILON = 0.9, 0.999, 4.5
 #: Vectors that a bucket of random ones would hold, and those of a block of a large bucket.
 OCCUPANCY, BLOCK = 1024, 2048
 SEED = 20
+#: Tables that the mark of a bucket has room for.
+MOST = 1 << 14
+
+
+#: Hyperplanes of all tables; tables that need more signs than these share them.
+SIGNS = 512
+
+
+def missed(bits: int, count: int, same: float) -> float:
+    """How likely a pair, alike in a share ``same`` of all hyperplanes, shares no bucket."""
+    if bits * count <= SIGNS:
+        return (1 - same**bits) ** count
+    # Tables draw from the same signs: over the number of those that are alike, the share of draws that hit only these.
+    n = np.arange(bits, SIGNS + 1)
+    log = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, SIGNS + 1)))])
+    chance = np.exp(log[SIGNS] - log[n] - log[SIGNS - n] + n * math.log(same) + (SIGNS - n) * math.log1p(-same))
+    hit = np.exp(log[n] - log[n - bits] + log[SIGNS - bits] - log[SIGNS])
+    return float((chance * (1 - hit) ** count).sum() + max(0.0, 1 - chance.sum()))
 
 
 def tables(n: int, least: float = LEAST, recall: float = RECALL) -> tuple[int, int]:
     """Bits of a table and number of tables for n vectors."""
     bits = min(30, max(6, round(math.log2(max(n, 1) / OCCUPANCY))))
     same = 1 - math.acos(least) / math.pi
-    return bits, math.ceil(math.log(1 - recall) / math.log(1 - same**bits))
+    count = math.ceil(math.log(1 - recall) / math.log(1 - same**bits))
+    while missed(bits, count, same) > 1 - recall + 1e-12:
+        if count >= MOST:
+            raise ValueError(f"a cosine of {least} takes more than {MOST} tables for a recall of {recall}")
+        count += max(1, count // 50)
+    return bits, count
 
 
 def padded(dim: int) -> int:
@@ -76,12 +101,29 @@ def planes(dim: int, count: int) -> np.ndarray:
     return np.rint(np.random.default_rng(SEED + 1).standard_normal((count, dim)) * 256).clip(-1023, 1023).T.copy()
 
 
-def keys(x: np.ndarray, bits: int, count: int) -> np.ndarray:
-    """The bucket of every vector in every table; the same for a vector wherever it is computed."""
+@cache
+def drawn(bits: int, count: int, pool: int) -> np.ndarray:
+    """For every table the hyperplanes, of ``pool``, that its key is read from: its own while there are enough."""
+    if bits * count <= pool:
+        return np.arange(bits * count).reshape(count, bits)
+    r = np.random.default_rng(SEED + 3)
+    return np.stack([r.permutation(pool)[:bits] for _ in range(count)])
+
+
+def signs(x: np.ndarray, pool: int) -> np.ndarray:
+    """On which side of every hyperplane each vector is, packed; the same for a vector wherever it is computed."""
     _, exponent = np.frexp(np.abs(x).max(1))
     rounded = np.rint(np.ldexp(x, (20 - exponent)[:, None]))
-    sign = (rounded @ planes(x.shape[1], bits * count) > 0).reshape(len(x), count, bits)
-    return sign @ (1 << np.arange(bits, dtype=np.int64))
+    return np.packbits(rounded @ planes(x.shape[1], pool) > 0, axis=1)
+
+
+def keys(packed: np.ndarray, bits: int, count: int, pool: int) -> np.ndarray:
+    """The bucket of every row of packed signs in every table."""
+    sign = np.unpackbits(packed, axis=1)
+    out, weight = np.empty((len(packed), count), np.int64), 1 << np.arange(bits, dtype=np.int64)
+    for k, own in enumerate(drawn(bits, count, pool)):
+        out[:, k] = sign[:, own] @ weight
+    return out
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -164,13 +206,8 @@ def values(raw: list[bytes], n: int, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(raw), kind).reshape(len(raw), n).astype(np.float64)
 
 
-def width(bits: int) -> str:
-    """The type that keys of so many bits are stored in."""
-    return "u1" if bits <= 8 else "<u2" if bits <= 16 else "<u4"
-
-
-def coded(bits: int, count: int, kind: str):
-    """(r, x, n, keys): the stored code with the keys behind it, and a mark of every bucket."""
+def coded(bits: int, count: int, pool: int, kind: str):
+    """(r, x, n, keys): the stored code with the signs behind it, and a mark of every bucket."""
 
     def run(batches):
         for batch in batches:
@@ -180,9 +217,9 @@ def coded(bits: int, count: int, kind: str):
             for n in np.unique(dims):
                 at = np.flatnonzero(dims == n)
                 x = values([raw[i] for i in at], n, kind)
-                own = keys(x, bits, count)
-                out[at] = own | (np.arange(count, dtype=np.int64) << 31 | int(n) << 45)
-                rows = np.concatenate([Codes(unit(x)).stored(), np.ascontiguousarray(own.astype(width(bits))).view(np.uint8).reshape(len(at), -1)], axis=1)
+                packed = signs(x, pool)
+                out[at] = keys(packed, bits, count, pool) | (np.arange(count, dtype=np.int64) << 31 | int(n) << 45)
+                rows = np.concatenate([Codes(unit(x)).stored(), packed], axis=1)
                 for i, row in zip(at.tolist(), rows, strict=True):
                     stored[i] = row.tobytes()
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, count), pa.int32()), pa.array(out.ravel()))
@@ -204,12 +241,22 @@ def pieces(batches) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray | None]]:
                 yield rows, own, other
 
 
-def first_shared(p: np.ndarray, q: np.ndarray, spread: np.ndarray, k: int) -> np.ndarray:
-    """Whether the bucket ``k`` is of the first table that two rows share."""
-    return (spread[p] == spread[q]).argmax(1) == (k >> 31 & 0x3FFF)
+def first_shared(p: np.ndarray, q: np.ndarray, packed: np.ndarray, bits: int, count: int, pool: int, k: int) -> np.ndarray:
+    """Whether the bucket ``k`` is of the first table that two rows share; only rows of pairs are looked at."""
+    out, table = np.ones(len(p), bool), k >> 31 & 0x3FFF
+    if len(p) and table:
+        own = np.flatnonzero(np.bincount(np.concatenate([p, q]), minlength=len(packed)))
+        place = np.zeros(len(packed), np.int64)
+        place[own] = np.arange(len(own))
+        spread = keys(packed[own], bits, count, pool)[:, :table]
+        step = max(1, (1 << 21) // table)
+        for begin in range(0, len(p), step):
+            at = slice(begin, begin + step)
+            out[at] = ~(spread[place[p[at]]] == spread[place[q[at]]]).any(1)
+    return out
 
 
-def candidates(bits: int, count: int, least: float):
+def candidates(bits: int, count: int, pool: int, least: float):
     """The rows of pieces that have a pair whose bound reaches ``least``, from stored codes alone."""
 
     def run(batches):
@@ -218,10 +265,10 @@ def candidates(bits: int, count: int, least: float):
             k, n = rows.column("k")[int(at[0])].as_py(), rows.column("n")[int(at[0])].as_py()
             raw = rows.column("x").take(pa.array(at)).to_pylist()
             data = np.frombuffer(b"".join(raw), np.uint8).reshape(len(at), -1)
-            size = np.dtype(width(bits)).itemsize * count
-            codes, spread = Codes.read(data[:, :-size], n), np.ascontiguousarray(data[:, -size:]).view(width(bits))
+            size = -(-pool // 8)
+            codes, packed = Codes.read(data[:, :-size], n), data[:, -size:]
             p, q = codes.near(np.arange(len(own)), None if other is None else np.arange(len(own), len(at)), least)
-            first = first_shared(p, q, spread, k)
+            first = first_shared(p, q, packed, bits, count, pool, k)
             keep = at[np.unique(np.concatenate([p[first], q[first]]))]
             if len(keep):
                 yield pa.RecordBatch.from_arrays([rows.column(c).take(pa.array(keep)).combine_chunks() for c in ("k", "_i", "_j", "_b", "r")], names=["k", "_i", "_j", "_b", "r"])
@@ -229,7 +276,7 @@ def candidates(bits: int, count: int, least: float):
     return run
 
 
-def linked(bits: int, count: int, least: float, kind: str):
+def linked(bits: int, count: int, pool: int, least: float, kind: str):
     """From pieces with exact vectors: for each row its links (copies counted) and a spanning edge."""
 
     def run(batches):
@@ -240,7 +287,7 @@ def linked(bits: int, count: int, least: float, kind: str):
             x, copies, r = values(part.column("v").to_pylist(), n, kind), part.column("c").to_numpy(), part.column("r").to_numpy()
             u = unit(x)
             p, q = Codes(u).near(np.arange(len(own)), None if other is None else np.arange(len(own), len(at)), least)
-            first = first_shared(p, q, keys(x, bits, count), k)
+            first = first_shared(p, q, signs(x, pool), bits, count, pool, k)
             p, q = p[first], q[first]
             links, forest = np.zeros(len(at), np.int64), Forest(len(at))
             for begin in range(0, len(p), 1 << 16):
@@ -275,14 +322,15 @@ def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
         distinct = data.filter("t is not null").groupBy("t").agg(F.first("v").alias("v"), F.count("*").alias("c"), F.first("n").alias("n"))
         distinct = scratch.put(distinct.withColumn("r", F.monotonically_increasing_id()))
         bits, count = tables(distinct.count(), least, recall)
-        codes = scratch.put(distinct.select("r", "v", "n").mapInArrow(coded(bits, count, kind), "r long, x binary, n int, keys array<long>"))
+        pool = min(SIGNS, bits * count)
+        codes = scratch.put(distinct.select("r", "v", "n").mapInArrow(coded(bits, count, pool, kind), "r long, x binary, n int, keys array<long>"))
         buckets = codes.select(F.explode("keys").alias("k")).groupBy("k").agg(F.count("*").alias("size"))
         large = few(scratch.put(buckets.filter(F.col("size") > BLOCK)))
         rows = codes.select("r", "x", "n", F.explode("keys").alias("k")).join(large, "k", "left").withColumn("size", F.coalesce("size", F.lit(1)))
         dealt = in_block_pairs(rows, "k", "r", "size", BLOCK).select("k", "_i", "_j", "_b", "r", "x", "n")
-        some = scratch.put(dealt.mapInArrow(candidates(bits, count, least), "k long, _i int, _j int, _b int, r long"))
+        some = scratch.put(dealt.mapInArrow(candidates(bits, count, pool, least), "k long, _i int, _j int, _b int, r long"))
         exact = some.join(distinct.select("r", "v", "c", "n"), "r").repartition("k", "_i", "_j").sortWithinPartitions("k", "_i", "_j")
-        found = scratch.put(exact.select("k", "_i", "_j", "_b", "r", "v", "c", "n").mapInArrow(linked(bits, count, least, kind), "u long, links long, v long"))
+        found = scratch.put(exact.select("k", "_i", "_j", "_b", "r", "v", "c", "n").mapInArrow(linked(bits, count, pool, least, kind), "u long, links long, v long"))
         links = few(scratch.put(found.groupBy(F.col("u").alias("r")).agg(F.sum("links").alias("links"))))
         groups = few(components(found.select("u", "v"), scratch)).select(F.col("node").alias("r"), "component")
         per = distinct.select("r", "t", "c").join(links, "r", "left").join(groups, "r", "left")

@@ -88,9 +88,47 @@ def test_estimates_are_unbiased_and_bounded():
     assert (np.abs(error) < vectors.EPSILON * codes.slack[a]).all()
 
 
-def test_query(spark):
-    out = op1_embedding_near_dedup(spark, DATA)
-    assert out.columns == ["vec_id", "n_links", "component_id", "kept"] and out.count() == 500
+def test_query(spark, tmp_path):
+    """The query against all pairs: on the test table, and on one with links, copies and odd rows."""
+    rng = np.random.default_rng(9)
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect()]
+    linked = []
+    for k in range(40):
+        centre = rng.standard_normal(64)
+        linked += [(50 * k + j, (centre + 0.15 * rng.standard_normal(64)).tolist()) for j in range(rng.integers(1, 12))]
+    linked += [(9000, linked[0][1]), (9001, linked[0][1]), (9002, None), (9003, [0.0] * 64), (9004, [float("nan")] * 64)]
+    for name, own in (("given", rows), ("linked", linked)):
+        spark.createDataFrame([(i, v, "l") for i, v in own], "vec_id long, embedding array<double>, label string").write.parquet(f"{tmp_path}/{name}/embeddings.parquet")
+        out = op1_embedding_near_dedup(spark, f"{tmp_path}/{name}")
+        assert out.columns == ["vec_id", "n_links", "component_id", "kept"]
+        got = sorted(tuple(r) for r in out.collect())
+        assert got == sorted((i, n, c, i == c) for (i, _), (n, c) in zip(own, brute(own), strict=True))
+    assert sum(n for n, _ in brute(linked)) > 300
+
+
+def test_tables_share_signs(spark, monkeypatch):
+    """With fewer hyperplanes than tables need: rows stay small, no pair counts twice, recall is as predicted."""
+    monkeypatch.setattr(vectors, "SIGNS", 64)
+    bits, count = vectors.tables(10_000)
+    assert bits * count > 64 and count > 14
+    rng = np.random.default_rng(10)
+    a = vectors.unit(rng.standard_normal((4000, 64)))
+    o = rng.standard_normal((4000, 64))
+    b = 0.9 * a + math.sqrt(1 - 0.81) * vectors.unit(o - (o * a).sum(1)[:, None] * a)
+    same = 1 - math.acos(0.9) / math.pi
+    for few in (12, count):
+        p, q = (vectors.keys(vectors.signs(x, 64), bits, few, 64) for x in (a, b))
+        assert abs((p == q).any(1).mean() - (1 - vectors.missed(bits, few, same))) < 0.02
+    base = rng.standard_normal(32)
+    check(spark, [(k, (base + 0.1 * rng.standard_normal(32)).tolist()) for k in range(300)] + [(1000 + k, rng.standard_normal(32).tolist()) for k in range(50)])
+
+
+def test_rows_stay_small_with_many_tables():
+    """A row's signs take 64 bytes however many vectors there are."""
+    for n in (10**4, 10**6, 10**8, 10**9):
+        bits, count = vectors.tables(n)
+        assert -(-min(vectors.SIGNS, bits * count) // 8) <= 64
+        assert vectors.missed(bits, count, 1 - math.acos(0.9) / math.pi) <= 0.001 + 1e-9
 
 
 def test_blocks_of_a_crowd(spark, monkeypatch):
