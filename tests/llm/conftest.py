@@ -5,6 +5,9 @@ from pathlib import Path
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
+# Tests of the folder above import it from "conftest", which is this file where both are collected.
+from llm_classes import DATA  # noqa: E402, F401
+
 SYLLABLES = "an ber ca do en fi gu ha is jo ka lu mi no or pa qui ro sa te ur ve wo xi yo zu".split()
 
 
