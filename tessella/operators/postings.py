@@ -17,11 +17,13 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,13 +31,14 @@ from pyspark.sql import types as T
 from ..functions import constants as C
 from ..functions import expr as E
 from ..functions import lexical
+from ..functions.batches import sliced
 from ..session import few, ship
 from .files import read_text, write_text
 from .segments import KEY, Segments
 
 BLOCK, BUCKETS = 128, 64
-#: Texts that a task cuts at a time.
-TEXTS = 256
+#: Texts that a task cuts at a time, and their bytes (one longer text is cut alone).
+TEXTS, BYTES = 256, 1 << 19
 #: Blocks that are ranked first for each block's worth of results, and how many times more if the filters leave too few passages.
 FIRST, MORE = 3, 8
 #: Blocks of a chapter and size.
@@ -51,13 +54,15 @@ _PLAIN = re.compile("[a-z0-9]+")
 
 
 def gathered(cut):
-    """From rows (keys, text) to (keys, lexeme, places), a row for each lexeme of a text; ``cut`` gives lexemes with their places."""
+    """From rows (keys, text) to (keys, lexeme, places), a row for each lexeme of a text; ``cut`` gives lexemes with their places.
+
+    Only the lexemes of a few texts are held, however many rows a batch has.
+    """
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(start, TEXTS)
-                row, words, starts, flat = [], [], [0], []
+            for part in sliced(batch, pc.binary_length(batch.column(batch.num_columns - 1)), BYTES, TEXTS):
+                row, words, starts, flat = [], [], [0], array("i")
                 for k, text in enumerate(part.column(part.num_columns - 1).to_pylist()):
                     at: dict[str, list[int]] = {}
                     for word, place in cut(text):
@@ -65,7 +70,7 @@ def gathered(cut):
                     row += [k] * len(at)
                     words += at
                     for places in at.values():
-                        flat += places
+                        flat.extend(places)
                         starts.append(len(flat))
                 keys = part.select(part.schema.names[:-1]).take(pa.array(row, pa.int64()))
                 places = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat, pa.int32()))

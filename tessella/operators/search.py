@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import expr as E
 from ..functions import lexical
-from ..session import few, shared_folder
+from ..session import FEW, few, shared_folder, ship
 from . import postings as stored
 from . import requests
 
@@ -275,10 +275,29 @@ def postings(passages: DataFrame, text: Column | str | None = None) -> DataFrame
     """(lexeme, passage_id, nbk_id, places): the inverted table of all passages, made once when they come in.
 
     The indexed text is heading path, section and text. Written sorted by lexeme, it is read only where a query's terms stand.
+    A passage's rows are made where its text is; only rows of keys that stand more than once, which are counted first, are
+    gathered from everywhere, with the places of all texts of a key.
     """
     at = text if text is not None else lexical.searchable(*[c if c in passages.columns else F.lit("") for c in ("heading_path", "chapter_section", "text")])
-    each = passages.select("nbk_id", "passage_id", F.explode(lexical.lexeme_column(at)).alias("x"))
-    return each.groupBy("x.lexeme", "passage_id", "nbk_id").agg(F.array_sort(F.collect_list("x.place")).alias("places")).select("lexeme", "passage_id", "nbk_id", "places")
+    texts = passages.select("nbk_id", "passage_id", (F.col(at) if isinstance(at, str) else at).alias("_text"))
+    ship(passages.sparkSession)
+    kinds = ", ".join(f"{c} {t}" for c, t in texts.dtypes[:-1])
+
+    def each(rows: DataFrame) -> DataFrame:
+        return rows.mapInArrow(stored.gathered(lexical.lexemes), f"{kinds}, lexeme string, places array<int>").select("lexeme", "passage_id", "nbk_id", "places")
+
+    def merged(rows: DataFrame) -> DataFrame:
+        places = F.array_sort(F.flatten(F.collect_list("places")))
+        return rows.groupBy("lexeme", "passage_id", "nbk_id").agg(places.alias("places"))
+
+    again = passages.groupBy(F.col("nbk_id").alias("_n"), F.col("passage_id").alias("_p")).agg(F.count("*").alias("_c")).filter("_c > 1").drop("_c")
+    if not (n := again.limit(FEW + 1).count()):
+        return each(texts)
+    if n > FEW:
+        return merged(each(texts))
+    same = F.col("nbk_id").eqNullSafe(F.col("_n")) & F.col("passage_id").eqNullSafe(F.col("_p"))
+    once_, often = (texts.join(F.broadcast(again), same, how) for how in ("left_anti", "left_semi"))
+    return each(once_).unionByName(merged(each(often)))
 
 
 def indexed_ranks(index: DataFrame, query: str, within: DataFrame | None = None) -> DataFrame:
