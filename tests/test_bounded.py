@@ -1,11 +1,12 @@
 """What Python holds at a time is bounded, whatever the rows of a batch, and results are those of plain loops."""
 
+import random
 import tracemalloc
 
 import pyarrow as pa
 from conftest import DATA
 
-from tessella.functions import lexical
+from tessella.functions import lexical, wordpiece
 from tessella.operators import postings, search
 from tessella.plans import catalogue
 from tessella.plans.model import passages
@@ -56,3 +57,49 @@ def test_postings_of_repeated_keys(spark, monkeypatch):
         monkeypatch.setattr(search, "FEW", most)
         got = search.postings(p).collect()
         assert len(got) == len(want) and {(r.lexeme, r.passage_id, r.nbk_id): r.places for r in got} == want
+
+
+SIGNS = "abcdeRSÉéñçÀ中文字 \t-.,'ßµ́̈‍0123ﬁ日本ΩЖж\x0b\x1c\x00\u2028\u3000\xa0\x85İſK"
+
+
+def by_loop(found, size, overlap):
+    """Windows of the list of all tokens."""
+    firsts = ([0] if 0 < len(found) <= size else range(0, max(0, len(found) - overlap), size - overlap))
+    return [(k, len(found[k : k + size]), found[k][1], found[k : k + size][-1][2]) for k in firsts]
+
+
+def test_windows_of_a_vocabulary():
+    r = random.Random(5)
+    pieces = list(dict.fromkeys([*catalogue.LETTERS, *"-.,'中文é", "##é", "re", "##ss", "ss", "fi", "##ca", "k", "ω", "##ω", "ж", "##ж"]))
+    vocabulary = wordpiece.Vocabulary(pieces)
+    texts = ["", " ", "x" * 300, "é" * 300 + " z", "é" * 101 + "\u0301", "İ" * 60 + "x", "ab-" * 200, "中" * 200, "a" * 100 + " " + "a" * 101]
+    texts += ["".join(r.choice(SIGNS) for _ in range(r.randint(0, 90))) for _ in range(1500)]
+    texts += ["".join(r.choice(SIGNS.replace(" ", "").replace("\t", "")) for _ in range(r.randint(90, 300))) for _ in range(100)]
+    for text in texts:
+        found = vocabulary.encode(text)
+        for size, overlap in ((7, 2), (5, 0), (510, 50)):
+            assert vocabulary.windows(text, size, overlap) == by_loop(found, size, overlap), text
+
+
+def test_tokens_of_a_few_texts_are_held(spark):
+    sent = {}
+
+    class Rows:
+        """Takes the function that Python workers would run."""
+
+        columns, schema, sparkSession = ["id", "text"], spark.createDataFrame([], "id long, text string").schema, spark
+
+        def mapInArrow(self, run, kinds):
+            sent["run"] = run
+            return spark.createDataFrame([], kinds)
+
+    wordpiece.windows(Rows(), catalogue.LETTERS, size=510, overlap=50)
+    text = "The risk-reducing surgery of carriers " * 1500
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array([text] * 60)], names=["id", "text"])
+    assert peak(sent["run"]([batch])) < 20
+    # A text of one word, of which no part is known.
+    assert peak(sent["run"]([pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["é" * 500_000])], names=["id", "text"])])) < 20
+    out = [w for b in sent["run"]([batch]) for w in b.column(2).to_pylist()]
+    found = by_loop(wordpiece.Vocabulary(catalogue.LETTERS).encode(text), 510, 50)
+    want = [{"chunk": k, "first": f, "n_tokens": n, "begin": b, "end": e, "window": text[b:e]} for k, (f, n, b, e) in enumerate(found)]
+    assert out == [want] * 60
