@@ -103,3 +103,7 @@ def test_tokens_of_a_few_texts_are_held(spark):
     found = by_loop(wordpiece.Vocabulary(catalogue.LETTERS).encode(text), 510, 50)
     want = [{"chunk": k, "first": f, "n_tokens": n, "begin": b, "end": e, "window": text[b:e]} for k, (f, n, b, e) in enumerate(found)]
     assert out == [want] * 60
+
+
+def test_buckets_pass_no_table_through_the_driver(spark):
+    assert "Broadcast" not in plan(catalogue.queries()["bench_buckets"](spark, DATA))
