@@ -107,3 +107,30 @@ def test_tokens_of_a_few_texts_are_held(spark):
 
 def test_buckets_pass_no_table_through_the_driver(spark):
     assert "Broadcast" not in plan(catalogue.queries()["bench_buckets"](spark, DATA))
+
+
+def test_ranks_of_a_few_documents_are_held():
+    r, q = random.Random(6), lexical.parse('"alpha beta" or gamma -delta')
+    docs = [None, [], *([(r.choice(["alpha", "beta", "gamma", "delta"]), p) for p in range(r.randint(0, 40))] for _ in range(300))]
+    kind = pa.list_(pa.struct([("lexeme", pa.string()), ("place", pa.int32())]))
+    rows = pa.array([None if d is None else [{"lexeme": w, "place": p} for w, p in d] for d in docs], kind)
+    want = [lexical.rank(q, d) if d is not None else (0.0, 0.0, 0.0, 0) for d in docs]
+    for some, first in ((rows, 0), (rows.slice(7), 7)):
+        assert [tuple(x.values()) for x in lexical.ranks(q, some).to_pylist()] == want[first:]
+    long = pa.array([[{"lexeme": "alpha" if p % 2 else "gamma", "place": p} for p in range(20_000)]], kind)
+    many = pa.concat_arrays([long] * 60)
+    tracemalloc.start()
+    out = lexical.ranks(q, many).to_pylist()
+    assert tracemalloc.get_traced_memory()[1] / 1e6 < 40 and len(out) == 60
+    tracemalloc.stop()
+
+
+def test_pieces_of_one_word_need_no_pattern():
+    r = random.Random(7)
+    pieces = ["".join(r.choice("abyYZ.,;:!?()\"'-_/&<1é") for _ in range(r.randint(1, 7))) for _ in range(20_000)] + ["The", "(the)", "That's", "'tis", "a.b", "x@y.org", "I", "Ⅳ", "running,"]
+    assert [lexical._piece(p) for p in pieces] == [lexical._lexemes(p) for p in pieces]
+
+
+def test_indexed_ranks_go_through_no_frames(spark):
+    shown = plan(catalogue.queries()["indexed_ranks"](spark, DATA))
+    assert "lexeme_column" not in shown and "MapInArrow" in shown
